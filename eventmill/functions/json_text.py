@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventmill.functions.once import let
+
 RECORD = "map<string,variant>"
 _STRICT = {"allowSingleQuotes": "false"}
 # A closing and an opening bracket side by side: the one shape an array wrapper cannot tell from two values.
@@ -12,33 +14,41 @@ _SPLIT_ARRAYS = r"\]\s*\["
 
 
 def strip_space(text: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII white space, not only blanks."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def ascii_only(text: Column) -> Column:
-    """Drop every character outside ASCII."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    """Drop every character outside ASCII; as many bytes as characters means there is none."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+
+
+def _whole(text: Column) -> Column:
+    """Whether text that parses inside `[...]` is one value: only `a][b` is not, and that fails inside `{...}`."""
+    nested = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v variant>", _STRICT)
+    return ~text.rlike(_SPLIT_ARRAYS) | nested["v"].isNotNull()
 
 
 def strict_record(text: Column) -> Column:
     """`map<string,variant>` of a JSON object; NULL for any other text, trailing text included."""
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{RECORD}>", _STRICT)
-    nested = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v variant>", _STRICT)
-    whole = ~text.rlike(_SPLIT_ARRAYS) | nested["v"].isNotNull()
-    # map_entries + map_from_entries makes the last of several equal keys win
-    return F.when(
-        text.startswith("{") & text.endswith("}") & (F.size(wrapped) == 1) & whole,
-        F.map_from_entries(F.map_entries(F.get(wrapped, F.lit(0)))),
-    )
+
+    def parse(line: Column) -> Column:
+        wrapped = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{RECORD}>", _STRICT)
+        # map_entries + map_from_entries makes the last of several equal keys win
+        record = let(wrapped, lambda a: F.when(F.size(a) == 1, F.map_from_entries(F.map_entries(F.get(a, F.lit(0))))))
+        return F.when(line.startswith("{") & line.endswith("}") & _whole(line), record)
+
+    return let(text, parse)
 
 
 def strict_value(text: Column) -> Column:
     """Variant of any JSON text; NULL when it is not one complete JSON value."""
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _STRICT)
-    nested = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v variant>", _STRICT)
-    whole = ~text.rlike(_SPLIT_ARRAYS) | nested["v"].isNotNull()
-    return F.when((F.size(wrapped) == 1) & whole, F.get(wrapped, F.lit(0)))
+
+    def parse(value: Column) -> Column:
+        wrapped = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<variant>", _STRICT)
+        return F.when(_whole(value), let(wrapped, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))))
+
+    return let(text, parse)
 
 
 def record_text(record: Column) -> Column:
@@ -62,9 +72,22 @@ def as_object(value: Column) -> Column:
 
 def is_text(value: Column) -> Column:
     """Whether a variant holds a string."""
-    return F.schema_of_variant(value) == "STRING"
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def as_text(value: Column) -> Column:
     """The string held by a variant string, NULL for every other kind of value."""
     return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+
+
+# Control characters never stand raw in JSON text: they can hold the place of an escaped backslash or quote.
+_BACKSLASH, _QUOTE = "\x02", "\x01"
+
+
+def hide_escapes(json: Column) -> Column:
+    """JSON text in which every `"` begins or ends a string."""
+    return F.replace(F.replace(json, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def show_escapes(json: Column) -> Column:
+    return F.replace(F.replace(json, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))

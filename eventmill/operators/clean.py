@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventmill.functions.json_text import RECORD, as_object, as_text, is_text, record_text, strict_value
+from eventmill.functions.json_text import as_object, hide_escapes, is_text, record_text, show_escapes, strict_value
+from eventmill.functions.once import computed, let
 
 # Each JSON-encoded string wraps quotes that the next encoding must escape, so the text at least doubles per level;
 # a cell holds less than 2**31 bytes, hence no value is encoded more often than this.
@@ -27,8 +28,10 @@ def decode_event_payload(df: DataFrame) -> DataFrame:
         return F.struct(value.alias("value"), still_text.alias("still_text"))
 
     def step(now: Column, _: Column) -> Column:
-        value = strict_value(as_text(now["value"]))
-        decoded = state(F.coalesce(value, F.parse_json(F.lit('"Truncated"'))), F.coalesce(is_text(value), F.lit(False)))
+        decoded = let(
+            strict_value(F.try_variant_get(now["value"], "$", "string")),
+            lambda v: state(F.coalesce(v, F.parse_json(F.lit('"Truncated"'))), F.coalesce(is_text(v), F.lit(False))),
+        )
         return F.when(now["still_text"], decoded).otherwise(now)
 
     def change(value: Column) -> Column:
@@ -36,7 +39,7 @@ def decode_event_payload(df: DataFrame) -> DataFrame:
         decoded = F.aggregate(rounds, state(value, F.lit(True)), step, lambda last: last["value"])
         return F.when(is_text(value), decoded).otherwise(value)
 
-    return df.withColumn("rec", replace_value(F.col("rec"), "event", change))
+    return computed(df, "rec", replace_value(F.col("rec"), "event", change))
 
 
 def remove_redundant_context(df: DataFrame) -> DataFrame:
@@ -51,30 +54,41 @@ def remove_redundant_context(df: DataFrame) -> DataFrame:
         )
 
     cleaned = replace_value(rec, "context", lambda v: F.coalesce(F.to_variant_object(kept(v)), v))
-    return df.withColumn("rec", cleaned).withColumn(
-        "rec", F.map_filter("rec", lambda k, v: ~((k == "context") & (record_text(v) == "{}")))
-    )
+    filled = F.map_filter(cleaned, lambda k, v: ~((k == "context") & F.coalesce(F.size(as_object(v)) == 0, F.lit(False))))
+    return computed(df, "rec", filled)
 
 
 def _shortened(json: Column, most: int) -> Column:
     """JSON text in which every string value longer than `most` is null; keys stay."""
-    pieces = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*+":?|[^"]++'), F.lit(0))
+    pieces = F.regexp_extract_all(hide_escapes(json), F.lit('"[^"]*+":?|[^"]++'), F.lit(0))
 
     def shorten(piece: Column) -> Column:
-        plain = F.regexp_replace(piece, r"\\(?:u[0-9a-fA-F]{4}|.)", "_")
-        return F.when(piece.startswith('"') & piece.endswith('"') & (F.length(plain) - 2 > most), "null").otherwise(piece)
+        characters = F.length(F.regexp_replace(piece, r"\\(?:u[0-9a-fA-F]{4}|.)", "_")) - 2
+        long = (F.length(piece) - 2 > most) & piece.startswith('"') & piece.endswith('"') & (characters > most)
+        return F.when(long, "null").otherwise(piece)
 
-    return F.array_join(F.transform(pieces, shorten), "")
+    return show_escapes(F.array_join(F.transform(pieces, shorten), ""))
 
 
 def truncate_strings(df: DataFrame, most: int) -> DataFrame:
     """Strings longer than `most` become null, at any depth. Works on `rec` or, without one, on all typed columns."""
     if "rec" not in df.columns:
         return df.select(*[_short_typed(F.col(f"`{f.name}`"), f.dataType, most).alias(f.name) for f in df.schema])
-    json = record_text(F.col("rec"))
-    return df.withColumn(
-        "rec", F.when(F.length(json) > most, F.from_json(_shortened(json, most), RECORD)).otherwise(F.col("rec"))
-    )
+    null = F.parse_json(F.lit("null"))
+
+    def shorten(value: Column) -> Column:
+        single = F.when(F.length(F.try_variant_get(value, "$", "string")) > most, null).otherwise(value)
+        # objects and lists are taken apart only when they have room for a long string
+        nested = let(
+            record_text(value),
+            lambda json: F.when(F.length(json) > most + 2, F.parse_json(_shortened(json, most))).otherwise(value),
+        )
+        return let(
+            F.schema_of_variant(value),
+            lambda kind: F.when(kind == "STRING", single).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(value),
+        )
+
+    return computed(df, "rec", F.transform_values("rec", lambda key, value: shorten(value)))
 
 
 def _short_typed(column: Column, data_type: T.DataType, most: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from eventmill.functions.once import let
 from eventmill.functions.paths import event_field
 
 
@@ -57,30 +58,35 @@ def proportion_bounds(df: DataFrame, n: str = "n", k: str = "k", cutoff: int = 4
         miss = F.when(failures == 0, 0.0).when(i < GRID, failures * F.ln((F.lit(GRID) - i) / GRID))
         return hit + miss
 
-    logs = F.transform(F.sequence(F.lit(0), F.lit(GRID)), log_weight)
-    cells = F.transform(
-        "_logs",
-        lambda w, i: F.struct((-F.coalesce(F.exp(w - F.col("_peak")), F.lit(0.0))).alias("weight"), i.alias("cell")),
-    )
     start = F.struct(*[F.lit(x).alias(name) for x, name in ((0.0, "mass"), (GRID + 1, "low"), (-1, "high"), (-1, "mode"))])
 
-    def take(state: Column, cell: Column) -> Column:
-        taken = F.struct(
-            (state["mass"] - cell["weight"] / F.col("_total")).alias("mass"),
-            F.least(state["low"], cell["cell"]).alias("low"),
-            F.greatest(state["high"], cell["cell"]).alias("high"),
-            F.when(state["mode"] < 0, cell["cell"]).otherwise(state["mode"]).alias("mode"),
-        )
-        return F.when(state["mass"] < MASS, taken).otherwise(state)
+    def by_weight(logs: Column) -> Column:
+        # scaled by the peak, so that large counts do not underflow; negative, so that the heaviest cell comes first
+        def cells(peak: Column) -> Column:
+            return F.transform(
+                logs, lambda w, i: F.struct((-F.coalesce(F.exp(w - peak), F.lit(0.0))).alias("weight"), i.alias("cell"))
+            )
+
+        return F.array_sort(let(F.array_max(logs), cells))
+
+    def interval(cells: Column) -> Column:
+        def from_peak(total: Column) -> Column:
+            def take(state: Column, cell: Column) -> Column:
+                taken = F.struct(
+                    (state["mass"] + cell["weight"] / total).alias("mass"),
+                    F.least(state["low"], cell["cell"]).alias("low"),
+                    F.greatest(state["high"], cell["cell"]).alias("high"),
+                    F.when(state["mode"] < 0, cell["cell"]).otherwise(state["mode"]).alias("mode"),
+                )
+                return F.when(state["mass"] < MASS, taken).otherwise(state)
+
+            return F.aggregate(cells, start, take)
+
+        return let(F.aggregate(cells, F.lit(0.0), lambda total, cell: total + cell["weight"]), from_peak)
 
     small = F.col(k) < cutoff
-    bounds = (
-        df.withColumn("_logs", F.when(small, logs))
-        .withColumn("_peak", F.array_max("_logs"))
-        .withColumn("_cells", F.array_sort(cells))
-        .withColumn("_total", F.aggregate("_cells", F.lit(0.0), lambda total, cell: total - cell["weight"]))
-        .withColumn("_grid", F.aggregate("_cells", start, take))
-    )
+    logs = F.transform(F.sequence(F.lit(0), F.lit(GRID)), log_weight)
+    bounds = df.withColumn("_grid", F.when(small, let(let(logs, by_weight), interval)))
     mean = successes / trials
     margin = F.lit(QUANTILE) * F.sqrt(mean * (1 - mean) / trials)
 

@@ -9,41 +9,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions.json_text import ascii_only, strict_record, strip_space
+from eventmill.functions.once import kept, let
 
 # Line lengths at which loggers were seen to cut lines, and the endings that complete a cut line.
 CUT_LENGTHS = [(32000, 32999), (9980, 10000), (2039, 2043)]
 ENDINGS = ["", "}", '"}', '""}', '"}}', '"}}}', '"}}}}', '"}}}}}', '"}}}}}}']
 
 
-def _line(df: DataFrame, column: str) -> Column:
-    return strip_space(ascii_only(F.col(column)))
+def _line(text: Column) -> Column:
+    # most lines have nothing to strip, and two looks tell
+    return let(ascii_only(text), lambda t: F.when(t.startswith("{") & t.endswith("}"), t).otherwise(strip_space(t)))
+
+
+def _some(record: Column) -> Column:
+    """Array of the record, empty when there is none or it has no entries."""
+    return F.filter(F.array(record), lambda r: F.size(r) > 0)
 
 
 def parse_events(df: DataFrame, column: str = "value") -> DataFrame:
     """Replace the text column by `rec`; drops lines that are no JSON object, are empty or have a cut length."""
-    line = _line(df, column)
-    cut = reduce(or_, [F.length(line).between(low, high) for low, high in CUT_LENGTHS])
-    lines = df.withColumn(column, line).where(line.startswith("{") & ~cut)
-    return (
-        lines.withColumn("rec", strict_record(F.col(column))).where(F.size("rec") > 0).drop(column)
-    )
+
+    def parse(line: Column) -> Column:
+        cut = reduce(or_, [F.length(line).between(low, high) for low, high in CUT_LENGTHS])
+        return F.when(line.startswith("{") & ~cut, strict_record(line))
+
+    return kept(df, "rec", _some(let(_line(F.col(column)), parse))).drop(column)
 
 
 def repair_events(df: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
     """Like `parse_events`, but completes cut lines; lines beyond repair are dropped, or fail when strict."""
-    tried = _with_repair(df, column)
-    if strict:
-        failed = F.raise_error(F.concat(F.lit("line beyond repair: "), F.col(column))).cast("map<string,variant>")
-        tried = tried.withColumn("rec", F.coalesce("rec", failed))
-    return tried.where(F.size("rec") > 0).drop(column)
+
+    def parse(line: Column) -> Column:
+        record = _repaired(line)
+        if strict:
+            failed = F.raise_error(F.concat(F.lit("line beyond repair: "), line)).cast("map<string,variant>")
+            record = F.coalesce(record, failed)
+        return F.when(line.startswith("{"), record)
+
+    return kept(df, "rec", _some(let(_line(F.col(column)), parse))).drop(column)
 
 
 def beyond_repair(df: DataFrame, column: str = "value") -> DataFrame:
     """The lines that look like objects and that no ending completes."""
-    return _with_repair(df, column).where(F.col("rec").isNull()).drop("rec")
+    lines = let(
+        _line(F.col(column)),
+        lambda line: F.when(line.startswith("{"), F.filter(F.array(line), lambda v: _repaired(v).isNull())),
+    )
+    return kept(df, column, lines)
 
 
-def _with_repair(df: DataFrame, column: str) -> DataFrame:
-    line = F.col(column)
-    lines = df.withColumn(column, _line(df, column)).where(line.startswith("{"))
-    return lines.withColumn("rec", F.coalesce(*[strict_record(F.concat(line, F.lit(end))) for end in ENDINGS]))
+def _repaired(line: Column) -> Column:
+    return F.coalesce(*[strict_record(F.concat(line, F.lit(end))) for end in ENDINGS])

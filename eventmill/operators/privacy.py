@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.identity import TOKEN_CAPACITY, token
 from eventmill.functions.json_text import as_object, record_text
+from eventmill.functions.once import computed
 from eventmill.operators.clean import replace_value
 
 
@@ -59,7 +60,7 @@ def drop_fields(df: DataFrame, fields: list[str], event_fields: list[str]) -> Da
         rec,
         lambda k, v: F.when(k == "context", cleaned(fields)(v)).when(k == "event", cleaned(event_fields)(v)).otherwise(v),
     )
-    return df.withColumn("rec", rec)
+    return computed(df, "rec", rec)
 
 
 def desensitize(df: DataFrame, fields: list[str], event_fields: list[str], ordinal: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.functions.json_text import as_object, record_text
+from eventmill.functions.json_text import as_object, hide_escapes, record_text
 from eventmill.operators.clean import decode_event_payload
 
 # Paths left out of a schema profile, since they hold answers rather than structure.
@@ -13,7 +16,7 @@ UNPROFILED = ["correct_map.", "submission", "answers", "POST"]
 
 
 def _braces(json):
-    return F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"|[^{}]', "")
+    return F.regexp_replace(hide_escapes(json), r'"[^"]*+"|[^{}"]++', "")
 
 
 def record_depth(df: DataFrame) -> int:
@@ -77,6 +80,7 @@ def leaves(df: DataFrame, separator: str = ".", levels: int | None = None) -> Da
 def field_names(df: DataFrame, separator: str = ".", levels: int | None = None) -> DataFrame:
     """Distinct leaf paths of all records."""
     paths = F.transform("leaves", lambda leaf: leaf["path"])
+    # exploding an expression, unlike a column, adds no filter that would compute the leaves a second time
     return leaves(df, separator, levels).select(F.explode(paths).alias("path")).distinct()
 
 
@@ -87,15 +91,14 @@ def flatten(df: DataFrame, separator: str = ".", levels: int | None = None) -> D
 
 def schema_profile(df: DataFrame, ordinal: str, levels: int | None = None) -> DataFrame:
     """Every path of the decoded records with its count and its last example, in path order."""
+    def profiled(leaf):
+        return ~reduce(or_, [leaf["path"].contains(part) for part in UNPROFILED])
+
     rows = leaves(decode_event_payload(df), ".", levels).select(
-        F.col(ordinal).alias("ordinal"), F.explode("leaves").alias("leaf")
+        F.col(ordinal).alias("ordinal"), F.explode(F.filter("leaves", profiled)).alias("leaf")
     )
-    path = F.col("leaf.path")
-    kept = rows
-    for part in UNPROFILED:
-        kept = kept.where(~path.contains(part))
     return (
-        kept.select(path.alias("path"), record_text(F.col("leaf.value")).alias("value"), "ordinal")
+        rows.select("leaf.path", record_text(F.col("leaf.value")).alias("value"), "ordinal")
         .groupBy("path")
         .agg(F.count(F.lit(1)).alias("records"), F.max_by("value", "ordinal").alias("example"))
         .orderBy("path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventmill.functions.events import event_date, source_institution
-from eventmill.functions.json_text import record_text
+from eventmill.functions.json_text import as_text, record_text
 from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
 from eventmill.operators.counts import event_count, field_set, item_count_probe, users_count
@@ -58,10 +58,13 @@ def repair_events(spark, sf_dir):
     )
 
 
-@query(f"""{LINES} SELECT event_id, substr(v, 1, length(v) - 60) AS value FROM clean
-  WHERE v LIKE '{{%' AND NOT json_valid(v) AND length(v) < 0""")
+# text after the closing brace cannot be repaired, unless it continues a string that was cut
+@query(f"""{LINES} SELECT event_id, v || 'xyz' AS value FROM clean WHERE kind = 'error' AND v LIKE '{{%' AND k <> '13'""")
 def beyond_repair_events(spark, sf_dir):
-    return beyond_repair(event_lines(spark, sf_dir)).select("event_id", "value")
+    lines = event_lines(spark, sf_dir)
+    stripped = F.rtrim("value")
+    spoilt = lines.withColumn("value", F.when(F.col("kind") == "error", F.concat(stripped, F.lit("xyz"))).otherwise(F.col("value")))
+    return beyond_repair(spoilt).select("event_id", "value")
 
 
 @query(f"{EVENTS} SELECT event_id, j ->> '$.context.course_id' AS course_id, j ->> '$.context.nothing' AS nothing FROM ev")
@@ -120,7 +123,7 @@ def schema_profile(spark, sf_dir):
   CASE WHEN json_type(e) <> 'OBJECT' THEN e ->> '$' END AS mark FROM dec""")
 def decode_payload(spark, sf_dir):
     return decode_event_payload(parse(event_lines(spark, sf_dir))).select(
-        "event_id", field("event:k", "bigint").alias("k"), field("event").alias("mark")
+        "event_id", field("event:k", "bigint").alias("k"), as_text(F.col("rec")["event"]).alias("mark")
     )
 
 

@@ -165,10 +165,11 @@ def _country_facts(spark, sf_dir, **options):
         F.when(F.col("n_regionkey") > 0, F.concat(F.lit(".n"), F.col("n_nationkey").cast("string"))).alias("Internet country code"),
         F.col("people").cast("string").alias("Area"),
         F.concat(F.col("n_nationkey").cast("string"), F.lit(".5")).alias("Birth rate"),
-        F.lit("café").alias("Background"),
+        F.lit("café \x80" if "encoding" in options else "café €").alias("Background"),
     )
     writer = facts.write.option("header", True).option("quoteAll", False).option("escape", '"')
-    writer.option("encoding", options.get("encoding", "UTF-8")).csv(f"{path}/facts")
+    # byte 80 is the euro sign in windows-1252
+    writer.option("encoding", "ISO-8859-1" if "encoding" in options else "UTF-8").csv(f"{path}/facts")
     spoken = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
         F.concat("n_name", F.lit(', "the"\t'), "r_name").alias("value"))
     spoken.write.text(f"{path}/languages")
@@ -178,7 +179,7 @@ def _country_facts(spark, sf_dir, **options):
 
 _FACTS = """facts AS (SELECT n_name || ', "the"' AS Country_name, max(floor(c_acctbal))::BIGINT AS GDP_per_capita_PPP,
   CASE WHEN n_regionkey > 0 THEN '.n' || n_nationkey ELSE '' END AS Internet_country_code, count(*) AS Area,
-  n_nationkey + 0.5::DOUBLE AS Birth_rate, 'café' AS Background, r_name AS language_list
+  n_nationkey + 0.5::DOUBLE AS Birth_rate, 'café €' AS Background, r_name AS language_list
   FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   WHERE n_name <> 'NATION_3' GROUP BY n_name, n_regionkey, n_nationkey, r_name)"""
 

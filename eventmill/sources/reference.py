@@ -17,6 +17,12 @@ def read_languages(spark: SparkSession, path: str, name: str = "name", value: st
     return spark.read.text(path).select(F.get(parts, F.lit(0)).alias(name), F.get(parts, F.lit(1)).alias(value))
 
 
+def _windows_marks() -> tuple[str, str]:
+    """The control characters of Latin-1 that are marks in windows-1252, which Spark has no reader for."""
+    pairs = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
+    return "".join(c for c, mark in pairs if mark), "".join(mark for _, mark in pairs)
+
+
 def load_reference_table(
     spark: SparkSession,
     path: str,
@@ -32,7 +38,10 @@ def load_reference_table(
     The first column is the name; `languages` holds `(name, language_list)`.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    raw = clean_column_names(reader.option("encoding", encoding).csv(path))
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    raw = clean_column_names(reader.option("encoding", "ISO-8859-1" if windows else encoding).csv(path))
+    if windows:
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), *_windows_marks()).alias(c) for c in raw.columns])
     name = raw.columns[0]
     kept = parse_typed_columns(exclude_list(raw, name, excluded), kinds)
     table = lookup_join(kept, languages.withColumnRenamed(languages.columns[0], name), name, languages.columns[1], strict)
