@@ -46,16 +46,20 @@ def remove_redundant_context(df: DataFrame) -> DataFrame:
     """Drop context entries that repeat a top-level field, the course user tags, and a context left empty."""
     rec = F.col("rec")
 
-    def kept(context: Column) -> Column:
-        return F.map_filter(
-            as_object(context),
-            lambda k, v: (k != "course_user_tags")
-            & ~F.coalesce(F.map_contains_key(rec, k) & (record_text(v) == record_text(rec[k])), F.lit(False)),
-        )
+    def repeats(k: Column, v: Column) -> Column:
+        return F.coalesce(F.map_contains_key(rec, k) & (record_text(v) == record_text(rec[k])), F.lit(False))
+
+    def clean(entries: Column) -> Column:
+        kept = F.map_filter(entries, lambda k, v: (k != "course_user_tags") & ~repeats(k, v))
+        return let(kept, lambda left: F.when(F.size(left) > 0, F.to_variant_object(left)))
+
+    def change(context: Column) -> Column:
+        return let(as_object(context), lambda entries: F.when(entries.isNull(), context).otherwise(clean(entries)))
 
-    cleaned = replace_value(rec, "context", lambda v: F.coalesce(F.to_variant_object(kept(v)), v))
-    filled = F.map_filter(cleaned, lambda k, v: ~((k == "context") & F.coalesce(F.size(as_object(v)) == 0, F.lit(False))))
-    return computed(df, "rec", filled)
+    # what is left empty is SQL NULL here, unlike a null in the JSON
+    return computed(
+        df, "rec", F.map_filter(replace_value(rec, "context", change), lambda k, v: (k != "context") | v.isNotNull())
+    )
 
 
 def _shortened(json: Column, most: int) -> Column:

@@ -29,18 +29,17 @@ def user_tokens(df: DataFrame, user: Column, ordinal: Column, capacity: int = TO
 
 def tokenize_users(df: DataFrame, column: str, ordinal: str, capacity: int = TOKEN_CAPACITY) -> DataFrame:
     """Replace the user column by its token; rows without a user stay without."""
-    return _with_token(df, F.col(column), F.col(ordinal), capacity).withColumn(column, F.col("_token")).drop("_token")
+    tokens = user_tokens(df, F.col(column), F.col(ordinal), capacity)
+    return _with_token(df, F.col(column), tokens).withColumn(column, F.col("_token")).drop("_token")
 
 
-def _with_token(df: DataFrame, user: Column, ordinal: Column, capacity: int) -> DataFrame:
+def _with_token(df: DataFrame, user: Column, tokens: DataFrame) -> DataFrame:
     # Keyed by digest the table has at most `capacity` rows of a few dozen bytes, whatever the names are like:
     # it is safe to broadcast, and the events themselves are not shuffled, however many belong to one user.
-    tokens = user_tokens(df, user, ordinal, capacity).select(
-        F.unhex(F.sha2("user", 256)).alias("_digest"), F.col("token").alias("_token")
-    )
+    digests = tokens.select(F.unhex(F.sha2("user", 256)).alias("_digest"), F.col("token").alias("_token"))
     return (
         df.withColumn("_digest", F.unhex(F.sha2(user, 256)))
-        .join(F.broadcast(tokens), "_digest", "left")
+        .join(F.broadcast(digests), "_digest", "left")
         .drop("_digest")
     )
 
@@ -63,11 +62,23 @@ def drop_fields(df: DataFrame, fields: list[str], event_fields: list[str]) -> Da
     return computed(df, "rec", rec)
 
 
-def desensitize(df: DataFrame, fields: list[str], event_fields: list[str], ordinal: str) -> DataFrame:
-    """Remove the listed fields, then replace the user names that are left by tokens."""
+def record_user_tokens(df: DataFrame, ordinal: str) -> DataFrame:
+    """Tokens of the `username` of records, as `desensitize` wants them."""
+    return user_tokens(df, record_text(F.col("rec")["username"]), F.col(ordinal))
+
+
+def desensitize(
+    df: DataFrame, fields: list[str], event_fields: list[str], ordinal: str, tokens: DataFrame | None = None
+) -> DataFrame:
+    """Remove the listed fields, then replace the user names that are left by tokens.
+
+    The tokens take a pass of their own over the records; made from records as they were before costly steps and
+    given here, that pass is cheaper.
+    """
     dropped = drop_fields(df, fields, event_fields)
     if "username" in fields:
         return dropped
-    named = _with_token(dropped, record_text(F.col("rec")["username"]), F.col(ordinal), TOKEN_CAPACITY)
+    tokens = record_user_tokens(df, ordinal) if tokens is None else tokens
+    named = _with_token(dropped, record_text(F.col("rec")["username"]), tokens)
     known = replace_value(F.col("rec"), "username", lambda v: F.col("_token").try_cast("variant"))
-    return named.withColumn("rec", F.when(F.col("_token").isNotNull(), known).otherwise(F.col("rec"))).drop("_token")
+    return computed(named, "rec", F.when(F.col("_token").isNotNull(), known).otherwise(F.col("rec"))).drop("_token")

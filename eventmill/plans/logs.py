@@ -11,7 +11,7 @@ from eventmill.operators.clean import decode_event_payload, remove_redundant_con
 from eventmill.operators.filters import date_gt
 from eventmill.operators.ordering import big_sort
 from eventmill.operators.parse import parse_events
-from eventmill.operators.privacy import desensitize
+from eventmill.operators.privacy import desensitize, record_user_tokens
 from eventmill.sources.cached import cache_events
 from eventmill.sources.lines import save_events
 
@@ -24,8 +24,10 @@ LONGEST_SORTED_STRING = 500
 def clean_and_desensitize(df: DataFrame, ordinal: str, mindate: str | None = None) -> DataFrame:
     """Lines to masked records: parse, cut by date, decode payloads, drop repetition and personal fields."""
     records = date_gt(parse_events(df), mindate)
-    records = remove_redundant_context(decode_event_payload(records))
-    return desensitize(records, SENSITIVE_FIELDS, SENSITIVE_EVENT_FIELDS, ordinal)
+    cleaned = remove_redundant_context(decode_event_payload(records))
+    # cleaning leaves the user alone, so the tokens need no cleaned records
+    tokens = record_user_tokens(records, ordinal)
+    return desensitize(cleaned, SENSITIVE_FIELDS, SENSITIVE_EVENT_FIELDS, ordinal, tokens)
 
 
 def desensitize_to(df: DataFrame, ordinal: str, out: str, mindate: str | None = None, format: str = "json") -> None:
@@ -45,4 +47,6 @@ def sort_log(df: DataFrame) -> DataFrame:
     key = F.concat(F.coalesce(field("username"), F.lit("")), F.lit(" "), F.coalesce(field("time"), F.lit("")))
     # the text is made before the sort: a map cannot be compared, and it is what ties are broken by
     lines = records.select(key.alias("key"), record_text(F.col("rec")).alias("value"))
-    return big_sort(lines, F.col("key")).select("value")
+    # A global sort reads its input twice, first for a sample. Decoding costs far more than a shuffle: rebalanced,
+    # the second read finds the decoded lines.
+    return big_sort(lines.hint("rebalance"), F.col("key")).select("value")

@@ -312,6 +312,12 @@ def project_with_id(records):
     return records.select("event_id", field("username").alias("username"), field("time").alias("time"))
 
 
+@query(f"{EVENTS} SELECT j ->> '$.username' AS username, j ->> '$.time' AS \"time\", j ->> '$.session' AS session FROM ev")
+def sorted_log_lines(spark, sf_dir):
+    names = ("username", "time", "session")
+    return sort_log(event_lines(spark, sf_dir)).select(F.json_tuple("value", *names).alias(*names))
+
+
 @query(f"""{EVENTS}, sorted AS (SELECT event_id, j, row_number() OVER (ORDER BY coalesce(j ->> '$.username', '') || ' ' || (j ->> '$.time')) - 1 AS position FROM ev)
 SELECT position, j ->> '$.username' AS username, j ->> '$.time' AS "time" FROM sorted""")
 def sort_log_by_user_time(spark, sf_dir):

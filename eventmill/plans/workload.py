@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventmill.sources.lines import spread
+
 # One JSON line per event. Some values of `k` give noise: arrays, text, cut lines, lines of a cut length, blanks,
 # a letter outside ASCII; some give events without a user or with a payload that is no JSON.
 EVENT_LINES = """
@@ -40,5 +42,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`event_id, value` and the parts of the event the oracles speak of."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    spread(table(spark, sf_dir, "events")).createOrReplaceTempView("_events")
     return spark.sql(EVENT_LINES.replace("FROM events", "FROM _events"))

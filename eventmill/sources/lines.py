@@ -24,6 +24,15 @@ def read_lines(
     return lines.withColumn("value", ascii_only(F.col("value"))) if ascii else lines
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle rows evenly when they come in fewer pieces than there are cores, as from a few large gzip files.
+
+    Meant for plain lines, in front of costly work; input in many pieces stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_events(spark: SparkSession, path: str, **options) -> DataFrame:
     """Lines parsed to records."""
     return parse_events(read_lines(spark, path, **options))
