@@ -25,6 +25,7 @@ from eventmill.operators.ordering import number_rows
 from eventmill.operators.ordering import peek as first_rows
 from eventmill.operators.pages import pages_to_text as to_text
 from eventmill.operators.tables import clean_column_names as clean_names
+from eventmill.plans.page_oracle import page_text_sql
 from eventmill.plans.registry import query
 from eventmill.plans.reports import run_report
 from eventmill.plans.resources import export_resources as export
@@ -118,12 +119,12 @@ def visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text_of(F.col("html")).alias("text"))
 
 
-@query()
+@query(page_text_sql())
 def pages_to_text(spark, sf_dir):
     return to_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(page_text_sql(f"regexp_replace(strip_accents({_FOLDED.replace('text', 'html')}), '[^\\x00-\\x7F]', '', 'g')"))
 def problems_to_text(spark, sf_dir):
     return to_ascii_text(table(spark, sf_dir, "pages"))
 
