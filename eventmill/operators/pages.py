@@ -25,6 +25,7 @@ _TOKEN = (
 _END = ""  # token after the last one
 _EMPHASIS = {"em": "_", "i": "_", "u": "_", "strong": "**", "b": "**"}
 _SILENT = ["head", "style", "script"]
+_HEADINGS = [f"h{n}" for n in range(1, 10)]
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -52,9 +53,12 @@ def page_tokens(df: DataFrame, key: str, html: str) -> DataFrame:
     """One row per token `(key, pos, token, tag, opens)`, pages spread by key."""
     spread = df.select(key, html).repartition(key)
     rows = spread.select(key, F.posexplode(_tokens(F.coalesce(F.col(html), F.lit("")))).alias("pos", "token"))
-    is_tag = F.col("token").rlike(r"(?s)^</?[a-zA-Z].*>")
+    # text never starts with the mark, except where the mark is all there is
+    is_tag = F.col("token").startswith("<") & (F.length("token") > 1)
     name = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][^\s/>]*)", 1))
-    return rows.withColumn("tag", F.when(is_tag, name)).withColumn("opens", is_tag & ~F.col("token").startswith("</"))
+    return rows.select(
+        "*", F.when(is_tag, name).alias("tag"), (is_tag & ~F.col("token").startswith("</")).alias("opens")
+    )
 
 
 def _running(rows: DataFrame, key: str) -> DataFrame:
@@ -65,37 +69,35 @@ def _running(rows: DataFrame, key: str) -> DataFrame:
     here = in_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = in_page.rowsBetween(Window.unboundedPreceding, -1)
 
-    def running(condition: Column, step: Column = one) -> Column:
-        return F.sum(F.when(condition, step).otherwise(0)).over(here)
-
     stray = F.when(F.col("token").contains(r"\/script>"), 1).otherwise(0)
     silence = F.when(tag.isin(_SILENT), one).otherwise(0) - F.when(tag.isNull() | tag.isin("script", "style"), stray).otherwise(0)
-    listed = F.when(tag.isNotNull() & ~(tag.rlike("^h[1-9]$") & ~opens), tag.isin("ol", "ul"))
+    lists, links = [F.when(tag.isin(names), one).otherwise(0) for names in (["ol", "ul"], ["a"])]
+    listed = F.when(tag.isNotNull() & ~(tag.isin(_HEADINGS) & ~opens), tag.isin("ol", "ul"))
     rows = rows.select(
         "*",
-        running(F.lit(True), silence).alias("silence"),
-        running(tag == "blockquote").alias("quotes"),
+        F.sum(silence).over(here).alias("silence"),
+        F.sum(F.when(tag == "blockquote", one).otherwise(0)).over(here).alias("quotes"),
         F.coalesce(F.last(F.when(tag == "pre", opens), True).over(here), F.lit(False)).alias("pre"),
-        running(tag.isin("ol", "ul")).alias("lists"),
-        running(tag == "a").alias("links"),
+        F.sum(lists).over(here).alias("lists"),
+        F.sum(links).over(here).alias("links"),
         F.coalesce(F.last(listed, True).over(before), F.lit(False)).alias("after_list"),
-        running(tag == "abbr", F.lit(1)).alias("abbr"),
     )
 
     # closing tags without an opening one do not count: the depth never goes below 0
     def depth(name: str) -> Column:
         return F.col(name) - F.least(F.lit(0), F.min(name).over(here))
 
+    def depth_before(name: str, step: Column) -> Column:
+        return F.col(name) - step - F.least(F.lit(0), F.coalesce(F.min(name).over(before), F.lit(0)))
+
     body = F.last(F.when(tag == "body", F.col("silence")), True).over(here)
     return rows.select(
         *[c for c in rows.columns if c not in ("silence", "lists", "links")],
         (F.col("silence") - F.coalesce(body, F.lit(0)) != 0).alias("quiet"),
         depth("lists").alias("lists"),
         depth("links").alias("links"),
-    ).select(
-        "*",
-        F.coalesce(F.lag("lists").over(in_page), F.lit(0)).alias("lists_before"),
-        F.coalesce(F.lag("links").over(in_page), F.lit(0)).alias("links_before"),
+        depth_before("lists", lists).alias("lists_before"),
+        depth_before("links", links).alias("links_before"),
     )
 
 
@@ -123,10 +125,10 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     return rows.drop("kind", "level")
 
 
-def _emissions(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
-    """What each token writes, and which break it asks for before and after."""
+def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
+    """`(key, pos, piece, last, noted)` for the tokens that write something, and the last one: the text with the break in front of it."""
     tag, opens, pre = F.col("tag"), F.col("opens"), F.col("pre")
-    heading = F.regexp_extract("tag", "^h([1-9])$", 1)
+    heading = tag.isin(_HEADINGS)
     top = F.col("top")
     number = (top["own"]["start"] + F.col("items") - top["items"]).cast("string")
     in_order = (F.col("lists") > 0) & (top["own"]["tag"] == "ol")
@@ -136,7 +138,7 @@ def _emissions(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
     link_end = F.when(F.col("links_before") > 0, F.concat(F.lit("]("), top["own"]["target"], F.lit(")")))
     written = (
         F.when(tag.isNull(), F.when(F.col("token").startswith("&"), entity_text(F.col("token"))).otherwise(F.col("token")))
-        .when((heading != "") & opens, F.concat(F.repeat(F.lit("#"), heading.try_cast("int")), F.lit(" ")))
+        .when(heading & opens, F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" ")))
         .when((tag == "br") & opens, "  \n")
         .when((tag == "hr") & opens, "* * *")
         .when((tag == "blockquote") & opens, "> ")
@@ -150,59 +152,76 @@ def _emissions(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
         .when((tag == "li") & opens, F.concat(F.repeat(F.lit("  "), F.col("lists").cast("int")), marker))
     )
     breaks = (
-        F.when(heading != "", 2)
-        .when(tag.isin("p", "div", "blockquote", "pre"), 2)
+        F.when(heading | tag.isin("p", "div", "blockquote", "pre"), 2)
         .when(tag.isin("hr", "dl", "table", "tr") & opens, 2)
         .when(tag.isin("ol", "ul") & (F.col("lists_before") == 0) & ~F.col("after_list"), 2)
         .when(tag.isin("li", "td"), 1)
         .when(tag.isin("dt", "dd") & ~opens, 1)
         .otherwise(0)
     )
-    rows = rows.withColumn("raw", written).withColumn("breaks", breaks)
     pure = tag.isNull() & ~pre
-    single = F.when(pure, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw"))
-    rows = rows.withColumn("single", single)
-    spaced = F.coalesce(pure & F.col("single").startswith(" ") & ~F.col("quiet"), F.lit(False))
-    data = F.when(pure & F.col("single").startswith(" "), F.substring("single", 2, 1 << 30)).otherwise(F.col("single"))
-    last = F.col("token") == _END
-    opens_quote = (tag == "blockquote") & opens
+    opens_quote = F.coalesce((tag == "blockquote") & opens, F.lit(False))
     # a quote is opened with the marks of the quote around it
     quotes = F.col("quotes") - F.when(opens_quote, 1).otherwise(0)
     margin = F.concat(
         F.repeat(F.lit(">"), F.greatest(quotes, F.lit(0)).cast("int")),
-        F.when((quotes != 0) & ~F.coalesce(opens_quote, F.lit(False)), " ").otherwise(""),
+        F.when((quotes != 0) & ~opens_quote, " ").otherwise(""),
         F.when(pre, "    ").otherwise(""),
     )
-    rows = rows.select("*", data.alias("data"), margin.alias("margin"), spaced.alias("spaced"), last.alias("last"))
-    writes = ~F.col("quiet") & ((F.length("data") > 0) | last)
-    here = Window.partitionBy(key).orderBy("pos")
-    hr, restart = (tag == "hr") & opens, opens_quote | ((tag == "li") & opens)
-    rows = rows.withColumn("writes", F.coalesce(writes, F.lit(False)))
-    count = F.sum(F.col("writes").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, -1))
-    ended = (tag == "abbr") & ~opens & F.lag("titled").over(here)
-    rows = rows.withColumn("title", F.when((tag == "abbr") & opens, _attribute(F.col("token"), "title")))
-    # the abbreviation a token is part of, if that has a title
-    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    about = F.last(F.when(tag == "abbr", F.struct(opens.alias("opens"), F.col("title").alias("title"))), True).over(so_far)
-    rows = rows.withColumn("titled", F.coalesce(about["opens"] & about["title"].isNotNull(), F.lit(False)))
-    rows = rows.withColumn("title", F.when(F.col("titled"), about["title"]))
+    rows = rows.select(
+        key, "pos", "tag", "opens", "pre", "quiet", (F.col("token") == _END).alias("last"), breaks.alias("breaks"),
+        opens_quote.alias("opens_quote"), margin.alias("margin"), written.alias("raw"),
+        F.when(tag == "abbr", F.struct(opens.alias("opens"), F.when(opens, _attribute(F.col("token"), "title")).alias("title"))).alias("abbr"),
+    ).withColumn("text", F.when(pure, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
+    spaced = F.coalesce(pure & F.col("text").startswith(" "), F.lit(False))
+    rows = rows.select(
+        "*", (spaced & ~F.col("quiet")).alias("spaced"), F.when(spaced, F.substring("text", 2, 1 << 30)).otherwise(F.col("text")).alias("data")
+    ).withColumn("writes", ~F.col("quiet") & (F.coalesce(F.length("data") > 0, F.lit(False)) | F.col("last")))
+
+    # Marks pending at a token are those younger than the last token that wrote. A token asks for its break before it
+    # writes (2 * pos) and for what follows it afterwards (2 * pos + 1).
+    in_page = Window.partitionBy(key).orderBy("pos")
+    here = in_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = in_page.rowsBetween(Window.unboundedPreceding, -1)
+    asks, follows = F.col("pos") * 2, F.col("pos") * 2 + 1
+    paragraph = F.max(F.when((tag == "hr") & opens, follows).when(F.col("breaks") == 2, asks))
+    written_before = F.max(F.when(F.col("writes"), asks)).over(before)
+    restart = F.coalesce(F.max(F.when(F.col("opens_quote") | ((tag == "li") & opens), follows)).over(before), F.lit(-1))
+    rows = rows.select(
+        key, "pos", "tag", "last", "pre", "margin", "data", "raw", "writes",
+        F.coalesce(written_before, F.lit(-2)).alias("since"),
+        # a rule has a paragraph break on both sides; of its own only the one in front counts here
+        F.greatest(F.coalesce(paragraph.over(before), F.lit(-2)), F.when(F.col("breaks") == 2, asks).otherwise(-2)).alias("paragraph"),
+        F.coalesce(F.max(F.when(F.col("breaks") == 1, asks)).over(here), F.lit(-2)).alias("line"),
+        restart.alias("restart"),
+        F.coalesce(F.max(F.when(F.col("spaced"), asks)).over(here), F.lit(-2)).alias("space"),
+        F.coalesce(F.last(F.when(F.col("writes"), F.col("data").endswith("\n")), True).over(before), F.lit(False)).alias("line_ended"),
+        F.last("abbr", True).over(here).alias("about"),
+        F.last("abbr", True).over(before).alias("about_before"),
+        F.count("abbr").over(here).alias("abbr"),
+    )
+    since = F.col("since")
+    lead = (
+        F.when(F.col("last"), "\n")
+        .when(F.col("restart") > since, "")
+        .when(F.col("paragraph") > since, F.repeat(F.concat(F.lit("\n"), F.col("margin")), F.lit(2)))
+        .when(F.col("line") > since, F.concat(F.lit("\n"), F.col("margin")))
+        .when((F.col("space") > since) & ~F.col("line_ended"), " ")
+        .otherwise("")
+    )
+    data = F.when(pre, F.replace("data", F.lit("\n"), F.concat(F.lit("\n"), F.col("margin")))).otherwise(F.col("data"))
+    is_abbr = F.coalesce(tag == "abbr", F.lit(False))
+    nothing = F.lit(None).cast("string")
     noted = F.when(
-        F.col("titled") & (tag.isNull() | (tag != "abbr")),
-        F.struct("abbr", "pos", F.col("raw").alias("text"), F.lit(None).cast("string").alias("title")),
+        ~is_abbr & F.col("about.title").isNotNull(),
+        F.struct("abbr", "pos", F.coalesce("raw", F.lit("")).alias("text"), nothing.alias("title")),
     ).when(
-        F.coalesce(ended, F.lit(False)),
-        F.struct((F.col("abbr") - 1).alias("abbr"), "pos", F.lit(None).cast("string").alias("text"),
-                 F.lag("title").over(here).alias("title")),
+        is_abbr & ~F.col("about.opens") & F.col("about_before.title").isNotNull(),
+        F.struct((F.col("abbr") - 1).alias("abbr"), "pos", nothing.alias("text"), F.col("about_before.title").alias("title")),
     )
     return rows.select(
-        key,
-        F.coalesce(count, F.lit(0)).alias("part"),
-        F.greatest("breaks", F.lag(F.when(hr, 2).otherwise(0), 1, 0).over(here)).alias("breaks"),
-        F.coalesce(F.lag(restart, 1, True).over(here), F.lit(False)).alias("restart"),
-        "spaced", "writes", "last", "pre", "margin",
-        F.when(pre, F.replace(F.col("data"), F.lit("\n"), F.concat(F.lit("\n"), F.col("margin")))).otherwise(F.col("data")).alias("data"),
-        noted.alias("noted"),
-    )
+        key, "pos", "last", F.when(F.col("writes"), F.concat(lead, F.coalesce(data, F.lit("")))).alias("piece"), noted.alias("noted")
+    ).where(F.col("piece").isNotNull() | F.col("noted").isNotNull() | F.col("last"))
 
 
 def _definitions(noted: Column) -> Column:
@@ -225,32 +244,12 @@ def pages_to_text(
 
     `key` names a column that is unique per page.
     """
-    tokens = _emissions(_matched(_running(page_tokens(df, key, html), key), key), key, list_mark)
-    parts = tokens.groupBy(key, "part").agg(
-        F.max("breaks").alias("breaks"),
-        F.max("restart").alias("restart"),
-        F.max("spaced").alias("spaced"),
-        F.max(F.when(F.col("writes"), F.struct("last", "margin", "data"))).alias("out"),
-        F.collect_list("noted").alias("noted"),
-    )
-    out = F.col("out")
-    in_page = Window.partitionBy(key).orderBy("part")
-    previous_ends_line = F.coalesce(F.lag(F.col("out.data")).over(in_page).endswith("\n"), F.lit(False))
-    lead = (
-        F.when(out["last"], "\n")
-        .when(F.col("restart"), "")
-        .when(F.col("breaks") > 0, F.repeat(F.concat(F.lit("\n"), out["margin"]), F.col("breaks")))
-        .when(F.col("spaced") & ~previous_ends_line, " ")
-        .otherwise("")
-    )
-    pieces = parts.select(
-        key, "part", "noted", F.when(out.isNotNull(), F.concat(lead, F.coalesce(out["data"], F.lit("")))).alias("piece"),
-        F.coalesce(out["last"], F.lit(False)).alias("ended"),
-    )
+    pieces = _pieces(_matched(_running(page_tokens(df, key, html), key), key), key, list_mark)
+    piece = F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))
     pages = pieces.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("part", "piece")))).alias("pieces"),
-        F.array_sort(F.flatten(F.collect_list("noted"))).alias("noted"),
-        F.max("ended").alias("ended"),
+        F.array_sort(F.collect_list(piece)).alias("pieces"),
+        F.array_sort(F.collect_list("noted")).alias("noted"),
+        F.max(F.col("last") & F.col("piece").isNotNull()).alias("ended"),
     )
     notes = F.when(F.col("ended") & (F.size("noted") > 0), _definitions(F.col("noted"))).otherwise("")
     text = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), notes)
@@ -267,7 +266,7 @@ def wrap_paragraphs(text: Column, width: int = 78) -> Column:
         return text
     fits = rf"(.{{0,{width - 1}}}\S)(?:\s+|\z|(?={_HYPHEN}))"
     # a word longer than a line starts where it stands and is cut at the margin
-    long_word = rf"(?=(?:.{{0,{width - 1}}}?(?:(?<=\s)|{_HYPHEN}))?\S(?:(?!{_HYPHEN})\S){{{width}}})(.{{{width}}})\s*"
+    long_word = rf"(?=(?:.{{0,{width}}}?(?:(?<=\s)|{_HYPHEN}))?\S(?:(?!{_HYPHEN})\S){{{width}}})(.{{{width}}})\s*"
 
     def wrapped(line: Column) -> Column:
         lines = F.when(
