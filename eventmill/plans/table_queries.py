@@ -52,11 +52,9 @@ def short_hash(spark, sf_dir):
 FROM (SELECT lower(lpad(to_hex(i), 3, '0')) AS shard FROM range(4096) r(i)) s
 LEFT JOIN customer ON substr(md5(c_name), 1, 3) = s.shard GROUP BY s.shard""")
 def all_short_hashes(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", hash_prefix(F.col("c_name")).alias("shard"))
-    return (
-        shard_names(spark).join(customers, "shard", "left").groupBy("shard")
-        .agg(F.count("c_custkey").alias("customers"))
-    )
+    # counted first: what is joined has one row per shard
+    counted = table(spark, sf_dir, "customer").groupBy(hash_prefix(F.col("c_name")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return shard_names(spark).join(counted, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).cast("bigint").alias("customers"))
 
 
 # ids in several spellings of one run, made from customer keys
@@ -203,7 +201,7 @@ m AS (SELECT *, p / sum(p) OVER (PARTITION BY label, lang, source) AS q FROM w),
 c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY label, lang, source ORDER BY q DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
 SELECT label, lang, source, n, k, round(min(i) / 1000.0, 3) AS low, round(arg_max(i, q) / 1000.0, 3) AS mode, round(max(i) / 1000.0, 3) AS high
 FROM c WHERE before < 0.95 GROUP BY label, lang, source, n, k
-UNION ALL SELECT label, lang, source, n, k, round(k / n - 1.96 * sqrt(k / n * (1 - k / n) / n), 3), round(k / n, 3),
+UNION ALL SELECT label, lang, source, n, k::BIGINT, round(k / n - 1.96 * sqrt(k / n * (1 - k / n) / n), 3), round(k / n, 3),
   round(k / n + 1.96 * sqrt(k / n * (1 - k / n) / n), 3) FROM (SELECT label, lang, source, n, k::DOUBLE AS k FROM g WHERE k >= 40)"""
 
 
