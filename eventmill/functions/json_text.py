@@ -58,11 +58,10 @@ def record_text(record: Column) -> Column:
 
 def sorted_record_text(record: Column) -> Column:
     """Record as JSON text with its keys in order; nested objects are printed in key order anyway."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(record), _by_key)))
-
-
-def _by_key(left: Column, right: Column) -> Column:
-    return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
+    return let(
+        F.array_sort(F.map_keys(record)),
+        lambda keys: F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda key: record[key]))),
+    )
 
 
 def as_object(value: Column) -> Column:

@@ -71,14 +71,13 @@ def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     Every stretch of a line that is as long as some name is joined with the names. Equal lines are searched once.
     Lines are cut into overlapping pieces first, which keeps the work linear in their length.
     """
-    lengths = names.select(F.length("name").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))
+    # the different lengths, a handful of numbers
+    lengths = [row["n"] for row in names.select(F.length("name").alias("n")).distinct().collect()]
     texts = df.select(F.col(column).alias("text")).where(F.length("text") > 0).distinct()
     digest = F.unhex(F.sha2("text", 256))
     pieces = texts.select(
         digest.alias("line"), "text", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(_PIECE))).alias("at")
     )
-    # one row with the few distinct lengths, read by every task
-    pieces = pieces.join(F.broadcast(lengths))
 
     def stretches(n: Column) -> Column:
         piece = F.substr("text", F.col("at"), n + (_PIECE - 1))
@@ -87,7 +86,7 @@ def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
             last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(piece, i, n))
         ).otherwise(F.array().cast("array<string>"))
 
-    stretch = F.explode(F.array_distinct(F.flatten(F.transform("lengths", stretches)))).alias("name")
+    stretch = F.explode(F.array_distinct(F.concat(*[stretches(F.lit(n)) for n in lengths]))).alias("name")
     found = pieces.select("line", stretch).join(names, "name", "left_semi").select("line").distinct()
     return (
         df.withColumn("_line", F.unhex(F.sha2(column, 256)))

@@ -106,14 +106,14 @@ def incremental_manifest(spark, sf_dir):
     return files.incremental_manifest(listed.drop("lang"), store)
 
 
-@query(f"""WITH lines AS ({EVENT_LINES}) SELECT count(*) AS lines, count(DISTINCT value) AS different, true AS within_limit FROM lines""")
+@query(f"WITH lines AS ({EVENT_LINES}) SELECT value, count(*) AS copies, true AS within_limit FROM lines GROUP BY value")
 def save_events(spark, sf_dir):
     path = scratch_path(spark, "parts")
     lines.save_events(event_lines(spark, sf_dir).select("value"), path, most=1000)
     saved = lines.read_lines(spark, path, only_gz=True, ascii=False, file_column="file")
-    per_file = saved.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    totals = saved.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("value").alias("different"))
-    return totals.join(F.broadcast(per_file.agg((F.max("n") <= 1000).alias("within_limit"))))
+    sizes = saved.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return saved.join(sizes, "file").groupBy("value").agg(
+        F.count(F.lit(1)).alias("copies"), (F.max("n") <= 1000).alias("within_limit"))
 
 
 @query("SELECT event_id, event_type, user_id, value FROM events")

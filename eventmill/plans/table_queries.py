@@ -31,6 +31,7 @@ from eventmill.plans.reports import run_report
 from eventmill.plans.resources import export_resources as export
 from eventmill.plans.resources import problems_to_text as to_ascii_text
 from eventmill.plans.workload import table
+from eventmill.sources.lines import spread
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 500 THEN text END AS text, lang FROM documents")
@@ -119,7 +120,7 @@ def visible_text(spark, sf_dir):
 
 @query(page_text_sql())
 def pages_to_text(spark, sf_dir):
-    return to_text(table(spark, sf_dir, "pages"))
+    return to_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query(page_text_sql(f"regexp_replace(strip_accents({_FOLDED.replace('text', 'html')}), '[^\\x00-\\x7F]', '', 'g')"))
@@ -144,7 +145,7 @@ def exclude_list(spark, sf_dir):
 def filter_lines_by_users(spark, sf_dir):
     words = table(spark, sf_dir, "conversations").select(F.get(F.split("text", " "), F.lit(1)).alias("username"))
     users = words.where(F.length("username") >= 6)
-    return lines_by_users(table(spark, sf_dir, "documents"), users, "text").select("doc_id", "lang")
+    return lines_by_users(spread(table(spark, sf_dir, "documents")), users, "text").select("doc_id", "lang")
 
 
 @query("SELECT n_name, r_regionkey::BIGINT AS n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -9,9 +9,10 @@ from eventmill.functions.identity import all_short_hashes, short_hash
 from eventmill.functions.plain_text import ascii_fold, entity_text
 from eventmill.functions.typed import clean_header, clean_name, parse_dollars, parse_int
 from eventmill.operators.counts import event_count, field_set, item_count_probe, proportion_bounds, users_count
-from eventmill.operators.filters import date_gt, filter_fields, parse_cutoff
+from eventmill.operators.filters import date_gt, filter_events, filter_fields, parse_cutoff
 from eventmill.operators.joins import filter_lines_by_users, lookup_join
 from eventmill.operators.ordering import big_sort, merge_sorted, number_rows
+from eventmill.operators.privacy import tokenize_users
 from eventmill.operators.project import map_keep_truthy
 
 
@@ -163,3 +164,20 @@ def test_merge_of_sorted_frames(spark):
     lists = [sorted((chance.randrange(50) for _ in range(10)), reverse=True) for _ in range(3)] + [[]]
     merged = merge_sorted([column(spark, values, "int") for values in lists], "c")
     assert [row.c for row in merged.collect()] == sorted(sum(lists, []), reverse=True)
+
+
+def test_filters_on_plain_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("SELECT timestamp_ntz'2024-01-02' AS time, 'a' AS event_type, 1 AS other").write.parquet(path)
+    chosen = filter_events(date_gt(spark.read.parquet(path), "2024-01-01"), ["a", "b"]).select("event_type")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(time" in plan and "In(event_type" in plan and "other" not in plan
+    assert chosen.count() == 1
+
+
+def test_events_are_not_shuffled_for_tokens(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("SELECT 1L AS id, 'a' AS user, 'x' AS more").write.parquet(path)
+    plan = tokenize_users(spark.read.parquet(path), "user", "id")._jdf.queryExecution().executedPlan().toString()
+    # one exchange, of users reduced to their first id
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
