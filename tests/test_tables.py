@@ -47,13 +47,13 @@ def test_a_course_without_run_fails_when_strict(spark):
 
 def test_source_institution(spark):
     rows = [
-        ("server", "/courses/MITx/6/about", None, None), ("server", "/dashboard", None, None), ("server", "check", None, "i4x:/a/MITx/p"),
-        ("server", "check", None, None), ("browser", None, "http://h/courses/MITx/6", None), ("browser", None, "http://h/", None),
+        ("server", "/courses/OrgX/6/about", None, None), ("server", "/dashboard", None, None), ("server", "check", None, "i4x:/a/OrgX/p"),
+        ("server", "check", None, None), ("browser", None, "http://h/courses/OrgX/6", None), ("browser", None, "http://h/", None),
         ("browser", None, "http://courses/", None), ("mobile", "x", "y", "z"),
     ]
     frame = spark.createDataFrame(rows, "s string, k string, p string, i string")
     found = frame.select(source_institution(*[F.col(c) for c in "skpi"])).collect()
-    assert [row[0] for row in found] == ["MITx", "Global", "MITx", "Unhandled", "MITx", "BGE", None, None]
+    assert [row[0] for row in found] == ["OrgX", "Global", "OrgX", "Unhandled", "OrgX", "BGE", None, None]
 
 
 def test_event_date(spark):
