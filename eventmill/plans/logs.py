@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.functions.json_text import record_text
 from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
 from eventmill.operators.filters import date_gt
+from eventmill.operators.joins import filter_lines_by_users
 from eventmill.operators.ordering import big_sort
 from eventmill.operators.parse import parse_events
 from eventmill.operators.privacy import desensitize, record_user_tokens
 from eventmill.sources.cached import cache_events
-from eventmill.sources.lines import save_events
+from eventmill.sources.lines import read_lines, save_events
+from eventmill.sources.shards import write_shards
 
 # What desensitizing removes at the top and in the context, and in the event.
 SENSITIVE_FIELDS = ["agent", "ip", "host", "user_id", "session"]
@@ -50,3 +52,13 @@ def sort_log(df: DataFrame) -> DataFrame:
     # A global sort reads its input twice, first for a sample. Decoding costs far more than a shuffle: rebalanced,
     # the second read finds the decoded lines.
     return big_sort(lines.hint("rebalance"), F.col("key")).select("value")
+
+
+def filter_log_by_users(spark: SparkSession, source: str, users: DataFrame, out: str) -> None:
+    """Copy the lines that name a listed user, as gzip text in one folder `file=<name>` per input file.
+
+    The name is the path below the source, with `_` for `/`.
+    """
+    lines = filter_lines_by_users(read_lines(spark, source, ascii=False, file_column="file"), users)
+    below = F.split_part("file", F.lit(source.rstrip("/") + "/"), F.lit(-1))
+    write_shards(lines.select(F.replace(below, F.lit("/"), F.lit("_")).alias("file"), "value"), out, column="file")

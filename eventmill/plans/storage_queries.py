@@ -8,6 +8,7 @@ from eventmill.functions.paths import field
 from eventmill.operators.filters import low_income_codes as poor_codes
 from eventmill.operators.parse import parse_events
 from eventmill.plans.logs import clean_and_desensitize
+from eventmill.plans.logs import filter_log_by_users as copy_lines_of_users
 from eventmill.plans.record_queries import EVENTS, LINES
 from eventmill.plans.registry import query
 from eventmill.plans.reports import save_reports
@@ -277,3 +278,12 @@ def desensitize_to_cache(spark, sf_dir):
     masked = clean_and_desensitize(event_lines(spark, sf_dir), "event_id").select("event_id", "rec")
     cached.cache_events(masked, path)
     return cached.read_cached_events(spark, path).select("event_id", "event_type")
+
+
+@query(f"""WITH lines AS ({EVENT_LINES}) SELECT value FROM lines l WHERE EXISTS
+  (SELECT 1 FROM customer WHERE c_acctbal < -900 AND contains(l.value, 'user' || c_custkey))""")
+def filter_log_by_users(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("user"), "c_custkey").alias("username"))
+    source = _saved_lines(spark, sf_dir, "lines")
+    copy_lines_of_users(spark, source, users, f"{source}-found")
+    return shards.read_shards(spark, [f"{source}-found"], "file").select("value")

@@ -38,9 +38,9 @@ def shard_by_user(df: DataFrame, path: str, most: int = 200, mode: str = "errori
     write_shards(user_shards(df, most), path, mode)
 
 
-def read_shards(spark: SparkSession, runs: list[str]) -> DataFrame:
+def read_shards(spark: SparkSession, runs: list[str], column: str = "shard") -> DataFrame:
     """All lines of several runs with their shard. The schema is given, as names like `001` would be read as numbers."""
-    frames = [spark.read.schema("value string, shard string").text(run) for run in runs]
+    frames = [spark.read.schema(f"value string, {column} string").text(run) for run in runs]
     return reduce(DataFrame.unionByName, frames)
 
 

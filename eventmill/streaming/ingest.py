@@ -37,6 +37,11 @@ def running_counts(stream: DataFrame, path: str) -> DataFrame:
     return stream.groupBy(event_field(stream, path).alias(path)).agg(F.count(F.lit(1)).alias("events"))
 
 
+def show_stream(stream: DataFrame, rows: int = 20) -> StreamingQuery:
+    """Print the first rows of each batch of what is there now."""
+    return stream.writeStream.format("console").option("numRows", rows).trigger(availableNow=True).start()
+
+
 def read_tokens(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema("user string, number bigint, token string, batch bigint").parquet(table)
 

@@ -14,7 +14,7 @@ from eventmill.operators.parse import parse_events, repair_events
 from eventmill.operators.privacy import drop_fields
 from eventmill.operators.project import json_select, select_fields
 from eventmill.operators.shape import flatten
-from eventmill.plans.logs import desensitize_to, sort_log
+from eventmill.plans.logs import desensitize_to, filter_log_by_users, sort_log
 from eventmill.session import scratch_path
 from eventmill.sources import cached, files, lines as line_files, shards
 from eventmill.streaming import ingest
@@ -125,6 +125,16 @@ def test_masked_logs_in_both_formats(spark, tmp_path, lines):
         desensitize_to(frame, "id", str(tmp_path / "other"), format="bson")
 
 
+def test_lines_of_users_stay_with_their_file(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for name, values in (("a", ["x u1", "é u2", "none"]), ("b", ["none"]), ("c", ["u1"])):
+        _folder(tmp_path / "logs", name, values)
+    users = spark.createDataFrame([(" u1",), ("u2",), ("",)], "username string")
+    filter_log_by_users(spark, str(tmp_path / "logs"), users, str(tmp_path / "out"))
+    found = shards.read_shards(spark, [str(tmp_path / "out")], "file").collect()
+    assert sorted((r.file, r.value) for r in found) == [("a_log.gz", "x u1"), ("a_log.gz", "é u2"), ("c_log.gz", "u1")]
+
+
 def test_log_is_sorted_by_user_and_time(lines):
     found = [json.loads(r.value) for r in sort_log(lines(*LOG)).collect()]
     keys = [r["username"] + " " + r["time"] for r in found]
@@ -173,6 +183,13 @@ def test_text_operators_give_the_same_on_a_stream(spark, tmp_path):
         assert streamed == sorted(r.value for r in change(line_files.read_lines(spark, folder)).collect()) and streamed, name
 
 
+def test_a_stream_can_be_shown(spark, tmp_path):
+    stream = line_files.read_lines(spark, _folder(tmp_path, "in", LOG), streaming=True)
+    shown = ingest.show_stream(stream, 2)
+    shown.awaitTermination()
+    assert shown.exception() is None
+
+
 def test_files_are_taken_once(spark, tmp_path):
     folder = _folder(tmp_path, "in", LOG)
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
