@@ -281,9 +281,9 @@ def desensitize_to_cache(spark, sf_dir):
 
 
 @query(f"""WITH lines AS ({EVENT_LINES}) SELECT value FROM lines l WHERE EXISTS
-  (SELECT 1 FROM customer WHERE c_acctbal < -900 AND contains(l.value, 'user' || c_custkey))""")
+  (SELECT 1 FROM customer WHERE c_acctbal < 0 AND contains(l.value, 'user' || c_custkey))""")
 def filter_log_by_users(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("user"), "c_custkey").alias("username"))
+    users = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("user"), "c_custkey").alias("username"))
     source = _saved_lines(spark, sf_dir, "lines")
     copy_lines_of_users(spark, source, users, f"{source}-found")
     return shards.read_shards(spark, [f"{source}-found"], "file").select("value")
