@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventmill.llm.bpe import decode_ids, encode_texts
+from eventmill.llm.html_text import extract_text
 from eventmill.llm.mixing import mix_sources
-from eventmill.llm.secrets import ACCESS, ASSIGN, ASSIGN_VALUE, CLASSES, HEX, ALLOWED, BASE, described, scan_secrets
+from eventmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, BASE, CLASSES, HEX, described, scan_secrets
 from eventmill.llm.sharding import shard_by_curve
+from eventmill.llm.topk import top_products
+from eventmill.llm.warc import read_archives, resolve_revisits, with_payload_size, write_archives
 from eventmill.plans.registry import query
 from eventmill.plans.workload import table
+from eventmill.session import scratch_path
 
 
 def _quoted(text: str) -> str:
@@ -106,3 +112,52 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("""
+SELECT q.query_id, q.rank, q.vec_id, q.score FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score,
+    (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id))::INT AS rank
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) q WHERE q.rank <= 5
+""".replace("FROM v a JOIN v b", "FROM {v} a JOIN {v} b").format(
+    v="(SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings)"
+))
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+_BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at}, 5))::INT >> {s}) & 31) + 1, 1)"
+    for at in range(1, 41, 5)
+    for s in (15, 10, 5, 0)
+)
+
+
+@query(f"""
+SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages) p
+""")
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archives(resolve_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return with_payload_size(read_archives(spark, path))
+
+
+@query()
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, path, public_tokenizers.PATTERN).drop("text")
+    return decode_ids(encoded, path).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
