@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from eventmill.llm.common import with_fields
 
 #: Pre-tokens kept with their ids in each worker; longer ones than LONG_TOKEN are not kept. More are encoded anew.
-KEPT_TOKENS, LONG_TOKEN = 100_000, 64
+KEPT_TOKENS, LONG_TOKEN = 400_000, 64
 #: Tokens handled at a time, so that a very long text needs no more than its ids.
 TOKENS_AT_ONCE = 200_000
 
@@ -88,27 +89,29 @@ class Codec:
         self.characters = dict(enumerate(byte_characters()))
         byte_of = {c: b for b, c in self.characters.items()}
         self.bytes_of = [bytes(byte_of[c] for c in self.pieces.id_to_piece(i)) for i in range(self.pieces.vocab_size() - 1)]
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def _new(self, tokens: list[str]) -> dict[str, list[int]]:
+    def _learn(self, tokens: list[str]) -> None:
         mapped = [t.encode().decode("latin-1").translate(self.characters) for t in tokens]
-        found = dict(zip(tokens, self.pieces.encode(mapped), strict=True))
-        if len(self.kept) + len(found) > KEPT_TOKENS:
-            self.kept.clear()
-        self.kept.update((t, ids) for t, ids in found.items() if len(t) <= LONG_TOKEN)
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+        for token, ids in zip(tokens, self.pieces.encode(mapped), strict=True):
+            self.kept[token] = struct.pack(f"<{len(ids)}i", *ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        parts, kept = [], self.kept
         matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > TOKENS_AT_ONCE else iter(self.pattern.findall(text))
         while tokens := list(islice(matches, TOKENS_AT_ONCE)):
-            kept = self.kept
-            unknown = {t for t in tokens if t not in kept}
-            known = {**{t: kept[t] for t in set(tokens) - unknown}, **self._new(list(unknown))} if unknown else kept
-            ids.extend(chain.from_iterable(map(known.__getitem__, tokens)))
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
+            if unknown := set(tokens).difference(kept):
+                self._learn(list(unknown))
+            parts.append(b"".join(map(kept.__getitem__, tokens)))
+            if len(kept) > KEPT_TOKENS:
+                kept.clear()
+            elif unknown:
+                for token in unknown:
+                    if len(token) > LONG_TOKEN:
+                        del kept[token]
+        return np.frombuffer(b"".join(parts), "<i4")
+
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
