@@ -93,7 +93,7 @@ class Codec:
 
     def _learn(self, tokens: list[str]) -> None:
         mapped = [t.encode().decode("latin-1").translate(self.characters) for t in tokens]
-        for token, ids in zip(tokens, self.pieces.encode(mapped), strict=True):
+        for token, ids in zip(tokens, self.pieces.encode(mapped, num_threads=1), strict=True):
             self.kept[token] = struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> np.ndarray:
