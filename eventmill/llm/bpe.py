@@ -125,6 +125,16 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def _values(column: pa.Array) -> Iterator:
+    """Texts, or lists of numbers cut from the numbers of the whole batch."""
+    if not pa.types.is_list(column.type):
+        yield from column.to_pylist()
+        return
+    ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
+    for start, end, known in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False):
+        yield flat[start:end] if known else None
+
+
 def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, function) -> DataFrame:
     """Add a column made from another in Arrow batches."""
     schema = with_fields(df.schema, T.StructField(name, kind))
@@ -133,7 +143,7 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = function()
         for batch in chain.from_iterable(map(_slices, batches)):
-            made = pa.array([convert(x) for x in batch.column(source).to_pylist()], arrow)
+            made = pa.array([convert(x) for x in _values(batch.column(source))], arrow)
             yield pa.RecordBatch.from_arrays([made if n == name else batch.column(n) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
