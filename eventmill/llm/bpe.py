@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -96,20 +96,41 @@ class Codec:
         for token, ids in zip(tokens, self.pieces.encode(mapped, num_threads=1), strict=True):
             self.kept[token] = struct.pack(f"<{len(ids)}i", *ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        parts, kept = [], self.kept
-        matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > TOKENS_AT_ONCE else iter(self.pattern.findall(text))
-        while tokens := list(islice(matches, TOKENS_AT_ONCE)):
-            if unknown := set(tokens).difference(kept):
-                self._learn(list(unknown))
-            parts.append(b"".join(map(kept.__getitem__, tokens)))
-            if len(kept) > KEPT_TOKENS:
-                kept.clear()
-            elif unknown:
-                for token in unknown:
-                    if len(token) > LONG_TOKEN:
-                        del kept[token]
-        return np.frombuffer(b"".join(parts), "<i4")
+    def _ids(self, tokens: list[str], ends: list[int]) -> list[bytes]:
+        """Ids of the tokens up to each end. Each distinct token is looked up once in the large table."""
+        distinct = set(tokens)
+        if unknown := distinct.difference(self.kept):
+            self._learn(list(unknown))
+        near = dict(zip(distinct, map(self.kept.__getitem__, distinct), strict=True))
+        if len(self.kept) > KEPT_TOKENS:
+            self.kept.clear()
+        for token in unknown:
+            if len(token) > LONG_TOKEN:
+                self.kept.pop(token, None)
+        return [b"".join(map(near.__getitem__, tokens[start:end])) for start, end in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, four bytes each. Texts are taken together up to a number of tokens."""
+        tokens: list[str] = []
+        ends: list[int] = []
+        for text in texts:
+            if len(text) > TOKENS_AT_ONCE:
+                yield from self._ids(tokens, ends)
+                tokens, ends = [], []
+                matches, parts = (m.group() for m in self.pattern.finditer(text)), []
+                while some := list(islice(matches, TOKENS_AT_ONCE)):
+                    parts += self._ids(some, [len(some)])
+                yield b"".join(parts)
+                continue
+            tokens += self.pattern.findall(text)
+            ends.append(len(tokens))
+            if len(tokens) > TOKENS_AT_ONCE // 4:
+                yield from self._ids(tokens, ends)
+                tokens, ends = [], []
+        yield from self._ids(tokens, ends)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join(self.encode_all([text])), "<i4").tolist()
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -125,17 +146,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _values(column: pa.Array) -> Iterator:
-    """Texts, or lists of numbers cut from the numbers of the whole batch."""
-    if not pa.types.is_list(column.type):
-        yield from column.to_pylist()
-        return
-    ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
-    for start, end, known in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False):
-        yield flat[start:end] if known else None
-
-
-def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, function) -> DataFrame:
+def _mapped(df: DataFrame, name: str, kind: T.DataType, source: str, function: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """Add a column made from another in Arrow batches."""
     schema = with_fields(df.schema, T.StructField(name, kind))
     names = [f.name for f in schema.fields]
@@ -143,7 +154,7 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = function()
         for batch in chain.from_iterable(map(_slices, batches)):
-            made = pa.array([convert(x) for x in _values(batch.column(source))], arrow)
+            made = convert(batch.column(source))
             yield pa.RecordBatch.from_arrays([made if n == name else batch.column(n) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
@@ -160,9 +171,15 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, column: str = "te
 
     def function():
         codec = _codec(model.value, pattern)
-        return lambda text: codec.encode(text or "")
 
-    return _mapped(df, "token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), column, function)
+        def convert(texts: pa.Array) -> pa.Array:
+            parts = list(codec.encode_all(t or "" for t in texts.to_pylist()))
+            ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype="i4")
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+        return convert
+
+    return _mapped(df, "token_ids", T.ArrayType(T.IntegerType()), column, function)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, column: str = "token_ids") -> DataFrame:
@@ -171,6 +188,11 @@ def decode_ids(df: DataFrame, ranks_path: str, column: str = "token_ids") -> Dat
 
     def function():
         codec = _codec(model.value, "")
-        return lambda ids: codec.decode(ids or [])
 
-    return _mapped(df, "decoded", T.BinaryType(), pa.binary(), column, function)
+        def convert(ids: pa.Array) -> pa.Array:
+            ends, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
+            return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+        return convert
+
+    return _mapped(df, "decoded", T.BinaryType(), column, function)
