@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventmill.llm.bpe import decode_ids, encode_texts
 from eventmill.llm.html_text import extract_text
 from eventmill.llm.mixing import mix_sources
+from eventmill.llm.ngram_join import link_components
 from eventmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, BASE, CLASSES, HEX, described, scan_secrets
 from eventmill.llm.sharding import shard_by_curve
 from eventmill.llm.topk import top_products
@@ -161,3 +162,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"), width=4, percent=85)
