@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from eventmill.llm.bpe import decode_ids, encode_texts
 from eventmill.llm.html_text import extract_text
 from eventmill.llm.mixing import mix_sources
+from eventmill.llm.neighbours import nearest_neighbours
 from eventmill.llm.ngram_join import link_components
+from eventmill.llm.quality import score_quality
 from eventmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, BASE, CLASSES, HEX, described, scan_secrets
 from eventmill.llm.sharding import shard_by_curve
 from eventmill.llm.topk import top_products
@@ -167,3 +169,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents name no URL: the source is the host, the language the path below it."""
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "evidence", "host_prior", "path_prior", "quality", "keep")
+
+
+@query()
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
