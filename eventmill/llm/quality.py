@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +69,20 @@ def with_features(df: DataFrame, name: str, column: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], float]:
-    """Weights and bias of a logistic regression by Newton steps; without both classes, no evidence at all."""
+@dataclass(frozen=True)
+class Fitted:
+    """Weights, bias, and the range of each feature in the rows it was fitted on."""
+
+    weights: list[float]
+    bias: float
+    low: list[float]
+    high: list[float]
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Fitted:
+    """Logistic regression by Newton steps; without both classes, no evidence at all."""
     if len(y) == 0 or y.min() == y.max():
-        return [0.0] * len(FEATURES), 0.0
+        return Fitted(*[[0.0] * len(FEATURES), 0.0, [0.0] * len(FEATURES), [0.0] * len(FEATURES)])
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
@@ -84,7 +95,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float],
         if np.abs(step).max() < 1e-8:
             break
     own = w[:-1] / scale
-    return own.tolist(), float(w[-1] - own @ mean)
+    return Fitted(own.tolist(), float(w[-1] - own @ mean), x.min(0).tolist(), x.max(0).tolist())
 
 
 def _logit(p: Column) -> Column:
@@ -92,10 +103,11 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _evidence(name: str, weights: Sequence[float], bias: float) -> Column:
-    total = F.lit(bias)
-    for k, w in enumerate(weights):
-        total = total + F.get(F.col(name), F.lit(k)) * F.lit(w)
+def _evidence(name: str, fitted: Fitted) -> Column:
+    """Log odds of a row; a feature outside what the fitted rows show counts as the nearest that they show."""
+    total = F.lit(fitted.bias)
+    for k, (w, low, high) in enumerate(zip(fitted.weights, fitted.low, fitted.high, strict=True)):
+        total = total + F.least(F.greatest(F.get(F.col(name), F.lit(k)), F.lit(low)), F.lit(high)) * F.lit(w)
     return F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))
 
 
@@ -117,18 +129,18 @@ def strength(sites: DataFrame, mean: float) -> float:
 class QualityModel:
     """Fitted evidence weights, and a saved table `_host, _path, host_prior, path_prior` of all sites."""
 
-    def __init__(self, weights: list[float], bias: float, mean: float, sites: DataFrame, host: str, path: str):
-        self.weights, self.bias, self.mean, self.sites, self.host, self.path = weights, bias, mean, sites, host, path
+    def __init__(self, fitted: Fitted, mean: float, sites: DataFrame, host: str, path: str):
+        self.fitted, self.mean, self.sites, self.host, self.path = fitted, mean, sites, host, path
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Add `evidence`, `host_prior`, `path_prior`, `quality` to rows with the features column `name`."""
         h, p, e = fresh(df, "_host", "_path", "_evidence")
         keyed = df.withColumn(h, F.coalesce(F.col(f"`{self.host}`"), F.lit(""))).withColumn(p, F.coalesce(F.col(f"`{self.path}`"), F.lit("")))
         sites = self.sites.select(F.col("host").alias("_of_host"), F.col("path").alias("_of_path"), "host_prior", "path_prior")
-        joined = keyed.withColumn(e, _evidence(name, self.weights, self.bias)).join(
+        joined = keyed.withColumn(e, _evidence(name, self.fitted)).join(
             sites, (F.col(h) == F.col("_of_host")) & (F.col(p) == F.col("_of_path")), "left"
         )
-        shift = F.coalesce(_logit(F.col("path_prior")), F.lit(0.0)) - (_logit(F.lit(self.mean)) if self.sites is not None else F.lit(0.0))
+        shift = _logit(F.col("path_prior")) - _logit(F.lit(self.mean))
         words = F.get(F.col(name), F.lit(5)) > 0
         posterior = F.when(words, 1 / (1 + F.exp(-(F.col(e) + F.coalesce(shift, F.lit(0.0)))))).otherwise(F.lit(0.0))
         return joined.withColumn("quality", posterior).withColumn("evidence", 1 / (1 + F.exp(-F.col(e)))).drop(h, p, e, "_of_host", "_of_path")
@@ -147,8 +159,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     sure = labels.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").select("doc_id", "y")
     sample = known.select("doc_id", "f").join(sure, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     x = np.array(sample["f"].tolist(), float).reshape(-1, len(FEATURES))
-    weights, bias = fit(x, (sample["y"].to_numpy(float) > 0).astype(float))
-    p = 1 / (1 + F.exp(-_evidence("f", weights, bias)))
+    fitted = fit(x, (sample["y"].to_numpy(float) > 0).astype(float))
+    p = 1 / (1 + F.exp(-_evidence("f", fitted)))
     paths = saved(known.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     good, n = paths.agg(F.sum("good"), F.sum("n")).first()
@@ -158,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     m_path = strength(paths, mean)
     joined = paths.join(by_host, "host")
     sites = joined.select("host", "path", "host_prior", ((F.col("good") + F.lit(m_path) * F.col("host_prior")) / (F.col("n") + F.lit(m_path))).alias("path_prior"))
-    return QualityModel(weights, bias, mean, saved(sites, "quality-sites"), host, path)
+    return QualityModel(fitted, mean, saved(sites, "quality-sites"), host, path)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
