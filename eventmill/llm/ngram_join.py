@@ -167,26 +167,26 @@ def _alive(labelled: DataFrame) -> DataFrame:
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of the lists' sets in different components, by blocks.
 
-    A list, by size and then position, is cut into blocks of up to `BLOCK` sets. Two blocks are skipped as a whole if
-    their sizes are too far apart, or if the places of the token leave too few tokens for the overlap; what remains is
-    compared set by set with the same tests. A pair that is skipped here by position has an earlier common token.
+    A list is cut by size steps (linked sets are in one step or in neighbours), by position, and by hash into blocks of
+    about `BLOCK` sets. In a pair, the token stands early in the smaller set: blocks of later positions meet only early
+    ones, never each other. Two blocks are skipped as a whole if their sizes are too far apart or the places of the token
+    leave too few tokens for the overlap; what remains is compared set by set with the same tests. A pair that is skipped
+    here by position has an earlier common token.
     """
-    from pyspark.sql import Window
-
-    spread = F.pmod(F.xxhash64("sid"), F.lit(64)).cast("int")
-    by = Window.partitionBy("token", "step", "lane").orderBy("n", "pos", "sid")
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
-    numbered = entries.withColumn("step", step).withColumn("lane", spread).withColumn("row", F.row_number().over(by) - 1)
-    cell = ["token", "step", "lane", F.floor(F.col("row") / BLOCK).alias("block")]
-    blocks = numbered.groupBy(*cell).agg(
+    late = (F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent)).cast("int")
+    lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.lit(1)).alias("sets"))
+    sized = entries.join(lists, entries["token"] == lists["of"])
+    lane = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / BLOCK)).alias("lane")
+    blocks = sized.groupBy("token", step.alias("step"), late.alias("late"), lane).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"), F.min("part").alias("p"), F.max("part").alias("q"),
         F.collect_list(F.struct("sid", "n", "pos", "part", "hub", "shared", "hub_n")).alias("sets"),
-    ).withColumn("key", F.struct("step", "lane", "block"))
+    ).withColumn("key", F.struct("step", "lane"))
     near = F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("near")
-    left = blocks.select("token", near, *[F.col(c).alias(f"l_{c}") for c in ("key", "least", "most", "first", "p", "q", "sets")])
+    left = blocks.where("late = 0").select("token", near, *[F.col(c).alias(f"l_{c}") for c in ("key", "least", "most", "first", "p", "q", "sets")])
     reach = F.least(F.col("l_most") - F.col("l_first"), F.col("most") - F.col("first"))
     useful = (
-        (F.col("l_key") <= F.col("key"))
+        ((F.col("late") == 1) | (F.col("l_key") <= F.col("key")))
         & (F.least("l_most", "most") * 100 >= F.greatest("l_least", "least") * percent)
         & (reach >= _needed(F.col("l_least"), F.col("least"), percent))
         & ~((F.col("l_p") == F.col("q")) & (F.col("l_q") == F.col("p")) & (F.col("p") == F.col("q")))
@@ -254,15 +254,15 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, tested, parts = None, None, None
     entries = index
     for turn in range(HUB_ROUNDS):
-        hubs = entries.groupBy("token").agg(F.max("sid").alias("hub"))
-        with_hub = entries.join(hubs, "token")
+        hubs = entries.groupBy("token").agg(F.max("sid").alias("hub"), F.count(F.lit(1)).alias("sets"))
+        with_hub = entries.join(hubs.where("sets > 1"), "token")
         pairs = with_hub.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         found = _overlaps(docs, classes, _fitting(pairs, classes, parts, percent), width, f"hub{turn}")
         new = _links(found, percent)
         links = new if links is None else links.union(new)
         tested = found if tested is None else tested.union(found)
         parts = connected_components(links)
-        left = with_hub.where("sid <> hub").select("token", "sid", "n", "pos")
+        left = with_hub.where("sid <> hub AND sets > 2").select("token", "sid", "n", "pos")
         entries = saved(_alive(_labelled(left, classes, parts)).select("token", "sid", "n", "pos"), f"left{turn}")
         if entries.isEmpty():
             break
@@ -291,8 +291,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _shared_only(index: DataFrame) -> DataFrame:
     """Entries of tokens that two different sets have; equal sets count as one."""
-    shared = index.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("token")
-    return index.join(shared, "token", "left_semi").groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    repeated = index.select("token").groupBy("token").count().where("count > 1").select("token")
+    once = index.join(repeated, "token", "left_semi").groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return once
 
 
 def _fitting(pairs: DataFrame, classes: DataFrame, parts: DataFrame | None, percent: int) -> DataFrame:
