@@ -22,6 +22,14 @@ def all_short_hashes(spark: SparkSession, length: int = 3) -> DataFrame:
     return spark.range(16**length).select(F.lower(F.lpad(F.hex("id"), length, "0")).alias("shard"))
 
 
+def token_capacity(width: int = TOKEN_WIDTH, capacity: int | None = None) -> int:
+    """How many users get a token of that width; a wish for more than there are is an error."""
+    most = len(LETTERS) ** width
+    if capacity is not None and capacity > most:
+        raise ValueError(f"there are {most} tokens of {width} letters, fewer than {capacity}")
+    return most if capacity is None else capacity
+
+
 def token(number: Column, width: int = TOKEN_WIDTH) -> Column:
     """Letters for a running number from 0, most significant letter first."""
     base = len(LETTERS)

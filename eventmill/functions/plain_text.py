@@ -64,8 +64,8 @@ def entity_text(entity: Column) -> Column:
     names = {"apos": "'"} | {name: chr(code) for name, code in name2codepoint.items()} | ENTITY_TEXT
     codes = {name2codepoint[name]: plain for name, plain in ENTITY_TEXT.items()}
     name = F.regexp_extract(entity, r"^&([a-zA-Z][-.a-zA-Z0-9]*)", 1)
-    hexadecimal = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1)
-    decimal = F.regexp_extract(entity, r"^&#([0-9]{1,7});?$", 1)
+    hexadecimal = F.regexp_extract(entity, r"^&#[xX]0*([0-9a-fA-F]{1,6});?$", 1)
+    decimal = F.regexp_extract(entity, r"^&#0*([0-9]{1,7});?$", 1)
     code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("int")
     known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     numbered = F.when(known, F.coalesce(_entity_map(codes)[code.cast("string")], _character(code)))
@@ -75,7 +75,7 @@ def entity_text(entity: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Text with all its complete entities replaced."""
-    pieces = F.regexp_extract_all(text, F.lit(r"&#?[a-zA-Z0-9]{1,10};|[^&]+|&"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), F.lit(0))
     replaced = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^&.+;$"), entity_text(p)).otherwise(p)), "")
     return F.when(text.contains("&"), replaced).otherwise(text)
 

@@ -60,14 +60,39 @@ def filter_courses(df: DataFrame, courses: list[str], path: str = "context:cours
     return df.where(event_field(df, path).isin(courses))
 
 
-def filter_fields(df: DataFrame, spec: dict[str, list[str | None]]) -> DataFrame:
-    """Every path must hold one of its listed values; None in a list stands for a missing value."""
-    return df.where(reduce(and_, [_one_of(event_field(df, path), values) for path, values in spec.items()], F.lit(True)))
-
-
-def _one_of(column: Column, values: list[str | None]) -> Column:
-    some = F.coalesce(column.isin([value for value in values if value is not None]), F.lit(False))
-    return some | column.isNull() if None in values else some
+def filter_fields(df: DataFrame, spec: dict[str, list[str | int | float | bool | None]]) -> DataFrame:
+    """Every path must hold one of its listed values; None in a list stands for a missing value.
+
+    Text matches text, a number the same number however it is written, and true or false only itself.
+    """
+    return df.where(reduce(and_, [_one_of(df, path, values) for path, values in spec.items()], F.lit(True)))
+
+
+def _one_of(df: DataFrame, path: str, values: list[str | int | float | bool | None]) -> Column:
+    kinds = {
+        "string": [v for v in values if isinstance(v, str)],
+        "boolean": [v for v in values if isinstance(v, bool)],
+        "double": [float(v) for v in values if isinstance(v, int | float) and not isinstance(v, bool)],
+    }
+    text = event_field(df, path)
+    some = F.lit(False)
+    if path in df.columns:
+        of = dict(df.dtypes)[path]
+        own = of if of in ("string", "boolean") else "double"
+        if kinds[own]:
+            some = text.isin(kinds[own])
+    else:
+        value = event_field(df, path, "variant")
+        kind = F.schema_of_variant(value)
+        if kinds["string"]:
+            some = some | (text.isin(kinds["string"]) & (kind == "STRING"))
+        if kinds["boolean"]:
+            some = some | (F.try_variant_get(value, "$", "boolean").isin(kinds["boolean"]) & (kind == "BOOLEAN"))
+        if kinds["double"]:
+            numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+            some = some | (F.try_variant_get(value, "$", "double").isin(kinds["double"]) & numeric)
+    some = F.coalesce(some, F.lit(False))
+    return some | text.isNull() if None in values else some
 
 
 def exclude_list(df: DataFrame, column: str, names: list[str]) -> DataFrame:

@@ -102,9 +102,15 @@ def filter_events_by_users(df: DataFrame, users: DataFrame, path: str = "usernam
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: str, value: str, strict: bool = True) -> DataFrame:
-    """Add one value per name; a name that is not in the table fails, or gives NULL when not strict."""
-    found = df.join(table.select(on, value), on, "left")
-    if not strict:
-        return found
-    missing = F.raise_error(F.concat(F.lit(f"no {value} for "), F.coalesce(F.col(on), F.lit("NULL")))).cast(table.schema[value].dataType)
-    return found.withColumn(value, F.coalesce(F.col(value), missing))
+    """Add one value per name; a name that is not in the table fails, or gives NULL when not strict.
+
+    A name that the table lists more than once fails when it is looked up; one that is listed with NULL gives NULL.
+    """
+    listed = table.groupBy(on).agg(F.max(value).alias("_value"), F.count(F.lit(1)).alias("_times"))
+    found = df.join(listed, on, "left")
+    kind = table.schema[value].dataType
+    name = F.coalesce(F.col(on).cast("string"), F.lit("NULL"))
+    repeated = F.raise_error(F.concat(F.lit(f"more than one {value} for "), name)).cast(kind)
+    missing = F.raise_error(F.concat(F.lit(f"no {value} for "), name)).cast(kind) if strict else F.lit(None).cast(kind)
+    chosen = F.when(F.col("_times") == 1, F.col("_value")).when(F.col("_times") > 1, repeated).otherwise(missing)
+    return found.withColumn(value, chosen).drop("_value", "_times")

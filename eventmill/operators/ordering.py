@@ -46,11 +46,11 @@ def merge_sorted(frames: list[DataFrame], key: str) -> DataFrame:
 def number_rows(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
     """Position of every row in a total order, from 0, without gathering the rows in one task.
 
-    The sorted rows are checkpointed, so that ranges, counts and positions all speak of the same split even if an
+    Without `order`, rows are numbered as a sort before this has left them. The sorted rows are checkpointed, so that ranges, counts and positions all speak of the same split even if an
     executor is lost.
     """
     ensure_checkpoints(df.sparkSession)
-    ordered = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    ordered = (df.orderBy(*order) if order else df).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     part, within = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.functions.json_text import ascii_only, strict_record, strip_space
+from eventmill.functions.json_text import strict_record, strip_space
 from eventmill.functions.once import kept, let
 
-# Line lengths at which loggers were seen to cut lines, and the endings that complete a cut line.
+# Line lengths at which loggers were seen to cut lines (for `cut_lengths`), and the endings that complete a
+# cut line.
 CUT_LENGTHS = [(32000, 32999), (9980, 10000), (2039, 2043)]
 ENDINGS = ["", "}", '"}', '""}', '"}}', '"}}}', '"}}}}', '"}}}}}', '"}}}}}}']
 
 
 def _line(text: Column) -> Column:
     # most lines have nothing to strip, and two looks tell
-    return let(ascii_only(text), lambda t: F.when(t.startswith("{") & t.endswith("}"), t).otherwise(strip_space(t)))
+    return let(text, lambda t: F.when(t.startswith("{") & t.endswith("}"), t).otherwise(strip_space(t)))
 
 
 def _some(record: Column) -> Column:
@@ -26,11 +28,15 @@ def _some(record: Column) -> Column:
     return F.filter(F.array(record), lambda r: F.size(r) > 0)
 
 
-def parse_events(df: DataFrame, column: str = "value") -> DataFrame:
-    """Replace the text column by `rec`; drops lines that are no JSON object, are empty or have a cut length."""
+def parse_events(df: DataFrame, column: str = "value", cut_lengths: Sequence[tuple[int, int]] = ()) -> DataFrame:
+    """Replace the text column by `rec`; drops lines that are no JSON object or are empty.
+
+    A line that was cut is no JSON object. `cut_lengths` (off, or `CUT_LENGTHS`) also drops lines of suspicious lengths
+    unseen, whole ones too.
+    """
 
     def parse(line: Column) -> Column:
-        cut = reduce(or_, [F.length(line).between(low, high) for low, high in CUT_LENGTHS])
+        cut = reduce(or_, [F.length(line).between(low, high) for low, high in cut_lengths], F.lit(False))
         return F.when(line.startswith("{") & ~cut, strict_record(line))
 
     return kept(df, "rec", _some(let(_line(F.col(column)), parse))).drop(column)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions.json_text import record_text
+from eventmill.functions.once import computed
 from eventmill.functions.paths import event_field
 from eventmill.functions.truth import truthy
 
@@ -34,5 +35,5 @@ def _printed(value: Column) -> Column:
 
 def map_keep_truthy(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Apply an expression to every row and keep the rows where it gives something."""
-    mapped = df.withColumn(name, column)
+    mapped = computed(df, name, column)
     return mapped.where(truthy(F.col(name), mapped.schema[name].dataType))

@@ -24,8 +24,8 @@ LONGEST_SORTED_STRING = 500
 
 
 def clean_and_desensitize(df: DataFrame, ordinal: str, mindate: str | None = None) -> DataFrame:
-    """Lines to masked records: parse, cut by date, decode payloads, drop repetition and personal fields."""
-    records = date_gt(parse_events(df), mindate)
+    """Lines, or records of a cache, to masked records: cut by date, decode payloads, drop repetition and personal fields."""
+    records = date_gt(df if "rec" in df.columns else parse_events(df), mindate)
     cleaned = remove_redundant_context(decode_event_payload(records))
     # cleaning leaves the user alone, so the tokens need no cleaned records
     tokens = record_user_tokens(records, ordinal)
@@ -57,8 +57,10 @@ def sort_log(df: DataFrame) -> DataFrame:
 def filter_log_by_users(spark: SparkSession, source: str, users: DataFrame, out: str) -> None:
     """Copy the lines that name a listed user, as gzip text in one folder `file=<name>` per input file.
 
-    The name is the path below the source, with `_` for `/`.
+    The name is the path below the source, with `_1` for `/` and `_0` for `_`, so that no two files share a folder.
     """
     lines = filter_lines_by_users(read_lines(spark, source, ascii=False, file_column="file"), users)
-    below = F.split_part("file", F.lit(source.rstrip("/") + "/"), F.lit(-1))
-    write_shards(lines.select(F.replace(below, F.lit("/"), F.lit("_")).alias("file"), "value"), out, column="file")
+    top = source.rstrip("/") + "/"
+    below = F.substr("file", F.instr(F.col("file"), F.lit(top)) + len(top))
+    name = F.replace(F.replace(below, F.lit("_"), F.lit("_0")), F.lit("/"), F.lit("_1"))
+    write_shards(lines.select(name.alias("file"), "value"), out, column="file")

@@ -14,7 +14,7 @@ from eventmill.operators.joins import filter_events_by_users
 from eventmill.operators.ordering import learner_traces as trace_order
 from eventmill.operators.ordering import number_rows
 from eventmill.operators.ordering import sort_events as order_events
-from eventmill.operators.parse import beyond_repair, parse_events as parse, repair_events as repair
+from eventmill.operators.parse import CUT_LENGTHS, beyond_repair, parse_events as parse, repair_events as repair
 from eventmill.operators.privacy import desensitize as mask
 from eventmill.operators.privacy import tokenize_users as tokenize
 from eventmill.operators.project import json_select as select_text
@@ -23,16 +23,19 @@ from eventmill.operators.project import select_fields as project
 from eventmill.operators.shape import field_names as names_of
 from eventmill.operators.shape import flatten as flat
 from eventmill.operators.shape import schema_profile as profile
-from eventmill.plans.logs import clean_and_desensitize, sort_log
+from eventmill.plans.logs import SENSITIVE_FIELDS, clean_and_desensitize, sort_log
 from eventmill.plans.registry import query
 from eventmill.plans.workload import EVENT_LINES, event_lines, table
+from eventmill.session import scratch_path
+from eventmill.sources.cached import cache_events, read_cached_events
 
 LINES = f"""WITH lines AS ({EVENT_LINES}),
-clean AS (SELECT event_id, kind, uid, k, trim(regexp_replace(value, '[^\\x00-\\x7F]', '', 'g')) AS v FROM lines)"""
-_KEPT = """v LIKE '{%' AND length(v) NOT BETWEEN 2039 AND 2043 AND length(v) NOT BETWEEN 9980 AND 10000
-  AND length(v) NOT BETWEEN 32000 AND 32999 AND json_valid(v)"""
+clean AS (SELECT event_id, kind, uid, k, trim(value) AS v FROM lines)"""
+_KEPT = "v LIKE '{%' AND json_valid(v)"
 EVENTS = f"""{LINES},
 ev AS (SELECT event_id, kind, uid, k, try_cast(v AS JSON) AS j FROM clean WHERE {_KEPT})"""
+# the same after a reader that drops what is not ASCII
+ASCII_EVENTS = EVENTS.replace("trim(value)", "trim(regexp_replace(value, '[^\\x00-\\x7F]', '', 'g'))")
 # payload decoded: text that is JSON is parsed, other text is marked
 DECODED = f"""{EVENTS},
 dec AS (SELECT *, CASE WHEN json_type(j, '$.event') = 'VARCHAR'
@@ -67,6 +70,13 @@ def beyond_repair_events(spark, sf_dir):
     return beyond_repair(spoilt).select("event_id", "value")
 
 
+# the option that drops lines of the lengths at which loggers cut, whole ones too
+@query(f"""{EVENTS} SELECT event_id, j ->> '$.username' AS username FROM ev JOIN clean USING (event_id)
+  WHERE length(v) NOT BETWEEN 2039 AND 2043 AND length(v) NOT BETWEEN 9980 AND 10000 AND length(v) NOT BETWEEN 32000 AND 32999""")
+def parse_events_of_uncut_lengths(spark, sf_dir):
+    return parse(event_lines(spark, sf_dir), cut_lengths=CUT_LENGTHS).select("event_id", field("username").alias("username"))
+
+
 @query(f"{EVENTS} SELECT event_id, j ->> '$.context.course_id' AS course_id, j ->> '$.context.nothing' AS nothing FROM ev")
 def select_field(spark, sf_dir):
     return parse(event_lines(spark, sf_dir)).select(
@@ -182,6 +192,23 @@ def desensitize_log(spark, sf_dir):
     )
 
 
+@query(f"""{EVENTS}, named AS (SELECT event_id, j, j ->> '$.username' AS u FROM ev), {_TOKENS}
+SELECT event_id, t AS username, t AS in_record, j ->> '$.event_type' AS event_type, 0 AS left_over FROM named LEFT JOIN coded USING (u)""")
+def desensitize_cached(spark, sf_dir):
+    """A cache, masked, and cached again: names are gone from plain columns too."""
+    path = scratch_path(spark, "cache")
+    cache_events(parse(event_lines(spark, sf_dir).select("event_id", "value")), path)
+    cached = read_cached_events(spark, path).withColumn("ip", field("ip"))
+    cache_events(clean_and_desensitize(cached, "event_id"), f"{path}-masked")
+    again = read_cached_events(spark, f"{path}-masked")
+    plain = [F.lit(int(name in SENSITIVE_FIELDS)) for name in again.columns]
+    keys = F.map_keys("rec")
+    left = sum([F.array_contains(keys, name).cast("int") for name in SENSITIVE_FIELDS], sum(plain, F.lit(0)))
+    return again.select(
+        "event_id", "username", field("username").alias("in_record"), "event_type", left.alias("left_over")
+    )
+
+
 @query(f"""WITH named AS (SELECT event_id, event_type, 'user' || user_id AS u FROM events), {_TOKENS}
 SELECT event_id, event_type, t AS username FROM named JOIN coded USING (u)""")
 def tokenize_users(spark, sf_dir):
@@ -304,8 +331,7 @@ def count_while_passing(spark, sf_dir):
 @query(f"""{EVENTS} SELECT event_id, row_number() OVER (ORDER BY j ->> '$.username' NULLS FIRST, j ->> '$.time', event_id) - 1 AS position FROM ev""")
 def sort_events(spark, sf_dir):
     events = project_with_id(parse(event_lines(spark, sf_dir)))
-    ordered = order_events(events, ["username", "time"])
-    return number_rows(ordered, F.col("username").asc_nulls_first(), "time", "event_id").select("event_id", "position")
+    return number_rows(order_events(events, ["username", "time", "event_id"])).select("event_id", "position")
 
 
 def project_with_id(records):
@@ -322,8 +348,7 @@ def sorted_log_lines(spark, sf_dir):
 SELECT position, j ->> '$.username' AS username, j ->> '$.time' AS "time" FROM sorted""")
 def sort_log_by_user_time(spark, sf_dir):
     lines = sort_log(event_lines(spark, sf_dir))
-    key = F.concat(F.coalesce(F.get_json_object("value", "$.username"), F.lit("")), F.lit(" "), F.get_json_object("value", "$.time"))
-    return number_rows(lines, key, "value").select(
+    return number_rows(lines).select(
         "position", F.get_json_object("value", "$.username").alias("username"), F.get_json_object("value", "$.time").alias("time")
     )
 
@@ -332,4 +357,4 @@ def sort_log_by_user_time(spark, sf_dir):
 def learner_traces(spark, sf_dir):
     events = project_with_id(parse(event_lines(spark, sf_dir)))
     traced = trace_order(events, ordinal="event_id")
-    return number_rows(traced, "username", "time", "event_id").select("event_id", "username", "position")
+    return number_rows(traced).select("event_id", "username", "position")

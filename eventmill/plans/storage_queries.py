@@ -9,7 +9,7 @@ from eventmill.operators.filters import low_income_codes as poor_codes
 from eventmill.operators.parse import parse_events
 from eventmill.plans.logs import clean_and_desensitize
 from eventmill.plans.logs import filter_log_by_users as copy_lines_of_users
-from eventmill.plans.record_queries import EVENTS, LINES
+from eventmill.plans.record_queries import ASCII_EVENTS, EVENTS, LINES
 from eventmill.plans.registry import query
 from eventmill.plans.reports import save_reports
 from eventmill.plans.table_queries import _user_views
@@ -32,7 +32,7 @@ def read_lines(spark, sf_dir):
     return lines.read_lines(spark, path, only_gz=True)
 
 
-@query(f"{EVENTS} SELECT j ->> '$.session' AS session, j ->> '$.event_type' AS event_type, (j ->> '$.amount')::BIGINT AS amount FROM ev")
+@query(f"{ASCII_EVENTS} SELECT j ->> '$.session' AS session, j ->> '$.event_type' AS event_type, (j ->> '$.amount')::BIGINT AS amount FROM ev")
 def read_json_events(spark, sf_dir):
     events = lines.read_json_events(spark, _saved_lines(spark, sf_dir, "lines"))
     return events.select(
@@ -231,7 +231,7 @@ def incremental_ingest(spark, sf_dir):
     return spark.read.parquet(_ingested(spark, sf_dir))
 
 
-@query(f"""{EVENTS} SELECT j ->> '$.session' AS session, j ->> '$.context.org' AS org, j ->> '$.username' AS username FROM ev
+@query(f"""{ASCII_EVENTS} SELECT j ->> '$.session' AS session, j ->> '$.context.org' AS org, j ->> '$.username' AS username FROM ev
   WHERE j ->> '$.event_source' = 'browser'""")
 def streamed_records(spark, sf_dir):
     from eventmill.operators.clean import decode_event_payload, remove_redundant_context
@@ -245,7 +245,7 @@ def streamed_records(spark, sf_dir):
     return spark.read.parquet(_ingested(spark, sf_dir, change))
 
 
-@query(f"{EVENTS} SELECT j ->> '$.event_type' AS event_type, count(*) AS events FROM ev GROUP BY 1")
+@query(f"{ASCII_EVENTS} SELECT j ->> '$.event_type' AS event_type, count(*) AS events FROM ev GROUP BY 1")
 def streamed_counts(spark, sf_dir):
     out = scratch_path(spark, "counts")
     stream = parse_events(lines.read_lines(spark, _saved_lines(spark, sf_dir, "lines"), streaming=True))

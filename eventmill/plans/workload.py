@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventmill.sources.lines import spread
 
 # One JSON line per event. Some values of `k` give noise: arrays, text, cut lines, lines of a cut length, blanks,
-# a letter outside ASCII; some give events without a user or with a payload that is no JSON.
+# a letter outside ASCII before the line or in the name; some give events without a user or with a payload that is no JSON.
 EVENT_LINES = """
 SELECT event_id, event_type AS kind, user_id AS uid, k,
   CASE WHEN k = '7' THEN '["c", "d"]'
@@ -19,7 +19,7 @@ SELECT event_id, event_type AS kind, user_id AS uid, k,
        ELSE line END AS value
 FROM (
   SELECT event_id, event_type, user_id, k,
-    CASE WHEN k = '31' THEN '{' ELSE '{"username": "user' || user_id || '", ' END
+    CASE WHEN k = '31' THEN '{' WHEN k = '37' THEN '{"username": "usér' || user_id || '", ' ELSE '{"username": "user' || user_id || '", ' END
     || '"event_type": "' || event_type
     || '", "event_source": "' || CASE WHEN event_type IN ('click', 'view') THEN 'browser' ELSE 'server' END
     || '", "time": "' || replace(cast(ts AS string), ' ', 'T')

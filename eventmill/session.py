@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# The folder of a local session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the run-time options the record operators need; leaves all sizing to the deployment."""
@@ -37,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    shared = tempfile.mkdtemp(prefix="eventmill-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="eventmill-")
+    return _LOCAL[application]
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.functions.paths import field
+from eventmill.functions.paths import HOT_PATHS, field
 from eventmill.sources.lines import as_json_lines
 
-# Paths stored as plain columns next to the record, so that later scans prune columns and push filters down.
-HOT_PATHS = {
-    "username": "username",
-    "event_type": "event_type",
-    "event_source": "event_source",
-    "time": "time",
-    "course_id": "context:course_id",
-}
-
-
 def with_hot_columns(df: DataFrame, paths: dict[str, str] | None = None) -> DataFrame:
     paths = HOT_PATHS if paths is None else paths
     return df.withColumns({name: field(path) for name, path in paths.items() if name not in df.columns})

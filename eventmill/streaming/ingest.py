@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventmill.functions.identity import TOKEN_CAPACITY, token
+from eventmill.functions.identity import TOKEN_WIDTH, token, token_capacity
 from eventmill.functions.paths import event_field
+from eventmill.sources.cached import is_complete
 from eventmill.sources.lines import read_lines
 
 
@@ -46,17 +47,20 @@ def read_tokens(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema("user string, number bigint, token string, batch bigint").parquet(table)
 
 
-def token_writer(table: str, user: str, ordinal: str, capacity: int = TOKEN_CAPACITY) -> Callable[[DataFrame, int], None]:
+def token_writer(table: str, user: str, ordinal: str, capacity: int | None = None, width: int = TOKEN_WIDTH) -> Callable[[DataFrame, int], None]:
     """Function for `foreachBatch` that gives new users the next tokens, in order of first appearance in their batch.
 
     Every batch has its own folder, so a batch that is run again replaces what it wrote.
     """
 
+    capacity = token_capacity(width, capacity)
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.limit(0).select(
-            F.lit("").alias("user"), F.lit(0).cast("bigint").alias("number"), F.lit("").alias("token")
-        ).write.mode("append").parquet(f"{table}/batch=-1")
+        if not is_complete(spark, f"{table}/batch=-1"):  # so that the table can be read before it has users
+            batch.limit(0).select(
+                F.lit("").alias("user"), F.lit(0).cast("bigint").alias("number"), F.lit("").alias("token")
+            ).write.mode("overwrite").parquet(f"{table}/batch=-1")
         known = read_tokens(spark, table).where(F.col("batch") < number)
         fresh = (
             batch.where(event_field(batch, user).isNotNull())
@@ -70,7 +74,7 @@ def token_writer(table: str, user: str, ordinal: str, capacity: int = TOKEN_CAPA
         full = F.raise_error(F.lit(f"more than {capacity} users, and no token left")).cast("string")
         rows = ranked.select("user", next_number.cast("bigint").alias("number"))
         rows.withColumn(
-            "token", F.when(F.col("number") < capacity, token(F.col("number"))).otherwise(full)
+            "token", F.when(F.col("number") < capacity, token(F.col("number"), width)).otherwise(full)
         ).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return write

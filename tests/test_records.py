@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
-from eventmill.operators.parse import beyond_repair, parse_events, repair_events
+from eventmill.operators.parse import CUT_LENGTHS, beyond_repair, parse_events, repair_events
 from eventmill.operators.privacy import desensitize, tokenize_users
 from eventmill.operators.project import json_select
 from eventmill.operators.shape import field_names, flatten, leaves, schema_profile
@@ -33,13 +33,21 @@ def test_parse_accepts_what_a_decoder_accepts(records, texts):
     assert texts(records(*good)) == [json.loads(line) for line in good]
 
 
-def test_lines_of_a_cut_length_are_dropped(records):
+def test_lines_of_a_cut_length_are_dropped_when_asked(lines):
     def line(length):
         return '{"a":"' + "x" * (length - 8) + '"}'
 
     lengths = [2038, 2039, 2043, 2044, 9979, 9980, 10000, 10001, 31999, 32000, 32999, 33000]
-    kept = {row.n + 8 for row in records(*map(line, lengths)).select(F.length(field("a")).alias("n")).collect()}
-    assert kept == {2038, 2044, 9979, 10001, 31999, 33000}
+    def kept(**options):
+        found = parse_events(lines(*map(line, lengths)), **options).select(F.length(field("a")).alias("n")).collect()
+        return {row.n + 8 for row in found}
+
+    assert kept(cut_lengths=CUT_LENGTHS) == {2038, 2044, 9979, 10001, 31999, 33000}
+    assert kept() == set(lengths)
+
+
+def test_letters_outside_ascii_stay(records, texts):
+    assert texts(records('{"username":"Zoé"}', 'é{"username":"x"}', ' {"é":"ß"} ')) == [{"username": "Zoé"}, {"é": "ß"}]
 
 
 def test_repair_completes_cut_lines(lines, texts):

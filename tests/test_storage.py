@@ -132,7 +132,7 @@ def test_lines_of_users_stay_with_their_file(spark, tmp_path):
     users = spark.createDataFrame([(" u1",), ("u2",), ("",)], "username string")
     filter_log_by_users(spark, str(tmp_path / "logs"), users, str(tmp_path / "out"))
     found = shards.read_shards(spark, [str(tmp_path / "out")], "file").collect()
-    assert sorted((r.file, r.value) for r in found) == [("a_log.gz", "x u1"), ("a_log.gz", "é u2"), ("c_log.gz", "u1")]
+    assert sorted((r.file, r.value) for r in found) == [("a_1log.gz", "x u1"), ("a_1log.gz", "é u2"), ("c_1log.gz", "u1")]
 
 
 def test_log_is_sorted_by_user_and_time(lines):
