@@ -18,8 +18,8 @@ from eventmill.llm.shingles import fingerprint, shingle_sets
 FREQUENT, LEAST_SEEN, SEEN_TOGETHER = 2**18, 8, 3
 #: Shingles counted at a time when frequent ones are looked for.
 COUNTED = 4_000_000
-#: Rounds with one hub per index list, before what is left is compared in full.
-HUB_ROUNDS = 3
+#: Rounds with one hub per index list, before what is left is compared by blocks. More rounds shuffle the lists again.
+HUB_ROUNDS = 1
 #: Sets in a block of an index list.
 BLOCK = 64
 #: Ids sent to all tasks, 16 bytes each; more are joined by a shuffle.
