@@ -17,7 +17,7 @@ from eventmill.llm.shingles import fingerprint, shingle_sets
 #: list may be cut; at this size it is 2 MB.
 FREQUENT, LEAST_SEEN, SEEN_TOGETHER = 2**18, 8, 3
 #: Shingles counted at a time when frequent ones are looked for.
-COUNTED = 4_000_000
+COUNTED = 1_500_000
 #: Rounds with one hub per index list, before what is left is compared by blocks. More rounds shuffle the lists again.
 HUB_ROUNDS = 1
 #: Sets in a block of an index list.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import pyarrow as pa
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes of text hashed at a time.
-AT_ONCE = 4_000_000
+#: Bytes of text hashed at a time; a longer text is hashed by itself.
+AT_ONCE = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -24,6 +25,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    return _usual_powers(base)[:n] if n <= AT_ONCE else _all_powers(base, n)
+
+
+@lru_cache
+def _usual_powers(base: int) -> np.ndarray:
+    return _all_powers(base, AT_ONCE)
+
+
+def _all_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
