@@ -151,6 +151,24 @@ def _links(overlaps: DataFrame, percent: int) -> DataFrame:
     return overlaps.where(linked).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
+def _prefixes(index: DataFrame) -> DataFrame:
+    """`sid, n, tokens`: the shared tokens among the first places of every set."""
+    return index.groupBy("sid").agg(F.min("n").alias("n"), F.collect_list("token").alias("tokens"))
+
+
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a, b` of sids that the tokens common to their first places leave a chance to link.
+
+    A common token that is not among the first places of both comes after the last of them in one of the two sets, so
+    at most as many as that set has places left are still to come.
+    """
+    a = prefixes.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
+    b = prefixes.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    to_come = F.floor((F.greatest("a_n", "b_n") * percent + 99) / 100) - 1
+    return pairs.join(a, "a").join(b, "b").where(common + to_come >= _needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+
+
 def _labelled(entries: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     """Entries with `part`, the component of their set so far (by its own number where it has no link)."""
     of_set = classes.join(parts, classes["rep"] == parts["id"], "left").select("low", F.coalesce("component", "rep").alias("part"))
@@ -234,7 +252,8 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     last. In each index list one hub, the set with the most common tokens, is compared with the others; lists whose sets
     are in one component after that are done, so a group of near copies costs its size, not its square. For what is
     left the hub's answers are used again: pairs that overlaps with a common hub decide are not compared, and blocks of
-    a list that cannot reach the overlap by size or position are skipped. The rest is compared in full.
+    a list that cannot reach the overlap by size or position are skipped. Pairs whose first places have too few tokens in
+    common are dropped before texts are fetched. The rest is compared in full.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = saved(_surveyed(docs, width), "survey")
@@ -251,13 +270,16 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     index = _index(docs.where("doc_id IS NOT NULL"), width, percent, frequent)
     index = saved(_shared_only(index), "index")
 
+    prefixes = saved(_prefixes(index), "prefixes")
+
     links, tested, parts = None, None, None
     entries = index
     for turn in range(HUB_ROUNDS):
         hubs = entries.groupBy("token").agg(F.max("sid").alias("hub"), F.count(F.lit(1)).alias("sets"))
         with_hub = entries.join(hubs.where("sets > 1"), "token")
         pairs = with_hub.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-        found = _overlaps(docs, classes, _fitting(pairs, classes, parts, percent), width, f"hub{turn}")
+        fitting = _promising(_fitting(pairs, classes, parts, percent), prefixes, percent)
+        found = _overlaps(docs, classes, fitting, width, f"hub{turn}")
         new = _links(found, percent)
         links = new if links is None else links.union(new)
         tested = found if tested is None else tested.union(found)
@@ -272,7 +294,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             "token", "sid", "n", "pos", "part", F.col("best.a").alias("hub"), F.col("best.overlap").alias("shared"), F.col("best.a_n").alias("hub_n")
         )
         decided = saved(_decided(_block_pairs(labelled, percent), percent), "decided")
-        open_ = decided.where("state IS NULL").select("a", "b")
+        open_ = _promising(decided.where("state IS NULL").select("a", "b"), prefixes, percent)
         sure = decided.where("state = 1").select(F.col("a").bitwiseAND(F.lit(_LOW)).alias("a"), F.col("b").bitwiseAND(F.lit(_LOW)).alias("b"))
         rep = classes.select("low", "rep")
         sure = (
