@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventmill.llm.common import saved
@@ -22,6 +22,8 @@ COUNTED = 1_500_000
 HUB_ROUNDS = 1
 #: Sets in a block of an index list.
 BLOCK = 64
+#: Earlier tokens of its set that an entry carries, so that most pairs come up once and not in each list they share.
+RECENT = 4
 #: Ids sent to all tasks, 16 bytes each; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
@@ -189,8 +191,12 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     about `BLOCK` sets. In a pair, the token stands early in the smaller set: blocks of later positions meet only early
     ones, never each other. Two blocks are skipped as a whole if their sizes are too far apart or the places of the token
     leave too few tokens for the overlap; what remains is compared set by set with the same tests. A pair that is skipped
-    here by position has an earlier common token.
+    here by position has an earlier common token. Two sets with a common token among the last few before this one have
+    met in its list already, as both stand earlier there.
     """
+    # a window holds the first places of one set
+    before = Window.partitionBy("sid").orderBy("pos").rowsBetween(-RECENT, -1)
+    entries = entries.withColumn("recent", F.collect_list("token").over(before))
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
     late = (F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent)).cast("int")
     lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.lit(1)).alias("sets"))
@@ -198,7 +204,7 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     lane = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / BLOCK)).alias("lane")
     blocks = sized.groupBy("token", step.alias("step"), late.alias("late"), lane).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"), F.min("part").alias("p"), F.max("part").alias("q"),
-        F.collect_list(F.struct("sid", "n", "pos", "part", "hub", "shared", "hub_n")).alias("sets"),
+        F.collect_list(F.struct("sid", "n", "pos", "part", "recent", "hub", "shared", "hub_n")).alias("sets"),
     ).withColumn("key", F.struct("step", "lane"))
     near = F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("near")
     left = blocks.where("late = 0").select("token", near, *[F.col(c).alias(f"l_{c}") for c in ("key", "least", "most", "first", "p", "q", "sets")])
@@ -221,7 +227,8 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(s: Column, t: Column, percent: int) -> Column:
     reach = F.least(s["n"] - s["pos"], t["n"] - t["pos"])
-    return (s["part"] != t["part"]) & _sizes_fit(s["n"], t["n"], percent) & (reach >= _needed(s["n"], t["n"], percent))
+    fits = _sizes_fit(s["n"], t["n"], percent) & (reach >= _needed(s["n"], t["n"], percent))
+    return (s["part"] != t["part"]) & fits & ~F.arrays_overlap(s["recent"], t["recent"])
 
 
 def _decided(pairs: DataFrame, percent: int) -> DataFrame:
