@@ -12,38 +12,26 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.paths import event_field
 
-try:
-    import ahocorasick
-except ImportError:  # every executor needs it for the automaton; without it the join below is used
-    ahocorasick = None
-
-# A few names are looked for one by one in generated code. Up to AUTOMATON_BYTES of names travel to the executors as
-# one automaton. Larger lists are joined.
+# A few names are looked for one by one in generated code. Larger lists are joined by grams of these lengths.
 FEW_NAMES = 16
-AUTOMATON_BYTES = 1 << 20
+GRAMS = (16, 8, 4, 2, 1)
 _PIECE = 256
 
 
 def filter_lines_by_users(
-    df: DataFrame,
-    users: DataFrame,
-    column: str = "value",
-    user: str = "username",
-    few: int = FEW_NAMES,
-    automaton_bytes: int = AUTOMATON_BYTES,
+    df: DataFrame, users: DataFrame, column: str = "value", user: str = "username", few: int = FEW_NAMES, automaton: bool = False
 ) -> DataFrame:
     """Lines in which any of the user names occurs anywhere. Names are trimmed; blank ones are ignored.
 
-    The size of the list is looked at first; it decides how the names reach the lines. All ways give the same rows.
+    Up to `few` names become tests in the filter, more are joined. With `automaton`, every task gets all names as one
+    automaton instead: for lists that fit a Python worker, and for streams. All ways give the same rows.
     """
     names = users.select(F.btrim(user).alias("name")).where(F.length("name") > 0).distinct()
-    size = names.agg(F.count(F.lit(1)).alias("names"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")).first()
-    if size["names"] == 0:
-        return df.where(F.lit(False))
-    if size["names"] <= few:
-        return df.where(reduce(or_, [F.col(column).contains(row["name"]) for row in names.collect()]))
-    if ahocorasick is not None and size["bytes"] <= automaton_bytes:
+    if automaton:
         return df.where(_mentions_any(df, [row["name"] for row in names.collect()])(F.col(column)))
+    first = [row["name"] for row in names.limit(few + 1).collect()]
+    if len(first) <= few:
+        return df.where(reduce(or_, [F.col(column).contains(name) for name in first], F.lit(False)))
     return _join_names(df, names, column)
 
 
@@ -60,39 +48,48 @@ def _mentions_any(df: DataFrame, names: list[str]):
             automaton.add_word(name, True)
         automaton.make_automaton()
         for lines in batches:
-            yield lines.map(lambda line: line is not None and next(automaton.iter(line), None) is not None)
+            yield lines.map(lambda line: bool(shared.value) and line is not None and next(automaton.iter(line), None) is not None)
 
     return mentions
 
 
+def _named_grams(names: DataFrame) -> DataFrame:
+    """`name, size, gram`: of the stretches of a name that are as long as its gram length, one that the fewest names have."""
+    size = F.coalesce(*[F.when(F.length("name") >= n, n) for n in GRAMS])
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("size") + 1)
+    stretches = F.array_distinct(F.transform(starts, lambda at: F.substr(F.col("name"), at, F.col("size"))))
+    grams = names.withColumn("size", size).select("name", "size", F.explode(stretches).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = grams.join(shared, "gram").groupBy("name").agg(F.min(F.struct("names", "gram", "size")).alias("least"))
+    return rarest.select("name", "least.size", "least.gram")
+
+
 def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Substring search as an equality join, for lists of any size.
+    """Substring search as an equality join on grams, for lists of any size; what meets is verified on the whole line.
 
-    Every stretch of a line that is as long as some name is joined with the names. Equal lines are searched once.
-    Lines are cut into overlapping pieces first, which keeps the work linear in their length.
+    A name is looked for by the gram of it that the fewest names share, so that a common beginning does not bring all
+    names to all lines. Lines are cut into overlapping pieces first, which bounds what one row expands to.
     """
-    # the different lengths, a handful of numbers
-    lengths = [row["n"] for row in names.select(F.length("name").alias("n")).distinct().collect()]
-    texts = df.select(F.col(column).alias("text")).where(F.length("text") > 0).distinct()
-    digest = F.unhex(F.sha2("text", 256))
-    pieces = texts.select(
-        digest.alias("line"), "text", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(_PIECE))).alias("at")
-    )
-
-    def stretches(n: Column) -> Column:
-        piece = F.substr("text", F.col("at"), n + (_PIECE - 1))
-        last = F.length(piece) - n + 1
+    grams = _named_grams(names)
+    # the different gram lengths, not more than GRAMS has
+    sizes = sorted(row["size"] for row in grams.select("size").distinct().collect())
+    text, line = F.col(f"`{column}`"), F.unhex(F.sha2(F.col(f"`{column}`"), 256))
+    pieces = df.where(F.length(text) > 0).select(
+        line.alias("line"), F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.length(text), F.lit(_PIECE)), lambda at: F.substr(text, at, F.lit(_PIECE + sizes[-1] - 1))
+        )).alias("at", "piece"),
+    )
+
+    def stretches(n: int) -> Column:
+        last = F.least(F.length("piece") - n + 1, F.lit(_PIECE))
         return F.when(
-            last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(piece, i, n))
+            last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr("piece", i, F.lit(n)))
         ).otherwise(F.array().cast("array<string>"))
 
-    stretch = F.explode(F.array_distinct(F.concat(*[stretches(F.lit(n)) for n in lengths]))).alias("name")
-    found = pieces.select("line", stretch).join(names, "name", "left_semi").select("line").distinct()
-    return (
-        df.withColumn("_line", F.unhex(F.sha2(column, 256)))
-        .join(found.withColumnRenamed("line", "_line"), "_line", "left_semi")
-        .drop("_line")
-    )
+    gram = F.explode(F.array_distinct(F.concat(*[stretches(n) for n in sizes]))).alias("gram")
+    met = pieces.select("line", gram).join(grams.select("gram", "name"), "gram")
+    found = met.select(F.col("line").alias("_line"), F.col("name").alias("_name")).distinct()
+    return df.join(found, (line == F.col("_line")) & text.contains(F.col("_name")), "left_semi")
 
 
 def filter_events_by_users(df: DataFrame, users: DataFrame, path: str = "username", user: str = "username") -> DataFrame:

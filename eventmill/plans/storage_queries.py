@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.paths import field
 from eventmill.operators.filters import low_income_codes as poor_codes
+from eventmill.operators.ordering import number_rows
 from eventmill.operators.parse import parse_events
 from eventmill.plans.logs import clean_and_desensitize
 from eventmill.plans.logs import filter_log_by_users as copy_lines_of_users
@@ -75,19 +76,26 @@ def materialize_once(spark, sf_dir):
     return cached.materialize_once(events.where(F.lit(False)), path).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query()
+_FILES = "SELECT 'logs/' || source || '/' || doc_id AS path, n_chars AS length FROM documents"
+
+
+def _listed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", F.lit("logs"), "source", "doc_id").alias("path"), F.col("n_chars").alias("length"))
+
+
+@query(f"""WITH f AS ({_FILES}) SELECT path, length, row_number() OVER (ORDER BY path) - 1 AS position FROM f
+  WHERE path LIKE '%7' AND path LIKE 'logs/%'""")
 def file_manifest(spark, sf_dir):
-    listed = files.file_manifest(spark, sf_dir, suffix=".parquet")
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return number_rows(files.chosen_files(_listed(spark, sf_dir), suffix="7", prefix="logs/"))
 
 
-@query()
+@query(f"""WITH f AS ({_FILES}), g AS (SELECT split_part(path, '/', 3)[1] AS prefix, sum(length)::BIGINT AS bytes FROM f GROUP BY 1
+  UNION ALL SELECT 'Total', sum(length)::BIGINT FROM f)
+  SELECT prefix, bytes, bytes / 1e3 AS "kB", bytes / 1e6 AS "MB", bytes / 1e9 AS "GB", bytes / 1e12 AS "TB" FROM g""")
 def path_sizes(spark, sf_dir):
     name = F.element_at(F.split("path", "/"), -1)
-    return files.path_sizes(files.file_manifest(spark, sf_dir), F.substring(name, 1, 1))
-
-
-_FILES = "SELECT 'logs/' || source || '/' || doc_id AS path, n_chars AS length FROM documents"
+    return files.path_sizes(_listed(spark, sf_dir), F.substring(name, 1, 1))
 
 
 @query(f"""WITH f AS ({_FILES}) SELECT split_part(path, '/', 2) AS prefix, sum(length)::BIGINT AS bytes FROM f GROUP BY 1

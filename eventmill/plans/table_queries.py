@@ -139,13 +139,30 @@ def exclude_list(spark, sf_dir):
     return without(table(spark, sf_dir, "nation"), "n_name", ["NATION_3", "NATION_7", "Antarctica"]).select("n_nationkey", "n_name")
 
 
-@query("""SELECT doc_id, lang FROM documents d WHERE EXISTS
+_MENTIONS = """SELECT doc_id, lang FROM documents d WHERE EXISTS
   (SELECT 1 FROM (SELECT DISTINCT string_split(text, ' ')[2] AS word FROM conversations) w
-   WHERE length(word) >= 6 AND contains(d.text, word))""")
-def filter_lines_by_users(spark, sf_dir):
+   WHERE length(word) >= 6 AND contains(d.text, word))"""
+
+
+def _mentioning(spark, sf_dir, **how):
     words = table(spark, sf_dir, "conversations").select(F.get(F.split("text", " "), F.lit(1)).alias("username"))
     users = words.where(F.length("username") >= 6)
-    return lines_by_users(spread(table(spark, sf_dir, "documents")), users, "text").select("doc_id", "lang")
+    return lines_by_users(spread(table(spark, sf_dir, "documents")), users, "text", **how).select("doc_id", "lang")
+
+
+@query(_MENTIONS)
+def filter_lines_by_users(spark, sf_dir):
+    return _mentioning(spark, sf_dir)
+
+
+@query(_MENTIONS)
+def filter_lines_by_joined_users(spark, sf_dir):
+    return _mentioning(spark, sf_dir, few=0)
+
+
+@query(_MENTIONS)
+def filter_lines_by_automaton(spark, sf_dir):
+    return _mentioning(spark, sf_dir, automaton=True)
 
 
 @query("SELECT n_name, r_regionkey::BIGINT AS n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

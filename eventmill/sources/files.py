@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 def file_manifest(spark: SparkSession, path: str, suffix: str = "", prefix: str = "") -> DataFrame:
     """`path, length, modificationTime` of the files whose name ends and whose path starts so; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = files.select("path", "length", "modificationTime")
-    return listed.where(F.col("path").endswith(suffix) & F.col("path").startswith(prefix)).orderBy("path")
+    return chosen_files(files.select("path", "length", "modificationTime"), suffix, prefix)
+
+
+def chosen_files(files: DataFrame, suffix: str = "", prefix: str = "") -> DataFrame:
+    """The listed files whose path starts and ends so, in the order of their paths."""
+    return files.where(F.col("path").endswith(suffix) & F.col("path").startswith(prefix)).orderBy("path")
 
 
 def path_sizes(files: DataFrame, group: Column) -> DataFrame:

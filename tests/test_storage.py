@@ -172,7 +172,7 @@ def test_text_operators_give_the_same_on_a_stream(spark, tmp_path):
     changes = {
         "select": lambda df: select_in(df, "u3"),
         "users": lambda df: filter_lines_by_users(df, users),
-        "automaton": lambda df: filter_lines_by_users(df, users, few=0),
+        "automaton": lambda df: filter_lines_by_users(df, users, automaton=True),
         "print": lambda df: json_select(parse_events(df), ["username", "time"], "value").select("value"),
         "project": lambda df: select_fields(parse_events(df), ["username"]).withColumnRenamed("username", "value"),
     }

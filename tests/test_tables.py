@@ -128,14 +128,17 @@ def test_all_ways_to_find_users_agree(spark):
     chance = random.Random(1)
     names = ["".join(chance.choice("abc") for _ in range(chance.randrange(3, 7))) for _ in range(40)] + ["é x", " pad ", ""]
     text = ["".join(chance.choice("abcd é") for _ in range(chance.randrange(0, 700))) for _ in range(300)] + ["abc", "xxpad", "é xx"] * 30
+    names += ["abcabcabcabcabcabcab" + c for c in "abc"]
+    text += ["d" * n + names[-1] + "d" * 300 for n in range(225, 275)]
     frame, users = column(spark, text + [None]), spark.createDataFrame([(n,) for n in names], "username string")
-    for few, size in ((0, 0), (0, 3), (100, 1 << 20), (0, 1 << 20)):
-        some = users.limit(size) if size == 3 else users
-        wanted = [n.strip() for n in (names[:3] if size == 3 else names) if n.strip()]
+    for few, number, automaton in ((0, 3, False), (0, 50, False), (100, 50, False), (0, 50, True)):
+        some = users.limit(number)
+        wanted = [n.strip() for n in names[:number] if n.strip()]
         expected = sorted(t for t in text if any(n in t for n in wanted))
-        found = filter_lines_by_users(frame, some, "c", few=few, automaton_bytes=size)
+        found = filter_lines_by_users(frame, some, "c", few=few, automaton=automaton)
         assert sorted(row.c for row in found.collect()) == expected
-    assert filter_lines_by_users(frame, users.limit(0), "c").count() == 0
+    for how in ({}, {"few": 0}, {"automaton": True}):
+        assert filter_lines_by_users(frame, users.limit(0), "c", **how).count() == 0
 
 
 def test_lookup_of_a_missing_name(spark):
