@@ -15,6 +15,8 @@ from eventmill.functions.paths import event_field
 # A few names are looked for one by one in generated code. Larger lists are joined by grams of these lengths.
 FEW_NAMES = 16
 GRAMS = (16, 8, 4, 2, 1)
+#: Names up to this size travel to all tasks, which spares the shuffle of the lines' grams. More are joined by a shuffle.
+SENT_BYTES = 16 << 20
 _PIECE = 256
 
 
@@ -71,8 +73,12 @@ def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     names to all lines. Lines are cut into overlapping pieces first, which bounds what one row expands to.
     """
     grams = _named_grams(names)
-    # the different gram lengths, not more than GRAMS has
-    sizes = sorted(row["size"] for row in grams.select("size").distinct().collect())
+    # the different gram lengths, not more than GRAMS has, and what the names weigh
+    weight = F.sum(F.octet_length("name") + F.octet_length("gram") + 64).alias("bytes")
+    known = grams.agg(F.sort_array(F.collect_set("size")).alias("sizes"), weight).first()
+    sizes = known["sizes"]
+    sought = grams.select("gram", "name")
+    sought = F.broadcast(sought) if known["bytes"] <= SENT_BYTES else sought
     text, line = F.col(f"`{column}`"), F.unhex(F.sha2(F.col(f"`{column}`"), 256))
     pieces = df.where(F.length(text) > 0).select(
         line.alias("line"), F.posexplode(F.transform(
@@ -87,7 +93,7 @@ def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
         ).otherwise(F.array().cast("array<string>"))
 
     gram = F.explode(F.array_distinct(F.concat(*[stretches(n) for n in sizes]))).alias("gram")
-    met = pieces.select("line", gram).join(grams.select("gram", "name"), "gram")
+    met = pieces.select("line", gram).join(sought, "gram")
     found = met.select(F.col("line").alias("_line"), F.col("name").alias("_name")).distinct()
     return df.join(found, (line == F.col("_line")) & text.contains(F.col("_name")), "left_semi")
 

@@ -124,7 +124,7 @@ def test_proportion_bounds(spark):
     assert (round(low, 4), mode, round(high, 4)) == (0.1649, 0.2, 0.2351)
 
 
-def test_all_ways_to_find_users_agree(spark):
+def test_all_ways_to_find_users_agree(spark, monkeypatch):
     chance = random.Random(1)
     names = ["".join(chance.choice("abc") for _ in range(chance.randrange(3, 7))) for _ in range(40)] + ["é x", " pad ", ""]
     text = ["".join(chance.choice("abcd é") for _ in range(chance.randrange(0, 700))) for _ in range(300)] + ["abc", "xxpad", "é xx"] * 30
@@ -137,6 +137,9 @@ def test_all_ways_to_find_users_agree(spark):
         expected = sorted(t for t in text if any(n in t for n in wanted))
         found = filter_lines_by_users(frame, some, "c", few=few, automaton=automaton)
         assert sorted(row.c for row in found.collect()) == expected
+    monkeypatch.setattr("eventmill.operators.joins.SENT_BYTES", 0)
+    assert sorted(row.c for row in filter_lines_by_users(frame, users, "c", few=0).collect()) == sorted(
+        t for t in text if any(n.strip() in t for n in names if n.strip()))
     for how in ({}, {"few": 0}, {"automaton": True}):
         assert filter_lines_by_users(frame, users.limit(0), "c", **how).count() == 0
 
