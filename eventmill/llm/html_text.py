@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from eventmill.llm.common import with_fields
 
-_SKIPPED = frozenset("head script style noscript template iframe object svg canvas math select textarea button".split())
+_SKIPPED = frozenset("head title script style noscript template iframe object svg canvas math select textarea button".split())
 _FURNITURE = frozenset("nav footer aside form dialog menu".split())
 _FURNITURE_NAME = re.compile(
     r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|"
@@ -51,18 +51,21 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, furniture or skipped from here on, container
+        self.open: list[tuple[str, bool, int, bool]] = []  # name, furniture or skipped from here on, container, in a link
         self.parents = [-1]  # of containers; 0 is the page
-        self.lines: list[tuple[str, int, bool, int]] = []  # text, tags, furniture, container
+        self.names = [""]  # of containers
+        self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, furniture, container, characters in links
         self.text: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, furniture, container = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append((text, self.tags, furniture, container))
+            _, furniture, container, _ = self.open[-1] if self.open else ("", False, 0, False)
+            self.lines.append((text, self.tags, furniture, container, self.linked))
             self.tags = 0
+        self.linked = 0
         self.text.clear()
 
     def _end(self, names: frozenset[str], fence: frozenset[str]) -> None:
@@ -86,17 +89,18 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        _, furniture, container = self.open[-1] if self.open else ("", False, 0)
+        _, furniture, container, linked = self.open[-1] if self.open else ("", False, 0, False)
         furniture = furniture or self._is_furniture(tag, attrs)
         if tag in _CONTAINERS:
             self.parents.append(container)
+            self.names.append(tag)
             container = len(self.parents) - 1
-        self.open.append((tag, furniture, container))
+        self.open.append((tag, furniture, container, linked or tag == "a"))
 
     def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _SKIPPED or tag in _FURNITURE:
             return True
-        inside = any(name in ("article", "main") for name, _, _ in self.open)
+        inside = any(name in ("article", "main") for name, *_ in self.open)
         if tag == "header" and not inside:
             return True
         if tag in ("html", "body", "article", "main"):
@@ -126,6 +130,8 @@ class Lines(HTMLParser):
         if self.open and self.open[-1][0] in _SKIPPED:
             return
         self.text.append(data)
+        if self.open and self.open[-1][3]:
+            self.linked += len(data.strip())
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -140,15 +146,16 @@ def main_text(html: str | None) -> str:
     """The article of a page: blocks of one line each, joined by an empty line; empty if there is none.
 
     Lines with much text for their tags, smoothed with their neighbours, are marked when they reach the deviation of all
-    lines. The innermost container that holds most of the marked text is the content; all of its lines that are no page
-    furniture are kept, the short ones too.
+    lines. The content is the innermost container that holds most of the marked text, widened to the article or main
+    around it, or without one to the containers around it as long as what else is in them is no list of links. All of its
+    lines that are no page furniture are kept, the short ones too, and so are the containers of marked lines elsewhere.
     """
     page = Lines()
     page.feed(_OPEN_TAG.sub("", html or ""))
     page.close()
     page.flush()
     lines = page.lines
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
     mean = sum(ratios) / max(1, len(ratios))
     bound = math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
     plain = [k for k, line in enumerate(lines) if not line[2]]
@@ -161,10 +168,51 @@ def main_text(html: str | None) -> str:
             at = page.parents[at]
     # A container comes after its parent, so the last one with enough text is innermost.
     chosen = max((c for c, w in enumerate(weight) if w >= _SHARE * weight[0]), default=0)
+    prose = [k for k in marked if 2 * lines[k][4] < len(lines[k][0])]  # smoothing marks links beside long text too
+    whole = {_widened(page, chosen, plain, set(prose))}
+    whole |= {_article(page, lines[k][3]) for k in prose} - {-1}
+    around = set()  # their own lines count, not all that is in them
+    for c in whole:
+        while (c := page.parents[c]) >= 0:
+            around.add(c)
+    own = {lines[k][3] for k in prose}
     inside = [False] * len(page.parents)
     for c, parent in enumerate(page.parents):
-        inside[c] = c == chosen or parent >= 0 and inside[parent]
-    return "\n\n".join(lines[k][0] for k in plain if inside[lines[k][3]])
+        inside[c] = c in whole or parent >= 0 and inside[parent] or c in own and c not in around
+    return "\n\n".join(lines[k][0] for k in plain if inside[lines[k][3]] or lines[k][3] in own)
+
+
+def _article(page: Lines, at: int) -> int:
+    """The outermost article or main around a container, -1 without one."""
+    found = -1
+    while at >= 0:
+        if page.names[at] in ("article", "main"):
+            found = at
+        at = page.parents[at]
+    return found
+
+
+def _widened(page: Lines, chosen: int, plain: list[int], marked: set[int]) -> int:
+    """The article around a container, or the farthest container up to which each part beside it is prose."""
+    article = _article(page, chosen)
+    if article >= 0:
+        return article
+    while (parent := page.parents[chosen]) >= 0:
+        parts: dict[int, list[int]] = {}  # by child container, the parent for its own lines: marked lines, linked, all characters
+        for k in plain:
+            text, _, _, at, linked = page.lines[k]
+            part = at
+            while part > parent and page.parents[part] != parent:
+                part = page.parents[part]
+            if part >= parent and part != chosen:
+                part_ = parts.setdefault(part, [0, 0, 0])
+                part_[0] += k in marked
+                part_[1] += linked
+                part_[2] += len(text)
+        if any(not m and 2 * linked >= size for m, linked, size in parts.values()):
+            break
+        chosen = parent
+    return chosen
 
 
 def extract_text(df: DataFrame, column: str = "html") -> DataFrame:

@@ -97,6 +97,15 @@ def test_page_text_is_the_article_alone(wrap):
     )
 
 
+def test_page_text_keeps_the_smaller_parts_of_an_article():
+    long, other = "<p>" + "many words of the first part " * 20 + "</p>", "<p>" + "the second part has fewer words " * 3 + "</p>"
+    texts = [" ".join(x[3:-4].split()) for x in (long, other)]
+    links = "<div>" + "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(9)) + "</div>"
+    for page in ("<article><div>%s</div><div>%s<p>End.</p></div></article>", "<div><div>%s</div><div>%s</div><div>End.</div></div>"):
+        assert main_text("<body>" + links + page % (long, other) + "</body>") == "\n\n".join([*texts, "End."])
+    assert main_text("<body><div>%s</div>%s<div>%s</div></body>" % (other * 12, links, other * 2)) == "\n\n".join(texts[1:] * 14)
+
+
 def test_page_text_of_odd_pages(spark):
     long = "<p>" + "word " * 50_000 + "</p>"
     pages = [(1, None), (2, ""), (3, "no tags at all"), (4, "<p>cut <a href='x"), (5, "<" * 200), (6, long), (6, long), (7, "<nav><a>only</a></nav>")]
