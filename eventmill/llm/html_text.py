@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,13 +15,15 @@ from pyspark.sql import types as T
 from eventmill.llm.common import with_fields
 
 _SKIPPED = frozenset("head title script style noscript template iframe object svg canvas math select textarea button".split())
-_FURNITURE = frozenset("nav footer aside form dialog menu".split())
+_FURNITURE = frozenset("nav footer aside dialog menu".split())
 _FURNITURE_NAME = re.compile(
     r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
     r"comments?|commentlist|disqus|respond|related|recommended|widget\w*|pagination|pager|toolbar)$"
 )
-_FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Names that say whether a page has such a part.
+_LAYOUT = re.compile(r"(?:^|(?<=[-_]))(?:has|no|with|without)[-_].*")
+_FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -42,19 +45,36 @@ _OPEN_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 #: Weights of a line and its two neighbours on each side: a normal curve of deviation 1.
 _CURVE = [math.exp(-(d**2) / 2) for d in (-2, -1, 0, 1, 2)]
+#: Marks of an element: none, one that holds unless the element is most of the page, furniture, never seen.
+_PLAIN, _LIKELY, _SURE, _UNSEEN = range(4)
 #: A container is taken if it holds this share of the text that the threshold marked.
 _SHARE = 0.8
 
 
+class Marks(NamedTuple):
+    """What the elements around a line say of it."""
+
+    sure: int = _PLAIN  # _SURE or _UNSEEN if one of them is
+    likely: tuple[int, ...] = ()  # numbers of the likely ones
+    article: bool = False  # an article or main lies inside all marks
+
+    def furniture(self, lifted: set[int], articles: bool) -> bool:
+        """`lifted` marks do not count, nor do those around an article if `articles` lie in marked elements only."""
+        if self.sure == _UNSEEN:
+            return True
+        return (self.sure == _SURE or not lifted.issuperset(self.likely)) and not (articles and self.article)
+
+
 class Lines(HTMLParser):
     """Turns parser events into lines: text of a block, tags seen with it, and the containers it lies in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, furniture or skipped from here on, container, in a link
+        self.open: list[tuple[str, Marks, int, bool]] = []  # name, marks from here on, container, in a link
         self.parents = [-1]  # of containers; 0 is the page
         self.names = [""]  # of containers
-        self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, furniture, container, characters in links
+        self.lines: list[tuple[str, int, Marks, int, int]] = []  # text, tags, marks, container, characters in links
+        self.likely = 0  # likely marks so far
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -62,8 +82,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, furniture, container, _ = self.open[-1] if self.open else ("", False, 0, False)
-            self.lines.append((text, self.tags, furniture, container, self.linked))
+            _, marks, container, _ = self.open[-1] if self.open else ("", Marks(), 0, False)
+            self.lines.append((text, self.tags, marks, container, self.linked))
             self.tags = 0
         self.linked = 0
         self.text.clear()
@@ -89,31 +109,51 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        _, furniture, container, linked = self.open[-1] if self.open else ("", False, 0, False)
-        furniture = furniture or self._is_furniture(tag, attrs)
+        _, marks, container, linked = self.open[-1] if self.open else ("", Marks(), 0, False)
+        marks = self._marked(marks, tag, attrs)
         if tag in _CONTAINERS:
             self.parents.append(container)
             self.names.append(tag)
             container = len(self.parents) - 1
-        self.open.append((tag, furniture, container, linked or tag == "a"))
+        self.open.append((tag, marks, container, linked or tag == "a"))
 
-    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _SKIPPED or tag in _FURNITURE:
-            return True
+    def _marked(self, marks: Marks, tag: str, attrs: list[tuple[str, str | None]]) -> Marks:
+        if marks.sure == _UNSEEN:
+            return marks
+        if tag == "main":
+            return Marks(article=True)
+        if tag == "article":
+            return marks._replace(article=True)
+        own = self._mark(tag, attrs)
+        if own == _LIKELY:
+            self.likely += 1
+            return Marks(marks.sure, (*marks.likely, self.likely), False)
+        return Marks(own, marks.likely, False) if own else marks
+
+    def _mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag in _SKIPPED:
+            return _UNSEEN
         inside = any(name in ("article", "main") for name, *_ in self.open)
-        if tag == "header" and not inside:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
+        if tag in _FURNITURE or tag == "header" and not inside:
+            mark = _SURE
+        else:
+            mark = _LIKELY if tag == "form" else _PLAIN
+        if tag in ("html", "body"):
+            return mark
         for name, value in attrs:
             if name in ("class", "id") and value:
-                if any(_FURNITURE_NAME.match(part) for word in value.lower().split() for part in (word, *re.split(r"[-_]", word))):
-                    return True
+                for word in value.lower().split():
+                    if _FURNITURE_NAME.match(word):
+                        mark = max(mark, _SURE)
+                    elif any(_FURNITURE_NAME.match(part) for part in re.split(r"[-_]", _LAYOUT.sub("", word))):
+                        mark = max(mark, _LIKELY)
             elif name == "role" and (value or "").lower() in _FURNITURE_ROLE:
-                return True
+                mark = max(mark, _SURE)
+            elif name == "role" and (value or "").lower() == "form":
+                mark = max(mark, _LIKELY)
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                mark = _UNSEEN
+        return mark
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -158,7 +198,8 @@ def main_text(html: str | None) -> str:
     ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
     mean = sum(ratios) / max(1, len(ratios))
     bound = math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
-    plain = [k for k, line in enumerate(lines) if not line[2]]
+    furniture = _furniture(lines, [r >= bound for r in ratios])
+    plain = [k for k in range(len(lines)) if not furniture[k]]
     marked = [k for k in plain if ratios[k] >= bound] or plain
     weight = [0] * len(page.parents)
     for k in marked:
@@ -182,6 +223,23 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(lines[k][0] for k in plain if inside[lines[k][3]] or lines[k][3] in own)
 
 
+def _furniture(lines: list[tuple[str, int, Marks, int, int]], high: list[bool]) -> list[bool]:
+    """A likely mark is lifted if its element holds most of the text of high ratio that is not furniture for sure.
+
+    Articles in marked elements (a comment, a teaser) are furniture if the page has another article, else its text.
+    """
+    share: dict[int, int] = {}
+    total = 0
+    for (text, _, marks, _, _), counts in zip(lines, high, strict=True):
+        if counts and marks.sure == _PLAIN:
+            total += len(text)
+            for mark in marks.likely:
+                share[mark] = share.get(mark, 0) + len(text)
+    lifted = {mark for mark, size in share.items() if size >= _SHARE * total}
+    articles = not any(marks.article and not marks.furniture(lifted, False) for _, _, marks, _, _ in lines)
+    return [marks.furniture(lifted, articles) for _, _, marks, _, _ in lines]
+
+
 def _article(page: Lines, at: int) -> int:
     """The outermost article or main around a container, -1 without one."""
     found = -1

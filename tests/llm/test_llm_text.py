@@ -106,6 +106,19 @@ def test_page_text_keeps_the_smaller_parts_of_an_article():
     assert main_text("<body><div>%s</div>%s<div>%s</div></body>" % (other * 12, links, other * 2)) == "\n\n".join(texts[1:] * 14)
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-with-sidebar", "sidebar-layout", "sidebar"])
+def test_page_text_survives_wrappers_named_like_furniture(name):
+    text = " ".join(["some words to read here"] * 12)
+    for tag, inner in (("form", "%s"), ("div", "<article>%s</article>"), ("div", "<main>%s</main>"), ("div", "<div>%s</div>")):
+        if (tag, name, inner) == ("div", "sidebar", "<div>%s</div>"):
+            continue  # a whole name is furniture unless an article says otherwise
+        opening = "<form>" if tag == "form" else f"<div class='{name}'>"
+        page = f"<body><nav><a href='/'>Home</a></nav>{opening}<p class='x'>{inner % text}</p><nav><a>Next</a></nav></{tag}></body>"
+        assert main_text(page) == text
+    comment = "<div id='comments'><article><p>" + "my own view of it " * 40 + "</p></article></div>"
+    assert main_text(f"<body><form><article><p>{text}</p></article>{comment}</form></body>") == text
+
+
 def test_page_text_of_odd_pages(spark):
     long = "<p>" + "word " * 50_000 + "</p>"
     pages = [(1, None), (2, ""), (3, "no tags at all"), (4, "<p>cut <a href='x"), (5, "<" * 200), (6, long), (6, long), (7, "<nav><a>only</a></nav>")]
