@@ -27,18 +27,22 @@ def _rows(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _coded(vectors: DataFrame, scale: float, seed: int) -> DataFrame:
-    """`id, x` (float bytes), `q` (one byte a component) and a sort key for each random order."""
+    """`id, x` (double bytes), `q` (float bytes, scaled) and a sort key for each random order.
+
+    With a scale that brings usual vectors to about 1, only components 1e38 times as large are clipped.
+    """
+    most = float(np.finfo(np.float32).max)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = np.asarray(batch.column("v").flatten(), dtype="<f8").reshape(batch.num_rows, -1)
-            q = np.clip(np.rint(m * scale), -127, 127).astype(np.int8)
+            q = np.clip(m * scale, -most, most).astype(np.float32)
             keys = []
             for t in range(ORDERS):
                 planes = np.random.default_rng(seed + t).normal(size=(m.shape[1], CODE_BITS))
-                side = q.astype(np.float32) @ planes
+                side = q.astype(np.float64) @ planes
                 keys.append(pa.array(((side > 0) * (1 << np.arange(CODE_BITS - 1, -1, -1))).sum(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([r.tobytes() for r in m], pa.binary()), pa.array([r.tobytes() for r in q], pa.binary()), *keys],
@@ -50,17 +54,25 @@ def _coded(vectors: DataFrame, scale: float, seed: int) -> DataFrame:
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances between the rows of two matrices (or of stacks of them) of whole numbers."""
-    kind = np.float32 if a.shape[-1] <= 256 else np.float64
-    a, b = a.astype(kind), b.astype(kind)
+    """About the squared distances between the rows of two matrices (or of stacks of them)."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     return (a**2).sum(-1)[..., :, None] + (b**2).sum(-1)[..., None, :] - 2 * np.matmul(a, np.swapaxes(b, -1, -2))
 
 
-_EDGE = "u bigint, v bigint, d int"
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to rows: a pair has the same number wherever it is measured, in either order."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 4096):
+        part = slice(at, at + 4096)
+        out[part] = ((a[part].astype(np.float64) - b[part].astype(np.float64)) ** 2).sum(1)
+    return out
+
+
+_EDGE = "u bigint, v bigint, d double"
 
 
 def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float64))], names=["u", "v", "d"])
 
 
 def _run_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +81,13 @@ def _run_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     cells: list[bytes] = []
 
     def run() -> pa.RecordBatch:
-        i, q = np.array(ids), np.frombuffer(b"".join(cells), np.int8).reshape(len(ids), -1)
+        i, q = np.array(ids), np.frombuffer(b"".join(cells), np.float32).reshape(len(ids), -1)
         d = _squared(q, q)
         np.fill_diagonal(d, np.inf)
         k = min(NEIGHBOURS // ORDERS + 4, len(i) - 1)
         near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(i), 0), int)
-        return _edges(np.repeat(i, k), i[near].ravel(), np.take_along_axis(d, near, 1).ravel())
+        a, b = np.repeat(np.arange(len(i)), k), near.ravel()
+        return _edges(i[a], i[b], _between(q[a], q[b]))
 
     for batch in batches:
         for i, q in zip(batch.column("id").to_pylist(), batch.column("q").to_pylist(), strict=True):
@@ -102,8 +115,8 @@ def _sampled(edges: DataFrame, node: str, turn: int) -> DataFrame:
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares the members of each centre, at least one of a pair fresh; gives what is nearer than a member's farthest."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
             lists = batch.column("members")
             counts = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
@@ -112,7 +125,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = flat.field("m").to_numpy(zero_copy_only=False)
             isnew = flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
             far = flat.field("far").to_numpy(zero_copy_only=False)
-            q = _rows(flat.field("q"), "i1")
+            q = _rows(flat.field("q"), "<f4")
             width = int(counts.max())
             slot = np.full((len(counts), width), -1)
             slot[np.arange(width)[None] < counts[:, None]] = np.arange(len(ids))
@@ -123,9 +136,10 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair &= d < far[slot][:, :, None]
             g, a, b = np.nonzero(pair)
             if len(g):
-                u, v, w = ids[slot[g, a]], ids[slot[g, b]], d[g, a, b]
+                i, j = slot[g, a], slot[g, b]
+                u, v = ids[i], ids[j]
                 _, once = np.unique(np.stack([u, v]), axis=1, return_index=True)
-                yield _edges(u[once], v[once], w[once])
+                yield _edges(u[once], v[once], _between(q[i[once]], q[j[once]]))
 
 
 def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
@@ -147,7 +161,7 @@ def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS)
         members = chosen.select("u", "v", "fresh").union(back.select("u", "v", "fresh"))
         members = members.groupBy(F.col("u").alias("centre"), F.col("v").alias("m")).agg(F.max("fresh").alias("fresh"))
         far = edges.groupBy(F.col("u").alias("id")).agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
-        info = nodes.select("id", "q").join(far, "id", "left").select("id", "q", F.when(F.col("n") >= k, F.col("far")).otherwise(2**31 - 1).alias("far"))
+        info = nodes.select("id", "q").join(far, "id", "left").select("id", "q", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("far"))
         placed = members.join(info, members["m"] == info["id"]).groupBy("centre").agg(F.collect_list(F.struct("m", "fresh", "far", "q")).alias("members"))
         found = placed.select("members").mapInArrow(_local_join, _EDGE)
         used = chosen.where("fresh").select("u", "v", F.lit(True).alias("used"))
@@ -159,8 +173,8 @@ def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS)
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = _rows(batch.column("a"), "i1").astype(np.int32), _rows(batch.column("b"), "i1").astype(np.int32)
-            yield _edges(batch.column("u").to_numpy(), batch.column("v").to_numpy(), ((a - b) ** 2).sum(1))
+            d = _between(_rows(batch.column("a"), "<f4"), _rows(batch.column("b"), "<f4"))
+            yield _edges(batch.column("u").to_numpy(), batch.column("v").to_numpy(), d)
 
 
 def greedy_search(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
@@ -211,14 +225,14 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_column:
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").limit(1).collect()
     dim = dims[0]["dim"] if dims else 0
     rows = rows.where(F.size("v") == dim)
-    top = rows.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()[0] or 1.0
+    usual = rows.agg(F.percentile_approx(F.array_max(F.transform("v", lambda c: F.abs(c))), 0.5, 1000)).first()[0] or 1.0
     keyed = saved(rows.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda c: (c + F.lit(0.0)).cast("string")), ","), 256)), "vectors")
     least = Window.partitionBy("key").orderBy("vec_id")
     few = keyed.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1)
     grouped = few.groupBy("key").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
     # one number may name several vectors, so nodes get numbers of their own
     classes = saved(grouped.select("key", F.monotonically_increasing_id().alias("id"), "ids", "v"), "vector-classes")
-    nodes = saved(_coded(classes.select("id", "v"), 127.0 / top, seed), "nodes")
+    nodes = saved(_coded(classes.select("id", "v"), 1.0 / max(usual, 1e-300), seed), "nodes")
     edges = neighbour_graph(nodes)
     asks = keyed.where("asks").groupBy("vec_id").agg(F.min_by("key", "v").alias("key"))
     asks = saved(asks.join(classes.select("key", "id"), "key").select(F.col("vec_id").alias("query_id"), F.col("id").alias("u")), "queries")

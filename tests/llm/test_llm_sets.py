@@ -153,6 +153,19 @@ def test_neighbours_are_found(spark):
     assert nearest_neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("huge", [1e6, 1e30])
+def test_a_huge_vector_does_not_blur_the_others(spark, huge):
+    m = np.random.default_rng(3).normal(size=(1500, 16))
+    m[1] = huge
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    hits = defaultdict(int)
+    for r in nearest_neighbours(df, F.col("vec_id") % 50 == 0, 10).collect():
+        d = ((m - m[r["query_id"]]) ** 2).sum(1)
+        d[r["query_id"]] = np.inf
+        hits[r["query_id"]] += r["vec_id"] in np.argsort(d)[:10]
+    assert len(hits) == 30 and sum(hits.values()) / 300 >= 0.9
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["big"] * 6 + ["b", "c", "é"]), "w " * int(rng.paretovariate(0.7))) for i in range(4000)]
