@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.llm.bpe import decode_ids, encode_texts
+from eventmill.llm.collocations import top_collocations
 from eventmill.llm.hard_negatives import mine_hard_negatives
 from eventmill.llm.html_text import extract_text
 from eventmill.llm.mixing import mix_sources
@@ -199,3 +200,41 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def _grams_sql() -> str:
+    """All phrases of one to four words, by language, with their counts."""
+    spread = ", ".join(f"lead(w, {k - 1}) OVER (PARTITION BY doc, piece ORDER BY pos) AS w{k}" for k in (2, 3, 4))
+    counts = " UNION ALL ".join(
+        f"SELECT lang, {', '.join(f'w{k}' for k in range(1, size + 1))}{', NULL' * (4 - size)}, count(*) AS f FROM spread "
+        f"WHERE w{size} IS NOT NULL GROUP BY ALL" for size in (1, 2, 3, 4)
+    )
+    return f"""
+pieces AS (SELECT doc, lang, unnest(p) AS t, unnest(range(len(p))) AS piece FROM (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+ws AS (SELECT doc, lang, piece, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (
+    SELECT doc, lang, piece, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces)),
+spread AS (SELECT lang, w AS w1, {spread} FROM ws),
+grams(lang, w1, w2, w3, w4, f) AS ({counts})"""
+
+
+@query(f"""
+WITH {_grams_sql()},
+f AS MATERIALIZED (SELECT lang, concat_ws(' ', w1, w2, w3, w4) AS phrase, len(list_filter([w1, w2, w3, w4], lambda x: x IS NOT NULL)) AS size,
+    list_filter([w1, w2, w3, w4], lambda x: x IS NOT NULL) AS ws, f FROM grams WHERE f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+    FROM f c, range(1, 4) t(k) WHERE c.size >= 2 AND k < c.size),
+scored AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT // (x.f + y.f))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000 * c.a::HUGEINT // (x.f + y.f), k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(f) AS by_ FROM f, range(1, 4) t(i), range(2, 5) u(j)
+    WHERE size >= 3 AND i < j AND j <= size AND j - i + 1 < size GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM ws GROUP BY lang)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+FROM scored s JOIN n ON n.lang = s.lang LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+WHERE by_ IS NULL OR 100 * by_ < 80 * a
+QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
