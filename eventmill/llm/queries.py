@@ -10,6 +10,7 @@ from eventmill.llm.bpe import decode_ids, encode_texts
 from eventmill.llm.collocations import top_collocations
 from eventmill.llm.hard_negatives import mine_hard_negatives
 from eventmill.llm.html_text import extract_text
+from eventmill.llm.language_id import held_out, predict_language
 from eventmill.llm.mixing import mix_sources
 from eventmill.llm.neighbours import nearest_neighbours
 from eventmill.llm.ngram_join import link_components
@@ -238,3 +239,9 @@ QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.ph
 """)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    return predict_language(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
