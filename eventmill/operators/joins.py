@@ -7,17 +7,15 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventmill.functions.grams import filter_words, name_numbers, possible_names
 from eventmill.functions.paths import event_field
+from eventmill.session import scratch_path
 
-# A few names are looked for one by one in generated code. Larger lists are joined by grams of these lengths.
+# A few names are looked for one by one in generated code. Larger lists are joined by numbers of the names.
 FEW_NAMES = 16
-GRAMS = (16, 8, 4, 2, 1)
-#: Names up to this size travel to all tasks, which spares the shuffle of the lines' grams. More are joined by a shuffle.
-SENT_BYTES = 16 << 20
-_PIECE = 256
 
 
 def filter_lines_by_users(
@@ -55,47 +53,38 @@ def _mentions_any(df: DataFrame, names: list[str]):
     return mentions
 
 
-def _named_grams(names: DataFrame) -> DataFrame:
-    """`name, size, gram`: of the stretches of a name that are as long as its gram length, one that the fewest names have."""
-    size = F.coalesce(*[F.when(F.length("name") >= n, n) for n in GRAMS])
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("size") + 1)
-    stretches = F.array_distinct(F.transform(starts, lambda at: F.substr(F.col("name"), at, F.col("size"))))
-    grams = names.withColumn("size", size).select("name", "size", F.explode(stretches).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    rarest = grams.join(shared, "gram").groupBy("name").agg(F.min(F.struct("names", "gram", "size")).alias("least"))
-    return rarest.select("name", "least.size", "least.gram")
-
-
 def _join_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Substring search as an equality join on grams, for lists of any size; what meets is verified on the whole line.
+    """Substring search as an equality join on numbers of names, for lists of any size; what meets is verified.
 
-    A name is looked for by the gram of it that the fewest names share, so that a common beginning does not bring all
-    names to all lines. Lines are cut into overlapping pieces first, which bounds what one row expands to.
+    Each line looks for stretches whose numbers may be those of names, by filters of bounded size: no row is made of the
+    others, and lines without any go at once. A line is joined with the first of them; only one whose first is no name
+    becomes a row for each of the rest. Lines are read one time.
     """
-    grams = _named_grams(names)
-    # the different gram lengths, not more than GRAMS has, and what the names weigh
-    weight = F.sum(F.octet_length("name") + F.octet_length("gram") + 64).alias("bytes")
-    known = grams.agg(F.sort_array(F.collect_set("size")).alias("sizes"), weight).first()
-    sizes = known["sizes"]
-    sought = grams.select("gram", "name")
-    sought = F.broadcast(sought) if known["bytes"] <= SENT_BYTES else sought
-    text, line = F.col(f"`{column}`"), F.unhex(F.sha2(F.col(f"`{column}`"), 256))
-    pieces = df.where(F.length(text) > 0).select(
-        line.alias("line"), F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.length(text), F.lit(_PIECE)), lambda at: F.substr(text, at, F.lit(_PIECE + sizes[-1] - 1))
-        )).alias("at", "piece"),
-    )
-
-    def stretches(n: int) -> Column:
-        last = F.least(F.length("piece") - n + 1, F.lit(_PIECE))
-        return F.when(
-            last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr("piece", i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-
-    gram = F.explode(F.array_distinct(F.concat(*[stretches(n) for n in sizes]))).alias("gram")
-    met = pieces.select("line", gram).join(sought, "gram")
-    found = met.select(F.col("line").alias("_line"), F.col("name").alias("_name")).distinct()
-    return df.join(found, (line == F.col("_line")) & text.contains(F.col("_name")), "left_semi")
+    numbers = name_numbers("name")
+    known = _saved(names.select("name", F.octet_length("name").alias("size"), numbers["head"].alias("head"), numbers["whole"].alias("whole")))
+    sizes = {row["size"]: row["n"] for row in known.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return df.limit(0)
+    filters = filter_words(known, ["head", "whole"], sum(sizes.values()))
+    text = F.col(f"`{column}`")
+    lines = df.select("*", F.monotonically_increasing_id().alias("_line"), possible_names(df.sparkSession, text, *filters, sorted(sizes)).alias("_all"))
+
+    def named(number: str, name: str) -> DataFrame:
+        return known.select(F.col("whole").alias(number), F.col("name").alias(name))
+
+    first = lines.where(F.size("_all") > 0).withColumn("_first", F.get("_all", F.lit(0))).join(named("_first", "_name"), "_first", "left")
+    first = first.withColumn("_found", F.coalesce(text.contains(F.col("_name")), F.lit(False)))
+    others = F.when(F.col("_found"), F.array(F.lit(None).cast("bigint"))).otherwise(F.slice("_all", F.lit(2), F.size("_all")))
+    more = first.withColumn("_other", F.explode(others)).join(named("_other", "_next"), "_other", "left")
+    held = more.where(F.col("_found") | text.contains(F.col("_next")))
+    return held.dropDuplicates(["_line"]).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _saved(names: DataFrame) -> DataFrame:
+    """The names with their numbers, made once for the filters and the joins."""
+    path = scratch_path(names.sparkSession, "names")
+    names.write.parquet(path)
+    return names.sparkSession.read.schema(names.schema).parquet(path)
 
 
 def filter_events_by_users(df: DataFrame, users: DataFrame, path: str = "username", user: str = "username") -> DataFrame:

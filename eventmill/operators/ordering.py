@@ -36,11 +36,17 @@ def peek(df: DataFrame, n: int = 10, *order: str) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def merge_sorted(frames: list[DataFrame], key: str) -> DataFrame:
-    """All rows of all frames, greatest key first; equal keys in the order of the frames."""
-    numbered = [frame.withColumn("_source", F.lit(i)) for i, frame in enumerate(frames)]
+def merge_sorted(frames: list[DataFrame], key: str, ordinal: str | None = None) -> DataFrame:
+    """All rows of all frames, greatest key first; equal keys in the order of the frames, in a frame as it has them.
+
+    Frames that are sorted already are merged by one exchange into ranges. The place of a row in its frame goes with it:
+    the column `ordinal` where rows have one, else their order as they are read. So rows with equal keys of one frame keep
+    their order; with an ordinal the result is the same in however many partitions, and in whatever order, files are read.
+    """
+    place = F.col(f"`{ordinal}`") if ordinal else F.monotonically_increasing_id()
+    numbered = [frame.withColumn("_place", place).withColumn("_source", F.lit(i)) for i, frame in enumerate(frames)]
     merged = reduce(DataFrame.unionByName, numbered)
-    return merged.orderBy(F.col(key).desc(), "_source").drop("_source")
+    return merged.orderBy(F.col(key).desc(), "_source", "_place").drop("_source", "_place")
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:

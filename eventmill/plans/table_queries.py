@@ -263,10 +263,12 @@ def peek(spark, sf_dir):
     return first_rows(users, 10, "id")
 
 
-@query("""SELECT row_number() OVER (ORDER BY o_totalprice DESC, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) - 1 AS position, o_orderkey, o_orderstatus FROM orders""")
+@query("""SELECT row_number() OVER (ORDER BY o_totalprice DESC, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) - 1 AS position, o_orderkey, o_orderstatus FROM orders""")
 def merge_sorted(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    merged = merge([orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")], "o_totalprice")
+    # each status is an input of its own, sorted by price, equal prices by key
+    runs = [number_rows(orders.where(F.col("o_orderstatus") == s), F.col("o_totalprice").desc(), "o_orderkey", name="place") for s in ("F", "O", "P")]
+    merged = merge(runs, "o_totalprice", "place")
     return number_rows(merged).select("position", "o_orderkey", "o_orderstatus")
 
 

@@ -10,6 +10,7 @@ from eventmill.functions.plain_text import ascii_fold, entity_text
 from eventmill.functions.typed import clean_header, clean_name, parse_dollars, parse_int
 from eventmill.operators.counts import event_count, field_set, item_count_probe, proportion_bounds, users_count
 from eventmill.operators.filters import date_gt, filter_events, filter_fields, parse_cutoff
+from eventmill.functions.grams import AT_ONCE
 from eventmill.operators.joins import filter_lines_by_users, lookup_join
 from eventmill.operators.ordering import big_sort, merge_sorted, number_rows
 from eventmill.operators.privacy import tokenize_users
@@ -124,7 +125,22 @@ def test_proportion_bounds(spark):
     assert (round(low, 4), mode, round(high, 4)) == (0.1649, 0.2, 0.2351)
 
 
-def test_all_ways_to_find_users_agree(spark, monkeypatch):
+def test_names_across_the_parts_of_a_long_line(spark):
+    name = "abcdefghijklmnopqrstuvwxyz"
+    users = spark.createDataFrame([(name,), ("zzz",)], "username string")
+    for before in range(AT_ONCE - 27, AT_ONCE + 1, 3):
+        line = "d" * before + name + "d" * 50
+        assert filter_lines_by_users(column(spark, [line, "d" * 99]), users, "c", few=0).count() == 1
+
+
+def test_misses_never_become_rows(spark):
+    frame, users = column(spark, ["nothing here"] * 50 + ["a name1 b"]), spark.createDataFrame([(f"name{i}",) for i in range(40)], "username string")
+    found = filter_lines_by_users(frame, users, "c")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and found.collect() == [("a name1 b",)]
+
+
+def test_all_ways_to_find_users_agree(spark):
     chance = random.Random(1)
     names = ["".join(chance.choice("abc") for _ in range(chance.randrange(3, 7))) for _ in range(40)] + ["é x", " pad ", ""]
     text = ["".join(chance.choice("abcd é") for _ in range(chance.randrange(0, 700))) for _ in range(300)] + ["abc", "xxpad", "é xx"] * 30
@@ -137,9 +153,13 @@ def test_all_ways_to_find_users_agree(spark, monkeypatch):
         expected = sorted(t for t in text if any(n in t for n in wanted))
         found = filter_lines_by_users(frame, some, "c", few=few, automaton=automaton)
         assert sorted(row.c for row in found.collect()) == expected
-    monkeypatch.setattr("eventmill.operators.joins.SENT_BYTES", 0)
-    assert sorted(row.c for row in filter_lines_by_users(frame, users, "c", few=0).collect()) == sorted(
-        t for t in text if any(n.strip() in t for n in names if n.strip()))
+    # a shuffled list gives the same as a broadcast one, and a repeated line is found as often as it is there
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(row.c for row in filter_lines_by_users(frame, users, "c", few=0).collect()) == sorted(
+            t for t in text if any(n.strip() in t for n in names if n.strip()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for how in ({}, {"few": 0}, {"automaton": True}):
         assert filter_lines_by_users(frame, users.limit(0), "c", **how).count() == 0
 
@@ -172,6 +192,19 @@ def test_merge_of_sorted_frames(spark):
     assert [row.c for row in merged.collect()] == sorted(sum(lists, []), reverse=True)
 
 
+def test_merged_rows_with_equal_keys_keep_input_and_place(spark):
+    chance = random.Random(2)
+    inputs = [sorted(((chance.randrange(4), i, place) for place in range(200)), key=lambda r: -r[0]) for i in range(3)]
+    inputs = [[(key, i, n) for n, (key, i, _) in enumerate(rows)] for rows in inputs]
+    expected = sorted(sum(inputs, []), key=lambda r: (-r[0], r[1], r[2]))
+    for parts in (1, 7, 7):
+        frames = [spark.createDataFrame(rows, "k int, input int, n int").repartition(parts) for rows in inputs]
+        assert [tuple(r) for r in merge_sorted(frames, "k", "n").collect()] == expected
+    # without an ordinal, rows keep the order they are read in
+    frames = [spark.createDataFrame(rows, "k int, input int, n int").coalesce(2) for rows in inputs]
+    assert [tuple(r) for r in merge_sorted(frames, "k").collect()] == expected
+
+
 def test_filters_on_plain_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.sql("SELECT timestamp_ntz'2024-01-02' AS time, 'a' AS event_type, 1 AS other").write.parquet(path)
