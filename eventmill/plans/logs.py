@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventmill.functions.identity import TOKEN_WIDTH
 from eventmill.functions.json_text import record_text
 from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
@@ -23,13 +24,18 @@ SENSITIVE_EVENT_FIELDS = ["csrfmiddlewaretoken", "session"]
 LONGEST_SORTED_STRING = 500
 
 
-def clean_and_desensitize(df: DataFrame, ordinal: str, mindate: str | None = None) -> DataFrame:
-    """Lines, or records of a cache, to masked records: cut by date, decode payloads, drop repetition and personal fields."""
+def clean_and_desensitize(
+    df: DataFrame, ordinal: str, mindate: str | None = None, tokens: DataFrame | None = None, width: int = TOKEN_WIDTH
+) -> DataFrame:
+    """Lines, or records of a cache, to masked records: cut by date, decode payloads, drop repetition and personal fields.
+
+    Without a table of tokens, users are numbered by their first record.
+    """
     records = date_gt(df if "rec" in df.columns else parse_events(df), mindate)
     cleaned = remove_redundant_context(decode_event_payload(records))
     # cleaning leaves the user alone, so the tokens need no cleaned records
-    tokens = record_user_tokens(records, ordinal)
-    return desensitize(cleaned, SENSITIVE_FIELDS, SENSITIVE_EVENT_FIELDS, ordinal, tokens)
+    tokens = record_user_tokens(records, ordinal, width) if tokens is None else tokens
+    return desensitize(cleaned, SENSITIVE_FIELDS, SENSITIVE_EVENT_FIELDS, ordinal, tokens, width)
 
 
 def desensitize_to(df: DataFrame, ordinal: str, out: str, mindate: str | None = None, format: str = "json") -> None:

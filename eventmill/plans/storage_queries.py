@@ -280,6 +280,71 @@ def streamed_tokens(spark, sf_dir):
     return ingest.read_tokens(spark, f"{path}/tokens").select("user", "number")
 
 
+def _named_gz(spark, folder):
+    """Give the plain parts in a folder names that end in `.gz`."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files_ = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files_.listStatus(top):
+        if status.getPath().getName().endswith(".txt"):
+            files_.rename(status.getPath(), status.getPath().suffix(".gz"))
+
+
+@query(f"{LINES} SELECT regexp_replace(value, '[^\\x00-\\x7F]', '', 'g') AS value FROM lines")
+def ingest_misnamed_gzip(spark, sf_dir):
+    """Gzip files, then plain text under such names, then nothing new."""
+    path = scratch_path(spark, "misnamed")
+    made = event_lines(spark, sf_dir)
+    lines.save_events(made.where(F.col("kind").isin("click", "view")).select("value"), f"{path}/in/one")
+    made.where(~F.col("kind").isin("click", "view")).select("value").write.text(f"{path}/plain")
+    _named_gz(spark, f"{path}/plain")
+    for folder in (f"{path}/in", f"{path}/{{in,plain}}", f"{path}/{{in,plain}}"):
+        ingest.incremental_ingest(spark, folder, f"{path}/out", f"{path}/checkpoint", only_gz=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _deliveries(spark, sf_dir, label):
+    """Three deliveries of event records as folders of a stream, each taken before the next one comes."""
+    path = scratch_path(spark, label)
+    made = event_lines(spark, sf_dir).select("event_id", "kind", "value")
+    for kinds in (["click"], ["view", "error"], ["purchase", "signup"]):
+        made.where(F.col("kind").isin(kinds)).write.mode("append").parquet(f"{path}/in")
+        yield path, parse_events(spark.readStream.schema(made.schema).parquet(f"{path}/in"))
+
+
+@query(f"{EVENTS} SELECT (count(DISTINCT j ->> '$.username') + max(((j ->> '$.username') IS NULL)::INT))::BIGINT AS users FROM ev")
+def streamed_users_count(spark, sf_dir):
+    for path, records in _deliveries(spark, sf_dir, "users"):
+        counted = ingest.running_users(records).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint")
+        written = counted.foreachBatch(lambda batch, _, path=path: batch.write.mode("overwrite").parquet(f"{path}/users"))
+        written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/users")
+
+
+@query(f"{EVENTS} SELECT DISTINCT j ->> '$.username' AS username FROM ev")
+def streamed_field_set(spark, sf_dir):
+    for path, records in _deliveries(spark, sf_dir, "values"):
+        found = ingest.running_field_set(records, "username").writeStream.format("parquet").option("path", f"{path}/values")
+        found.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/values")
+
+
+@query(f"""{EVENTS}, named AS (SELECT event_id, j ->> '$.event_type' AS kind, j ->> '$.username' AS u FROM ev),
+first AS (SELECT u, min(CASE kind WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 1 ELSE 2 END) AS b FROM named WHERE u IS NOT NULL GROUP BY u),
+numbered AS (SELECT u, row_number() OVER (ORDER BY b, i, u) - 1 AS n FROM (SELECT u, b, min(event_id) AS i FROM named JOIN first USING (u)
+  WHERE b = CASE kind WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 1 ELSE 2 END GROUP BY u, b)),
+tokens AS (SELECT u, a[(n // 2704 % 52 + 1)::INT] || a[(n // 52 % 52 + 1)::INT] || a[(n % 52 + 1)::INT] AS token
+  FROM numbered, (SELECT 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a))
+SELECT event_id, kind AS event_type, token AS username, NULL::VARCHAR AS ip FROM named LEFT JOIN tokens USING (u)""")
+def streamed_desensitize(spark, sf_dir):
+    def shown(masked):
+        return masked.select("event_id", field("event_type").alias("event_type"), field("username").alias("username"), field("ip").alias("ip"))
+
+    for path, records in _deliveries(spark, sf_dir, "masked-stream"):
+        taken = ingest.desensitize_stream(records.drop("kind"), f"{path}/tokens", f"{path}/out", f"{path}/checkpoint", "event_id", change=shown)
+        taken.awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
 @query(f"{EVENTS} SELECT event_id, j ->> '$.event_type' AS event_type FROM ev")
 def desensitize_to_cache(spark, sf_dir):
     path = scratch_path(spark, "masked")

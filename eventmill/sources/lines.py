@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.json_text import ascii_only, record_text
 from eventmill.operators.parse import parse_events
+from eventmill.sources.by_content import RAW_GZIP, SCHEMA, lines_of_pieces
 
 
 def read_lines(
     spark: SparkSession, path: str, only_gz: bool = False, ascii: bool = True, file_column: str | None = None,
-    streaming: bool = False,
+    streaming: bool = False, by_content: bool = False,
 ) -> DataFrame:
-    """`value` per line of all files below the path. Compressed files are read by their suffix."""
+    """`value` per line of all files below the path. Compressed files are read by their suffix.
+
+    With `by_content`, a file named `.gz` is unpacked only if it begins as gzip files do, and read as plain text else. Files
+    are unpacked piece by piece in the tasks, so none is too large; it costs more than going by the name.
+    """
     reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", True)
     if only_gz:
         reader = reader.option("pathGlobFilter", "*.gz")
+    if by_content:
+        raw = reader.options(**RAW_GZIP).text(path)
+        where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+        lines = raw.select(F.col("value").cast("binary").alias("raw"), *where).mapInArrow(lines_of_pieces, SCHEMA)
+        lines = lines.select("value", *([F.col("file").alias(file_column)] if file_column else []))
+        return lines.withColumn("value", ascii_only(F.col("value"))) if ascii else lines
     # .text() wants the schema `value` only
     lines = reader.text(path)
     if file_column:
@@ -62,16 +73,3 @@ def save_events(df: DataFrame, path: str, most: int = 20000, mode: str = "errori
     """Lines as gzip parts of at most that many rows."""
     lines = df if df.columns == ["value"] else as_json_lines(df)
     lines.write.mode(mode).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
-
-
-def misnamed_gzip(spark: SparkSession, path: str) -> DataFrame:
-    """Files named `.gz` that hold plain text. The text reader goes by the name and would fail on them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
-    # the first two bytes of a gzip file
-    return files.where((F.col("length") > 0) & (F.hex(F.substring("content", 1, 2)) != "1F8B"))
-
-
-def read_misnamed_gzip(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of those files; each file has to fit a cell, and so is smaller than 2 GB."""
-    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r?\n\z", "")
-    return misnamed_gzip(spark, path).select(F.explode(F.split(text, r"\r?\n")).alias("value"))

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from eventmill.operators.shape import flatten
 from eventmill.plans.logs import desensitize_to, filter_log_by_users, sort_log
 from eventmill.session import scratch_path
 from eventmill.sources import cached, files, lines as line_files, shards
+from eventmill.sources import by_content
 from eventmill.streaming import ingest
 
 LOG = [
@@ -43,12 +45,49 @@ def test_only_gz_files_are_read(spark, tmp_path):
     assert line_files.read_lines(spark, folder, ascii=False).count() == 3
 
 
-def test_plain_text_named_gz_is_found_and_read(spark, tmp_path):
-    folder = _folder(tmp_path, "in", ["a"])
-    (tmp_path / "in" / "plain.gz").write_text("x\ny\n")
+def test_plain_text_named_gz_is_read(spark, tmp_path):
+    folder = _folder(tmp_path, "in", ["a", "", "é"])
+    (tmp_path / "in" / "plain.gz").write_bytes(b"x\r\ny\rz")
     (tmp_path / "in" / "empty.gz").write_text("")
-    assert [r.path.rsplit("/", 1)[1] for r in line_files.misnamed_gzip(spark, folder).select("path").collect()] == ["plain.gz"]
-    assert [r.value for r in line_files.read_misnamed_gzip(spark, folder).collect()] == ["x", "y"]
+    (tmp_path / "in" / "short.gz").write_text("q")
+    (tmp_path / "in" / "two.gz").write_bytes(gzip.compress(b"m1\nm") + gzip.compress(b"2\n") + b"\0\0")
+    (tmp_path / "in" / "other.txt").write_text("t\n\n")
+    found = line_files.read_lines(spark, folder, ascii=False, by_content=True, file_column="file").collect()
+    assert sorted(r.value for r in found) == sorted(["a", "", "é", "x", "y", "z", "q", "m1", "m2", "t", ""])
+    assert {r.file.rsplit("/", 1)[1] for r in found if r.value == "m2"} == {"two.gz"}
+    (tmp_path / "in" / "cut.gz").write_bytes(gzip.compress(b"abc" * 5000)[:20])
+    with pytest.raises(Exception, match="cut off"):
+        line_files.read_lines(spark, folder, by_content=True).collect()
+
+
+def test_pieces_of_any_size_give_the_lines(monkeypatch):
+    import random
+
+    monkeypatch.setattr(by_content, "AT_ONCE", 7)
+    chance = random.Random(3)
+    for _ in range(200):
+        text = "".join(chance.choice("ab\r\né") for _ in range(chance.randrange(60))).encode()
+        expected = re.split(rb"\r\n|\r|\n", text)
+        expected = expected[:-1] if expected[-1] == b"" else expected
+        for data in (text, gzip.compress(text)):
+            reader, found, at = by_content.FileLines("x.gz"), [], 0
+            while at < len(data):
+                to = at + chance.randrange(1, 9)
+                found += sum(reader.feed(data[at:to]), [])
+                at = to
+            assert found + reader.finish() == expected
+
+
+def test_misnamed_files_between_real_ones_are_ingested_once(spark, tmp_path):
+    folder, out, checkpoint = _folder(tmp_path, "in", ["a", "b"]), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (tmp_path / "in" / "plain.gz").write_text("p1\np2\n")
+    for _ in range(2):
+        ingest.incremental_ingest(spark, folder, out, checkpoint, only_gz=True).awaitTermination()
+        assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["a", "b", "p1", "p2"]
+    (tmp_path / "in" / "more.gz").write_text("p3\n")
+    (tmp_path / "in" / "real.gz").write_bytes(gzip.compress(b"c\n"))
+    ingest.incremental_ingest(spark, folder, out, checkpoint, only_gz=True).awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "p1", "p2", "p3"]
 
 
 def test_delimiters_are_plain_text(spark, lines):
@@ -209,3 +248,32 @@ def test_a_repeated_batch_keeps_its_tokens(spark):
     for number, batch in ((0, first), (1, second), (1, second)):
         write(batch, number)
     assert {r.user: r.token for r in ingest.read_tokens(spark, table).collect()} == {"a": "aaa", "b": "aab", "c": "aac", "d": "aad"}
+
+
+def test_a_masked_batch_that_is_run_again_is_the_same(spark, lines):
+    path = scratch_path(spark, "masked")
+    write = ingest.masking_writer(f"{path}/tokens", f"{path}/out", "id")
+    batches = [parse_events(lines(*LOG[:20])), parse_events(lines(*LOG)).where("id >= 20")]
+
+    def state():
+        rows = spark.read.parquet(f"{path}/out").select("id", field("username").alias("u"), F.to_json("rec").alias("r")).collect()
+        return sorted(tuple(r) for r in rows), sorted(tuple(r) for r in ingest.read_tokens(spark, f"{path}/tokens").collect())
+
+    write(batches[0], 0)
+    write(batches[1], 1)
+    once = state()
+    # cut off after the tokens were written, and run again
+    ingest.token_writer(f"{path}/tokens", F.to_json(F.col("rec")["username"]), "id")(batches[1], 1)
+    write(batches[1], 1)
+    assert state() == once and len(once[0]) == 60
+    assert all(u is None or len(u) == 3 for _, u, _ in once[0])
+
+
+def test_wide_tokens_of_a_stream_are_numbered_by_ranges(spark):
+    table = scratch_path(spark, "tokens")
+    write = ingest.token_writer(table, "user", "id", width=4)
+    users = spark.range(3000).selectExpr("id", "concat('u', id % 1500) AS user")
+    write(users.where("id < 1000"), 0)
+    write(users.where("id >= 1000"), 1)
+    found = {r.user: r.number for r in ingest.read_tokens(spark, table).collect()}
+    assert found == {f"u{i}": i for i in range(1500)}
