@@ -31,10 +31,16 @@ def count_distinct_by_key(df: DataFrame, key: str, item: str, condition: Column,
     return df.where(condition).groupBy(key).agg(F.count_distinct(item).alias(name))
 
 
-def item_count_probe(df: DataFrame, label: str) -> tuple[DataFrame, Observation]:
-    """Count rows as they pass: run the frame, then read `observation.get["rows"]`."""
+def item_count_probe(df: DataFrame, label: str) -> tuple[DataFrame, Observation | None]:
+    """Count rows as they pass: run the frame, then read `observation.get["rows"]`.
+
+    A stream has a count per micro-batch and no observation; `streaming.ingest.PassingRows` sums them up.
+    """
+    rows = F.count(F.lit(1)).alias("rows")
+    if df.isStreaming:
+        return df.observe(label, rows), None
     observation = Observation(label)
-    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+    return df.observe(observation, rows), observation
 
 
 # Cells of the grid, mass to reach, normal quantile.

@@ -23,13 +23,15 @@ def _line(text: Column) -> Column:
     return let(text, lambda t: F.when(t.startswith("{") & t.endswith("}"), t).otherwise(strip_space(t)))
 
 
-def _some(record: Column) -> Column:
-    """Array of the record, empty when there is none or it has no entries."""
-    return F.filter(F.array(record), lambda r: F.size(r) > 0)
+def _some(record: Column, least: int = 1) -> Column:
+    """Array of the record, empty when there is none or it has too few entries."""
+    return F.filter(F.array(record), lambda r: r.isNotNull() & (F.size(r) >= least))
 
 
-def parse_events(df: DataFrame, column: str = "value", cut_lengths: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """Replace the text column by `rec`; drops lines that are no JSON object or are empty.
+def parse_events(
+    df: DataFrame, column: str = "value", cut_lengths: Sequence[tuple[int, int]] = (), keep_empty: bool = False
+) -> DataFrame:
+    """Replace the text column by `rec`; drops lines that are no JSON object or, unless kept, are an empty one.
 
     A line that was cut is no JSON object. `cut_lengths` (off, or `CUT_LENGTHS`) also drops lines of suspicious lengths
     unseen, whole ones too.
@@ -39,7 +41,7 @@ def parse_events(df: DataFrame, column: str = "value", cut_lengths: Sequence[tup
         cut = reduce(or_, [F.length(line).between(low, high) for low, high in cut_lengths], F.lit(False))
         return F.when(line.startswith("{") & ~cut, strict_record(line))
 
-    return kept(df, "rec", _some(let(_line(F.col(column)), parse))).drop(column)
+    return kept(df, "rec", _some(let(_line(F.col(column)), parse), 0 if keep_empty else 1)).drop(column)
 
 
 def repair_events(df: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from eventmill.functions.json_text import record_text
 from eventmill.functions.once import computed
 from eventmill.functions.paths import event_field
 from eventmill.functions.truth import truthy
+from eventmill.operators.parse import parse_events
 
 
 def select_fields(df: DataFrame, fields: list[str], types: dict[str, str] | None = None) -> DataFrame:
@@ -22,6 +23,11 @@ def json_select(df: DataFrame, fields: list[str], column: str = "text") -> DataF
     return df.withColumn(column, F.concat_ws(" ", *[_printed(F.col("rec")[name]) for name in fields]))
 
 
+def json_select_lines(df: DataFrame, fields: list[str], column: str = "value") -> DataFrame:
+    """The same for lines of text: lines that are no JSON object go, one without any of the fields, `{}` too, is an empty line."""
+    return json_select(parse_events(df, column, keep_empty=True), fields, column).drop("rec")
+
+
 def _printed(value: Column) -> Column:
     text = record_text(value)
     return (

@@ -1,80 +1,67 @@
-"""Flattening of nested records, level by level inside the row: no explode and no regrouping."""
+"""Flattening of nested records, level by level inside the row: no explode, no regrouping, one pass."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.functions.json_text import as_object, hide_escapes, record_text
+from eventmill.functions.json_text import as_object, record_text
+from eventmill.functions.once import let
 from eventmill.operators.clean import decode_event_payload
 
 # Paths left out of a schema profile, since they hold answers rather than structure.
 UNPROFILED = ["correct_map.", "submission", "answers", "POST"]
 
 
-def _braces(json):
-    return F.regexp_replace(hide_escapes(json), r'"[^"]*+"|[^{}"]++', "")
+_ENTRIES = "array<struct<path:string,value:variant>>"
 
 
-def record_depth(df: DataFrame) -> int:
-    """Deepest nesting of objects in the frame (objects inside lists included): one aggregate, one number."""
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+def _step(state: Column, separator: str) -> Column:
+    """One level further down: what is open and no object is found, the entries of objects are open next."""
+    opened = F.transform(state["open"], lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"), as_object(e["value"]).alias("inner")))
 
-    def step(state, brace):
-        now = state["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+    def split(entries: Column) -> Column:
+        closed = F.transform(F.filter(entries, lambda e: e["inner"].isNull()), lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value")))
+        below = F.transform(
+            F.filter(entries, lambda e: e["inner"].isNotNull()),
+            lambda e: F.transform(
+                F.map_entries(e["inner"]),
+                lambda x: F.struct(F.concat(e["path"], F.lit(separator), x["key"]).alias("path"), x["value"].alias("value")),
+            ),
+        )
+        return F.struct(F.concat(state["found"], closed).cast(_ENTRIES).alias("found"), F.flatten(below).cast(_ENTRIES).alias("open"))
 
-    depth = F.aggregate(F.split(_braces(record_text(F.col("rec"))), ""), start, step, lambda state: state["most"])
-    return df.agg(F.max(depth).alias("depth")).first()["depth"] or 1
+    return F.when(F.size(state["open"]) == 0, state).otherwise(let(opened, split))
 
 
 def leaves(df: DataFrame, separator: str = ".", levels: int | None = None) -> DataFrame:
     """Add `leaves`, the array of `(path, value)` below the record; lists and nulls are leaves, `{}` vanishes.
 
-    Without `levels` the depth is measured first. With `levels` (needed on streams) a deeper record is an error.
+    The walk is a loop inside the row: level by level until nothing is open, for at most as many levels as the record has
+    opening braces. Nothing has to be known beforehand and records are parsed once. With `levels` a deeper record is an
+    error.
     """
-    levels = levels or record_depth(df)
-    entries = F.transform(
-        F.map_entries("rec"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))
-    )
-    walked = df.withColumn("_found", F.filter(entries, lambda e: F.lit(False))).withColumn("_open", entries)
-    for level in range(levels):
-        walked = walked.withColumn(
-            "_open",
-            F.transform(
-                "_open",
-                lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"), as_object(e["value"]).alias("inner")),
+    entries = F.transform(F.map_entries("rec"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))).cast(_ENTRIES)
+    start = F.struct(F.array().cast(_ENTRIES).alias("found"), entries.alias("open"))
+    braces = let(record_text(F.col("rec")), lambda text: F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))
+    rounds = F.lit(levels) if levels else F.greatest(braces, F.lit(1))
+
+    def end(state: Column) -> Column:
+        # fails on the first entry that is still open, and only there
+        too_deep = F.transform(
+            state["open"],
+            lambda e: F.struct(
+                F.raise_error(F.concat(F.lit(f"record nested deeper than {levels} levels at "), e["path"])).cast("string").alias("path"),
+                e["value"].alias("value"),
             ),
         )
-        closed = F.transform(
-            F.filter("_open", lambda e: e["inner"].isNull()),
-            lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value")),
-        )
-        below = F.flatten(
-            F.transform(
-                F.filter("_open", lambda e: e["inner"].isNotNull()),
-                lambda e: F.transform(
-                    F.map_entries(e["inner"]),
-                    lambda x: F.struct(
-                        F.concat(e["path"], F.lit(separator), x["key"]).alias("path"), x["value"].alias("value")
-                    ),
-                ),
-            )
-        )
-        walked = walked.select("*", F.concat("_found", closed).alias("_f"), below.alias("_o"))
-        walked = walked.withColumn("_found", F.col("_f")).withColumn("_open", F.col("_o")).drop("_f", "_o")
-    # fails on the first entry that is still open, and only there
-    too_deep = F.transform(
-        "_open",
-        lambda e: F.struct(
-            F.raise_error(F.concat(F.lit(f"record nested deeper than {levels} levels at "), e["path"])).cast("string").alias("path"),
-            e["value"].alias("value"),
-        ),
-    )
-    return walked.withColumn("leaves", F.concat("_found", too_deep)).drop("_found", "_open")
+        return F.concat(state["found"], too_deep) if levels else state["found"]
+
+    walked = F.aggregate(F.sequence(F.lit(1), rounds), start, lambda state, _: _step(state, separator), end)
+    return df.withColumn("leaves", F.when(F.col("rec").isNotNull(), walked))
 
 
 def field_names(df: DataFrame, separator: str = ".", levels: int | None = None) -> DataFrame:
@@ -89,8 +76,17 @@ def flatten(df: DataFrame, separator: str = ".", levels: int | None = None) -> D
     return leaves(df, separator, levels).withColumn("rec", F.map_from_entries("leaves")).drop("leaves")
 
 
+def _kind(schema: Column) -> Column:
+    plain = F.when(schema == "VOID", "null").when(schema.isin("STRING", "BOOLEAN"), F.lower(schema))
+    return plain.when(schema.startswith("ARRAY"), "array").otherwise("number")
+
+
 def schema_profile(df: DataFrame, ordinal: str, levels: int | None = None) -> DataFrame:
-    """Every path of the decoded records with its count and its last example, in path order."""
+    """Every path of the decoded records with its count, its last example and its types, in path order.
+
+    `types` names the kinds of values that occur (array, boolean, null, number, string), `schema` the narrowest type that
+    holds them all.
+    """
     def profiled(leaf):
         return ~reduce(or_, [leaf["path"].contains(part) for part in UNPROFILED])
 
@@ -98,8 +94,13 @@ def schema_profile(df: DataFrame, ordinal: str, levels: int | None = None) -> Da
         F.col(ordinal).alias("ordinal"), F.explode(F.filter("leaves", profiled)).alias("leaf")
     )
     return (
-        rows.select("leaf.path", record_text(F.col("leaf.value")).alias("value"), "ordinal")
+        rows.select("leaf.path", "leaf.value", record_text(F.col("leaf.value")).alias("text"), "ordinal")
         .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("records"), F.max_by("value", "ordinal").alias("example"))
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.max_by("text", "ordinal").alias("example"),
+            F.array_join(F.sort_array(F.collect_set(_kind(F.schema_of_variant("value")))), ",").alias("types"),
+            F.schema_of_variant_agg("value").alias("schema"),
+        )
         .orderBy("path")
     )

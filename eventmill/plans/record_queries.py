@@ -18,6 +18,7 @@ from eventmill.operators.parse import CUT_LENGTHS, beyond_repair, parse_events a
 from eventmill.operators.privacy import desensitize as mask
 from eventmill.operators.privacy import tokenize_users as tokenize
 from eventmill.operators.project import json_select as select_text
+from eventmill.operators.project import json_select_lines as select_lines
 from eventmill.operators.project import map_keep_truthy as keep_truthy
 from eventmill.operators.project import select_fields as project
 from eventmill.operators.shape import field_names as names_of
@@ -126,7 +127,25 @@ def flatten(spark, sf_dir):
   AND path NOT LIKE '%POST%' GROUP BY path""")
 def schema_profile(spark, sf_dir):
     profiled = profile(parse(event_lines(spark, sf_dir)), "event_id")
-    return profiled.withColumn("example", F.regexp_replace("example", '^"|"$', ""))
+    return profiled.select("path", "records", F.regexp_replace("example", '^"|"$', "").alias("example"))
+
+
+_TYPED = """SELECT doc_id, '{"id": ' || doc_id || ', "v": ' || CASE doc_id % 6 WHEN 0 THEN cast(n_chars AS string) WHEN 1 THEN '"x"' WHEN 2 THEN 'null'
+  WHEN 3 THEN '[1, "a"]' WHEN 4 THEN '{"deep": {"b": true, "none": {}}}' ELSE '1.5' END || '}' AS value FROM documents"""
+
+
+@query("""SELECT path, count(*) AS records, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM (
+  SELECT 'id' AS path, 'number' AS kind FROM documents UNION ALL SELECT 'v.deep.b', 'boolean' FROM documents WHERE doc_id % 6 = 4
+  UNION ALL SELECT 'v', ['number', 'string', 'null', 'array', '', 'number'][doc_id % 6 + 1] FROM documents WHERE doc_id % 6 <> 4) GROUP BY path""")
+def schema_types(spark, sf_dir):
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
+    return profile(parse(spark.sql(_TYPED.replace("FROM documents", "FROM _documents"))), "doc_id").select("path", "records", "types")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' ELSE lang || ' ' || n_chars END AS value FROM documents WHERE doc_id % 3 <> 2""")
+def json_select_lines(spark, sf_dir):
+    line = F.when(F.col("doc_id") % 3 == 0, "{}").when(F.col("doc_id") % 3 == 1, F.to_json(F.struct("n_chars", "lang"))).otherwise("no json")
+    return select_lines(table(spark, sf_dir, "documents").select("doc_id", line.alias("value")), ["lang", "n_chars", "missing"])
 
 
 @query(f"""{DECODED} SELECT event_id, CASE WHEN json_type(e) = 'OBJECT' THEN (e ->> '$.k')::BIGINT END AS k,
@@ -322,10 +341,13 @@ def distinct_values(spark, sf_dir):
     return field_set(parse(event_lines(spark, sf_dir)), "username")
 
 
-@query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS events, (SELECT count(*) FROM events) AS passed FROM events GROUP BY event_type")
 def count_while_passing(spark, sf_dir):
-    passing, _ = item_count_probe(table(spark, sf_dir, "events"), "events")
-    return passing.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    """One run gives both the result and the number of rows that went into it."""
+    passing, observation = item_count_probe(table(spark, sf_dir, "events"), "events")
+    path = scratch_path(spark, "counted")
+    passing.groupBy("event_type").agg(F.count(F.lit(1)).alias("events")).write.parquet(path)
+    return spark.read.parquet(path).withColumn("passed", F.lit(observation.get["rows"]).cast("bigint"))
 
 
 @query(f"""{EVENTS} SELECT event_id, row_number() OVER (ORDER BY j ->> '$.username' NULLS FIRST, j ->> '$.time', event_id) - 1 AS position FROM ev""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventmill.functions.paths import field
+from eventmill.operators.counts import item_count_probe
 from eventmill.operators.filters import low_income_codes as poor_codes
 from eventmill.operators.ordering import number_rows
 from eventmill.operators.parse import parse_events
@@ -106,6 +107,30 @@ def sizes_by_source(spark, sf_dir):
     return files.path_sizes(listed, F.split_part("path", F.lit("/"), F.lit(2))).select("prefix", "bytes")
 
 
+def _written_texts(spark, sf_dir):
+    """A folder per source and language with plain text files: as many bytes as the texts and their line ends have."""
+    path = scratch_path(spark, "texts-by-source")
+    docs = table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("source", "lang").text(path)
+    return path
+
+
+@query("""SELECT 'source=' || source AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents
+  WHERE lang = 'en' GROUP BY source""")
+def list_written_files(spark, sf_dir):
+    path = _written_texts(spark, sf_dir)
+    found = files.file_manifest(spark, path, suffix=".txt").where(F.contains("path", F.lit("/lang=en/")))
+    folder = F.element_at(F.split("path", "/"), -3)
+    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+@query("""WITH f AS (SELECT 'lang=' || lang AS prefix, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY lang)
+SELECT prefix, bytes, bytes / 1e3 AS "kB" FROM (FROM f UNION ALL SELECT 'Total', sum(bytes)::BIGINT FROM f)""")
+def sizes_of_written_files(spark, sf_dir):
+    listed = files.file_manifest(spark, _written_texts(spark, sf_dir), suffix=".txt")
+    return files.path_sizes(listed, F.element_at(F.split("path", "/"), -2)).select("prefix", "bytes", "kB")
+
+
 @query(f"WITH f AS ({_FILES}) SELECT path, length, md5(path) AS id FROM f")
 def incremental_manifest(spark, sf_dir):
     listed = table(spark, sf_dir, "documents").select(
@@ -320,6 +345,22 @@ def streamed_users_count(spark, sf_dir):
     return spark.read.parquet(f"{path}/users")
 
 
+@query("""SELECT n AS delivery, count(*) AS passed FROM events, (VALUES (0, ['click']), (1, ['view', 'error']), (2, ['purchase', 'signup'])) v(n, kinds)
+  WHERE list_contains(kinds, event_type) GROUP BY n""")
+def streamed_count_probe(spark, sf_dir):
+    """Rows that a probe saw in each run of a stream, reported while it ran."""
+    events, seen, counts = table(spark, sf_dir, "events").select("event_id", "event_type"), ingest.PassingRows(), []
+    path = scratch_path(spark, "probed")
+    spark.streams.addListener(seen)
+    for n, kinds in enumerate((["click"], ["view", "error"], ["purchase", "signup"])):
+        events.where(F.col("event_type").isin(kinds)).write.mode("append").parquet(f"{path}/in")
+        passing, _ = item_count_probe(spark.readStream.schema(events.schema).parquet(f"{path}/in"), "events")
+        run = passing.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        counts.append((n, seen.total(run.trigger(availableNow=True).start(), "events")))
+    spark.streams.removeListener(seen)
+    return spark.createDataFrame(counts, "delivery int, passed bigint")
+
+
 @query(f"{EVENTS} SELECT DISTINCT j ->> '$.username' AS username FROM ev")
 def streamed_field_set(spark, sf_dir):
     for path, records in _deliveries(spark, sf_dir, "values"):

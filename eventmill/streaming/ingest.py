@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from eventmill.functions.identity import TOKEN_CAPACITY, TOKEN_WIDTH, token, token_capacity
 from eventmill.functions.json_text import record_text
@@ -61,6 +62,41 @@ def running_users(stream: DataFrame, path: str = "username", include_missing: bo
     return (seen if include_missing else seen.where(F.col(f"`{path}`").isNotNull())).agg(F.count(F.lit(1)).alias("users"))
 
 
+class PassingRows(StreamingQueryListener):
+    """Rows that passed the probes of streams (`item_count_probe` with a label), summed over their micro-batches.
+
+    Add it to `spark.streams` before the stream starts. `total` waits until everything that a stopped stream has reported
+    is here.
+    """
+
+    def __init__(self) -> None:
+        self._rows: dict[tuple[str, str], int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end_of(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end_of(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        for label, row in event.progress.observedMetrics.items():
+            key = (str(event.progress.runId), label)
+            self._rows[key] = self._rows.get(key, 0) + row["rows"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end_of(str(event.runId)).set()
+
+    def total(self, query: StreamingQuery, label: str, timeout: float = 60) -> int:
+        query.awaitTermination()
+        if not self._end_of(str(query.runId)).wait(timeout):
+            raise TimeoutError(f"the end of stream {query.runId} was not reported")
+        return self._rows.get((str(query.runId), label), 0)
+
+
 def show_stream(stream: DataFrame, rows: int = 20) -> StreamingQuery:
     """Print the first rows of each batch of what is there now."""
     return stream.writeStream.format("console").option("numRows", rows).trigger(availableNow=True).start()

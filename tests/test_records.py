@@ -8,7 +8,7 @@ from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
 from eventmill.operators.parse import CUT_LENGTHS, beyond_repair, parse_events, repair_events
 from eventmill.operators.privacy import desensitize, tokenize_users
-from eventmill.operators.project import json_select
+from eventmill.operators.project import json_select, json_select_lines
 from eventmill.operators.shape import field_names, flatten, leaves, schema_profile
 
 NESTED = '{"a":{"b":"c","d":{"e":"f","g":"h"},"i":"j"},"k":"l"}'
@@ -156,7 +156,20 @@ def test_a_record_deeper_than_stated_is_an_error(records):
 
 def test_schema_profile_shows_the_last_example(records):
     profile = schema_profile(records('{"a":1,"x":{"answers":1}}', '{"a":[2],"event":"{\\"b\\":3}"}', '{"POST":1}'), "id")
-    assert [tuple(row) for row in profile.collect()] == [("a", 2, "[2]"), ("event.b", 1, "3")]
+    assert [tuple(row)[:3] for row in profile.collect()] == [("a", 2, "[2]"), ("event.b", 1, "3")]
+    assert [(row.types, row.schema) for row in profile.collect()] == [("array,number", "VARIANT"), ("number", "BIGINT")]
+
+
+def test_the_walk_is_one_pass(records, spark):
+    walked = field_names(records(NESTED, '{"deep": ' * 40 + "1" + "}" * 40))
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 or plan.count("JsonToStructs") <= 2
+    assert ".".join(["deep"] * 40) in {row.path for row in walked.collect()}
+
+
+def test_empty_records_are_empty_lines(lines):
+    shown = json_select_lines(lines('{"a":1}', "{}", "[]", "x", '{"b":2}', '{"a":"t"} '), ["a"])
+    assert [row.value for row in shown.orderBy("id").collect()] == ["1", "", "", "t"]
 
 
 def test_json_select_prints_present_values(records):

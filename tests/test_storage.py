@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventmill.functions.identity import short_hash
 from eventmill.functions.paths import field
 from eventmill.operators.clean import decode_event_payload, remove_redundant_context, truncate_strings
-from eventmill.operators.counts import event_count
+from eventmill.operators.counts import event_count, field_set, item_count_probe, users_count
 from eventmill.operators.filters import date_gt, filter_courses, filter_events, filter_fields, select_in
 from eventmill.operators.joins import filter_lines_by_users
 from eventmill.operators.parse import parse_events, repair_events
@@ -277,3 +277,31 @@ def test_wide_tokens_of_a_stream_are_numbered_by_ranges(spark):
     write(users.where("id >= 1000"), 1)
     found = {r.user: r.number for r in ingest.read_tokens(spark, table).collect()}
     assert found == {f"u{i}": i for i in range(1500)}
+
+
+def test_running_distincts_equal_the_batch(spark, tmp_path):
+    schema, folder = "username string, n int", str(tmp_path / "in")
+    out = {}
+    for part, rows in enumerate(([("a", 1), ("b", 2), (None, 3)], [("a", 4), ("a", 5)], [("c", 6), (None, 7)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        stream, batch = spark.readStream.schema(schema).parquet(folder), spark.read.parquet(folder)
+        for missing in (True, False):
+            counted = ingest.running_users(stream, include_missing=missing).writeStream.outputMode("complete")
+            counted = counted.foreachBatch(lambda b, _, m=missing: out.__setitem__(m, b.first()[0]))
+            counted.option("checkpointLocation", str(tmp_path / f"c{missing}")).trigger(availableNow=True).start().awaitTermination()
+            assert out[missing] == users_count(batch, include_missing=missing).first()[0], part
+        found = ingest.running_field_set(stream, "username").writeStream.format("parquet").option("path", str(tmp_path / "set"))
+        found.option("checkpointLocation", str(tmp_path / "cs")).trigger(availableNow=True).start().awaitTermination()
+        values = [r.username for r in spark.read.schema("username string").parquet(str(tmp_path / "set")).collect()]
+        assert sorted(values, key=str) == sorted((r.username for r in field_set(batch, "username").collect()), key=str)
+
+
+def test_probes_of_a_stream_are_summed(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), ingest.PassingRows()
+    spark.streams.addListener(seen)
+    for n in (3, 4):
+        spark.range(n).write.mode("append").parquet(folder)
+    stream, _ = item_count_probe(spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(folder), "rows-seen")
+    run = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert seen.total(run, "rows-seen") == 7 and seen.total(run, "other") == 0
+    spark.streams.removeListener(seen)
