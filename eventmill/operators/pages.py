@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventmill.functions.plain_text import entity_text, unescape
+from eventmill.functions.urls import resolve_url
 
 _ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 # In this order: comment, declaration, script or style with its raw content, tag, tag with broken quotes,
@@ -113,10 +114,11 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     before = same.rowsBetween(Window.unboundedPreceding, -1)
     href = F.when((tag == "a") & opens, _attribute(F.col("token"), "href"))
     target = F.when(~href.startswith("#"), href)
+    title = F.when((tag == "a") & opens, _attribute(F.col("token"), "title"))
     start = F.coalesce(_attribute(F.col("token"), "start").try_cast("int") - 1, F.lit(0))
     opened = F.when(
         tag.isin("a", "ol", "ul") & opens,
-        F.struct(tag.alias("tag"), target.alias("target"), start.alias("start")),
+        F.struct(tag.alias("tag"), target.alias("target"), title.alias("title"), start.alias("start")),
     )
     items = F.when((tag == "li") & opens, 1).otherwise(0)
     rows = rows.withColumn("own", opened).withColumn("items", F.sum(items).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -125,8 +127,31 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     return rows.drop("kind", "level")
 
 
-def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
-    """`(key, pos, piece, last, noted)` for the tokens that write something, and the last one: the text with the break in front of it."""
+def _numbered_links(rows: DataFrame, key: str) -> DataFrame:
+    """Add `number` where a link ends or an image is, and `linked` where its address and title come for the first time.
+
+    The numbers of a page run from 1 in the order of first use; a link has been used when it ends.
+    """
+    tag, opens, own = F.col("tag"), F.col("opens"), F.col("top")["own"]
+    source, title = _attribute(F.col("token"), "src"), _attribute(F.col("token"), "title")
+    ended = F.when((F.col("links_before") > 0) & own["target"].isNotNull(), F.struct(own["target"].alias("target"), own["title"].alias("title")))
+    image = F.when(source.isNotNull(), F.struct(source.alias("target"), title.alias("title")))
+    rows = rows.withColumn("ref", F.when((tag == "a") & ~opens, ended).when((tag == "img") & opens, image))
+    same = Window.partitionBy(key, "ref")
+    rows = rows.withColumn("new", F.col("ref").isNotNull() & (F.min("pos").over(same) == F.col("pos")))
+    here = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("count", F.sum(F.col("new").cast("int")).over(here))
+    number = F.when(F.col("ref").isNotNull(), F.min("count").over(same))
+    linked = F.when(F.col("new"), F.struct(F.col("count").alias("number"), F.col("pos").alias("pos"), "ref.target", "ref.title"))
+    return rows.select("*", number.alias("number"), linked.alias("linked")).drop("new", "count", "ref")
+
+
+_LINKED = "struct<number:bigint,pos:int,target:string,title:string>"
+
+
+def _pieces(rows: DataFrame, key: str, list_mark: str, inline: bool = True) -> DataFrame:
+    """`(key, pos, piece, last, noted, linked)` for the tokens that write something, and the last one: the text with the break in front of it."""
+    rows = rows.withColumn("linked", F.lit(None).cast(_LINKED)) if inline else _numbered_links(rows, key)
     tag, opens, pre = F.col("tag"), F.col("opens"), F.col("pre")
     heading = tag.isin(_HEADINGS)
     top = F.col("top")
@@ -134,8 +159,13 @@ def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
     in_order = (F.col("lists") > 0) & (top["own"]["tag"] == "ol")
     marker = F.when(in_order, F.concat(number, F.lit(". "))).otherwise(F.lit(f"{list_mark} "))
     source = _attribute(F.col("token"), "src")
-    image = F.concat(F.lit("!["), F.coalesce(_attribute(F.col("token"), "alt"), F.lit("")), F.lit("]("), source, F.lit(")"))
-    link_end = F.when(F.col("links_before") > 0, F.concat(F.lit("]("), top["own"]["target"], F.lit(")")))
+    image = F.concat(F.lit("!["), F.coalesce(_attribute(F.col("token"), "alt"), F.lit("")))
+    if inline:
+        image = F.concat(image, F.lit("]("), source, F.lit(")"))
+        link_end = F.when(F.col("links_before") > 0, F.concat(F.lit("]("), top["own"]["target"], F.lit(")")))
+    else:
+        link_end = F.concat(F.lit("]["), F.col("number").cast("string"), F.lit("]"))
+        image = F.concat(image, link_end)
     written = (
         F.when(tag.isNull(), F.when(F.col("token").startswith("&"), entity_text(F.col("token"))).otherwise(F.col("token")))
         .when(heading & opens, F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" ")))
@@ -169,7 +199,7 @@ def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
         F.when(pre, "    ").otherwise(""),
     )
     rows = rows.select(
-        key, "pos", "tag", "opens", "pre", "quiet", (F.col("token") == _END).alias("last"), breaks.alias("breaks"),
+        key, "pos", "tag", "opens", "pre", "quiet", "linked", (F.col("token") == _END).alias("last"), breaks.alias("breaks"),
         opens_quote.alias("opens_quote"), margin.alias("margin"), written.alias("raw"),
         F.when(tag == "abbr", F.struct(opens.alias("opens"), F.when(opens, _attribute(F.col("token"), "title")).alias("title"))).alias("abbr"),
     ).withColumn("text", F.when(pure, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
@@ -188,7 +218,7 @@ def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
     written_before = F.max(F.when(F.col("writes"), asks)).over(before)
     restart = F.coalesce(F.max(F.when(F.col("opens_quote") | ((tag == "li") & opens), follows)).over(before), F.lit(-1))
     rows = rows.select(
-        key, "pos", "tag", "last", "pre", "margin", "data", "raw", "writes",
+        key, "pos", "tag", "last", "pre", "margin", "data", "raw", "writes", "linked",
         F.coalesce(written_before, F.lit(-2)).alias("since"),
         # a rule has a paragraph break on both sides; of its own only the one in front counts here
         F.greatest(F.coalesce(paragraph.over(before), F.lit(-2)), F.when(F.col("breaks") == 2, asks).otherwise(-2)).alias("paragraph"),
@@ -220,8 +250,8 @@ def _pieces(rows: DataFrame, key: str, list_mark: str) -> DataFrame:
         F.struct((F.col("abbr") - 1).alias("abbr"), "pos", nothing.alias("text"), F.col("about_before.title").alias("title")),
     )
     return rows.select(
-        key, "pos", "last", F.when(F.col("writes"), F.concat(lead, F.coalesce(data, F.lit("")))).alias("piece"), noted.alias("noted")
-    ).where(F.col("piece").isNotNull() | F.col("noted").isNotNull() | F.col("last"))
+        key, "pos", "last", F.when(F.col("writes"), F.concat(lead, F.coalesce(data, F.lit("")))).alias("piece"), noted.alias("noted"), "linked"
+    ).where(F.col("piece").isNotNull() | F.col("noted").isNotNull() | F.col("linked").isNotNull() | F.col("last"))
 
 
 def _definitions(noted: Column) -> Column:
@@ -237,21 +267,42 @@ def _definitions(noted: Column) -> Column:
     return F.array_join(lines, "")
 
 
+def _link_lines(linked: Column, written: Column, base: Column | None) -> Column:
+    """The numbered addresses of a page, of those links behind which something was written."""
+    shown = F.filter(linked, lambda x: x["pos"] <= written)
+
+    def line(x: Column) -> Column:
+        target = x["target"] if base is None else resolve_url(base, x["target"])
+        title = F.when(x["title"].isNotNull(), F.concat(F.lit(" ("), x["title"], F.lit(")"))).otherwise("")
+        return F.concat(F.lit("   ["), x["number"].cast("string"), F.lit("]: "), target, title, F.lit("\n"))
+
+    return F.concat(F.lit("\n"), F.array_join(F.transform(shown, line), ""), F.when(F.size(shown) > 0, "\n").otherwise(""))
+
+
 def pages_to_text(
-    df: DataFrame, key: str = "page_id", html: str = "html", list_mark: str = "*", width: int = 78
+    df: DataFrame, key: str = "page_id", html: str = "html", list_mark: str = "*", width: int = 78, inline_links: bool = True,
+    base: Column | None = None,
 ) -> DataFrame:
     """`(key, text)`: each page as Markdown-like text, wrapped at `width` characters (0: not at all).
 
-    `key` names a column that is unique per page.
+    `key` names a column that is unique per page. Without `inline_links`, links and images are numbered, and their
+    addresses follow at the end of the page, resolved against `base`, an expression over the columns of the page.
     """
-    pieces = _pieces(_matched(_running(page_tokens(df, key, html), key), key), key, list_mark)
+    pieces = _pieces(_matched(_running(page_tokens(df, key, html), key), key), key, list_mark, inline_links)
     piece = F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))
     pages = pieces.groupBy(key).agg(
         F.array_sort(F.collect_list(piece)).alias("pieces"),
         F.array_sort(F.collect_list("noted")).alias("noted"),
         F.max(F.col("last") & F.col("piece").isNotNull()).alias("ended"),
+        F.array_sort(F.collect_list("linked")).alias("linked"),
+        F.coalesce(F.max(F.when(F.col("piece").isNotNull() & ~F.col("last"), F.col("pos"))), F.lit(-1)).alias("written"),
     )
     notes = F.when(F.col("ended") & (F.size("noted") > 0), _definitions(F.col("noted"))).otherwise("")
+    if not inline_links:
+        if base is not None:
+            pages = pages.join(df.select(F.col(key), base.alias("base")), key)
+        addresses = _link_lines(F.col("linked"), F.col("written"), None if base is None else F.col("base"))
+        notes = F.concat(F.when(F.col("ended") & (F.size("linked") > 0), addresses).otherwise(""), notes)
     text = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), notes)
     return pages.select(key, wrap_paragraphs(text, width).alias("text"))
 

@@ -123,6 +123,12 @@ def pages_to_text(spark, sf_dir):
     return to_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@query(page_text_sql(base="http://example.org"))
+def pages_to_text_with_references(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("at", F.lit("http://example.org/a/b.html"))
+    return to_text(pages, "page_id", "html", inline_links=False, base=F.col("at"))
+
+
 @query(page_text_sql(f"regexp_replace(strip_accents({_FOLDED.replace('text', 'html')}), '[^\\x00-\\x7F]', '', 'g')"))
 def problems_to_text(spark, sf_dir):
     return to_ascii_text(table(spark, sf_dir, "pages"))

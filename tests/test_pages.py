@@ -4,6 +4,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
+from eventmill.functions.urls import resolve_url
 from eventmill.operators.pages import pages_to_text, wrap_paragraphs
 from eventmill.plans.resources import problems_to_text
 
@@ -85,3 +86,38 @@ def test_wrapping_agrees_with_the_standard_library(spark, seed):
     found = frame.select("id", wrap_paragraphs(F.col("t"), 78).alias("w")).orderBy("id").collect()
     different = [(made[row.id], row.w, _wrapped(made[row.id], 78)) for row in found if row.w != _wrapped(made[row.id], 78)]
     assert not different, different[0]
+
+
+REFERENCES = [
+    ("<a href='x'>l</a> <a href='/y' title=T>m</a> <a href='x'>n</a>", "[l][1] [m][2] [n][1]\n\n   [1]: http://h/d/x\n   [2]: http://h/y (T)\n\n"),
+    ("<a href='a'>1<a href='b'>2</a>3</a> <img src=i alt=A>", "[1[2][1]3][2] ![A][3]\n\n   [1]: http://h/d/b\n   [2]: http://h/d/a\n   [3]: http://h/d/i\n\n"),
+    ("<a href='#z'>no</a>", "no\n\n"),
+    ("<a href='../u'>p</a><abbr title=W>v</abbr>", "[p][1]v\n\n   [1]: http://h/u\n\n  *[v]: W\n\n"),
+]
+
+
+def test_reference_links(spark):
+    frame = spark.createDataFrame([(i, html, "http://h/d/p") for i, (html, _) in enumerate(REFERENCES)], "page_id bigint, html string, at string")
+    found = pages_to_text(frame, inline_links=False, base=F.col("at")).orderBy("page_id").collect()
+    assert [r.text.rstrip("\n") for r in found] == [text.rstrip("\n") for _, text in REFERENCES]
+    assert convert(spark, "<a href='x'>l</a>", inline_links=False).rstrip("\n").endswith("   [1]: x")
+
+
+def test_addresses_are_resolved_like_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    chance = random.Random(4)
+
+    def address():
+        path = "/".join(chance.choice(["", "a", "b.c", ".", "..", "d e", "%20", "é"]) for _ in range(chance.randrange(0, 6)))
+        return (
+            chance.choice(["", "", "", "http:", "HTTPS:", "mailto:", "ftp:"]) + chance.choice(["", "", "//host", "//h:80"])
+            + path + chance.choice(["", "", "?q=1", "?"]) + chance.choice(["", "", "#f", "#"])
+        )
+
+    bases = ["http://a/b/c/d?q", "http://a", "https://h/x/", "http://h/x/../y/z", "", "mailto:x@y", "/just/a/path"]
+    pairs = [(chance.choice(bases), address()) for _ in range(1500)] + [("http://a/b/c/d?q", u) for u in (
+        "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g")]
+    rows = spark.createDataFrame(pairs, "b string, u string").select("b", "u", resolve_url(F.col("b"), F.col("u")).alias("r")).collect()
+    wrong = [(r.b, r.u, r.r, urljoin(r.b, r.u)) for r in rows if r.r != urljoin(r.b, r.u)]
+    assert not wrong, (len(wrong), wrong[:8])
