@@ -87,8 +87,6 @@ class Codec:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.characters = dict(enumerate(byte_characters()))
-        byte_of = {c: b for b, c in self.characters.items()}
-        self.bytes_of = [bytes(byte_of[c] for c in self.pieces.id_to_piece(i)) for i in range(self.pieces.vocab_size() - 1)]
         self.kept: dict[str, bytes] = {}
 
     def _learn(self, tokens: list[str]) -> None:
@@ -132,8 +130,29 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode_all([text])), "<i4").tolist()
 
+
+class Decoder:
+    """The inverse mapping: the bytes of all tokens in one array, and where each begins."""
+
+    def __init__(self, tokens: Sequence[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of the ids up to each end. A bounded number of tokens is gathered at a time."""
+        sizes, parts = self.sizes[ids], []
+        for at in range(0, len(ids), TOKENS_AT_ONCE):
+            own, size = ids[at : at + TOKENS_AT_ONCE], sizes[at : at + TOKENS_AT_ONCE]
+            before = np.cumsum(size) - size
+            parts.append(self.flat[np.repeat(self.starts[own] - before, size) + np.arange(size.sum())])
+        # bytes behind each number of tokens
+        offsets = np.concatenate([[0], np.cumsum(sizes)])[ends].astype("<i8")
+        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
     def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -146,53 +165,63 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _mapped(df: DataFrame, name: str, kind: T.DataType, source: str, function: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
-    """Add a column made from another in Arrow batches."""
-    schema = with_fields(df.schema, T.StructField(name, kind))
+def _mapped(df: DataFrame, kinds: dict[str, T.DataType], source: str, function: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """Add columns made from another in Arrow batches."""
+    schema = with_fields(df.schema, *[T.StructField(name, kind) for name, kind in kinds.items()])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = function()
         for batch in chain.from_iterable(map(_slices, batches)):
-            made = convert(batch.column(source))
-            yield pa.RecordBatch.from_arrays([made if n == name else batch.column(n) for n in names], names=names)
+            made = dict(zip(kinds, convert(batch.column(source)), strict=True))
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, column: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, column: str = "text", decoded: str | None = None) -> DataFrame:
     """Add `token_ids` of the whole text, as ranks of the file at `ranks_path` on the driver.
 
-    Each match of `pattern` is encoded by itself, without special tokens. NULL counts as the empty text and has no ids.
-    An empty table gives an empty table; extra columns stay, one named `token_ids` is replaced. The model has the size of
-    the vocabulary; it goes to the workers as a broadcast of that size.
+    Each match of `pattern` is encoded by itself, without special tokens. With `decoded`, a column of that name holds the
+    bytes that the ids stand for, made in the same pass. NULL counts as the empty text and has no ids. An empty table gives
+    an empty table; repeated rows get equal ids; very long texts are taken a bounded number of tokens at a time; extra
+    columns stay, those of the names of the new ones are replaced. The model has the size of the vocabulary; it goes to the
+    workers as a broadcast of that size.
     """
-    model = df.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))
+    tokens = read_ranks(ranks_path)
+    model = df.sparkSession.sparkContext.broadcast((sentencepiece_model(tokens), tokens if decoded else []))
 
     def function():
-        codec = _codec(model.value, pattern)
+        codec, decoder = _codec(model.value[0], pattern), Decoder(model.value[1])
 
-        def convert(texts: pa.Array) -> pa.Array:
+        def convert(texts: pa.Array) -> list[pa.Array]:
             parts = list(codec.encode_all(t or "" for t in texts.to_pylist()))
             ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype="i4")
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            ids = np.frombuffer(b"".join(parts), "<i4")
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+            return [*made, decoder.decode_all(ids, ends)] if decoded else made
 
         return convert
 
-    return _mapped(df, "token_ids", T.ArrayType(T.IntegerType()), column, function)
+    kinds = {"token_ids": T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    return _mapped(df, kinds, column, function)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, column: str = "token_ids") -> DataFrame:
-    """Add `decoded`: the bytes of the tokens. NULL gives no bytes."""
-    model = df.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))
+    """Add `decoded`: the bytes of the tokens. NULL gives no bytes.
+
+    An empty table gives an empty table; extra columns stay, one named `decoded` is replaced.
+    """
+    tokens = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def function():
-        codec = _codec(model.value, "")
+        decoder = Decoder(tokens.value)
 
-        def convert(ids: pa.Array) -> pa.Array:
-            ends, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
-            return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        def convert(ids: pa.Array) -> list[pa.Array]:
+            offsets = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            return [decoder.decode_all(flat, offsets - offsets[0])]
 
         return convert
 
-    return _mapped(df, "decoded", T.BinaryType(), column, function)
+    return _mapped(df, {"decoded": T.BinaryType()}, column, function)

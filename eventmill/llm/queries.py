@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm.bpe import decode_ids, encode_texts
+from eventmill.llm.bpe import encode_texts
 from eventmill.llm.collocations import top_collocations
 from eventmill.llm.hard_negatives import mine_hard_negatives
 from eventmill.llm.html_text import extract_text
@@ -15,7 +15,7 @@ from eventmill.llm.mixing import mix_sources
 from eventmill.llm.neighbours import nearest_neighbours
 from eventmill.llm.ngram_join import link_components
 from eventmill.llm.quality import score_quality
-from eventmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, BASE, CLASSES, HEX, described, scan_secrets
+from eventmill.llm.secrets import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, BASE, CLASSES, HEX, KINDS, SAMPLES, described, scan_secrets
 from eventmill.llm.sharding import shard_by_curve
 from eventmill.llm.topk import top_products
 from eventmill.llm.warc import read_archives, resolve_revisits, with_payload_size, write_archives
@@ -28,14 +28,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_matches(kind: str, pattern: str, least: str = "TRUE") -> str:
+def _sql_matches(kind: str, pattern: str, least: str = "TRUE", texts: str = "texts") -> str:
     """Matches with code point positions: the text between matches and the matches themselves, added up."""
     p = _quoted(pattern)
     return f"""
     SELECT doc_id, '{kind}' AS kind, m AS value, list_sum(list_transform(gaps[1:i], lambda g: length(g)))
       + coalesce(list_sum(list_transform(found[1:i-1], lambda f: length(f))), 0) AS start
     FROM (SELECT doc_id, gaps, found, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS i
-          FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS found, string_split_regex(t, {p}) AS gaps FROM texts)
+          FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS found, string_split_regex(t, {p}) AS gaps FROM {texts})
           WHERE len(found) > 0)
     WHERE {least}"""
 
@@ -50,24 +50,28 @@ def _sql_entropy(group) -> str:
     """Every window of every candidate measured anew; windows that touch are one span."""
     run, width = rf"[{group.members}]{{{group.window},}}", group.window
     keep = " AND ".join(
-        [f"regexp_matches(value, {_quoted(n)})" for n in group.needs] + [f"NOT regexp_matches(value, {_quoted(a)})" for a in ALLOWED]
+        [f"regexp_matches(value, {_quoted(n)})" for n in group.needs] + [f"NOT regexp_matches(value, {_quoted(a.replace('++', '+'))})" for a in ALLOWED]
     )
     table_ = "[" + ", ".join(map(str, group.table)) + "]"
     return f"""
     SELECT doc_id, '{group.kind}' AS kind, (start + min(w))::BIGINT AS s, (start + max(w) + {width})::BIGINT AS e FROM (
       SELECT *, sum(new_) OVER (PARTITION BY doc_id, start ORDER BY w) AS island FROM (
         SELECT *, CASE WHEN w - lag(w) OVER (PARTITION BY doc_id, start ORDER BY w) <= {width} THEN 0 ELSE 1 END AS new_ FROM (
-          SELECT doc_id, start, value, unnest(range(0, length(value) - {width} + 1)) AS w FROM ({_sql_matches(group.kind, run)}) WHERE {keep})
+          SELECT doc_id, start, value, unnest(range(0, length(value) - {width} + 1)) AS w FROM ({_sql_matches(group.kind, run, texts="measured")}) WHERE {keep})
         WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(value, (w + 1)::INT, {width}), ''), 'histogram')),
                                       lambda n: ({table_})[n::INT + 1])) <= {group.bound}))
     GROUP BY doc_id, start, island"""
 
 
 _SPAN_TEXT = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
-_KIND_ORDER = "list_position(['assign', 'access', 'hex', 'entropy64', 'entropy16'], kind) AS k"
+_KIND_ORDER = f"list_position({list(KINDS)}, kind) AS k"
+_MEASURED_SQL = "t"
+for _size, _words in SAMPLES.items():
+    _MEASURED_SQL = f"regexp_replace({_MEASURED_SQL}, '{_words}', repeat(' ', {_size}), 'g')"
 
 OP1_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+measured AS (SELECT doc_id, {_MEASURED_SQL} AS t FROM texts),
 base AS (SELECT *, {_KIND_ORDER} FROM ({_BASE_SQL})),
 more AS (SELECT *, {_KIND_ORDER} FROM ({" UNION ALL ".join(_sql_entropy(g) for g in CLASSES)}) m
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.s <= m.s AND m.e <= b.e)),
@@ -160,8 +164,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_texts(docs, path, public_tokenizers.PATTERN).drop("text")
-    return decode_ids(encoded, path).select(
+    return encode_texts(docs, path, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -28,7 +28,7 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
-KINDS = ("assign", "access", "hex", "entropy64", "entropy16")
+KINDS = ("assign", "access", "hex", "entropy64", "entropy16", "entropy36", "entropy32")
 BASE = KINDS[:3]
 
 SPAN = "struct<kind:int,start:bigint,end:bigint>"
@@ -63,14 +63,26 @@ _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharacterClass("entropy64", _LOWER.upper() + _LOWER + _DIGITS + "+/_=-", "A-Za-z0-9+/_=-", 20, 3.85, ("[a-z]", "[A-Z]", "[0-9]")),
     CharacterClass("entropy16", _DIGITS + "ABCDEFabcdef", "0-9A-Fa-f", 32, 3.0, ("[0-9]", "[A-Fa-f]")),
+    CharacterClass("entropy36", _LOWER + _DIGITS, "a-z0-9", 20, 3.7, ("[a-z]", "[0-9]")),
+    CharacterClass("entropy32", _LOWER.upper() + _DIGITS, "A-Z0-9", 20, 3.7, ("[A-Z]", "[0-9]")),
 )
 
-#: A candidate that matches one of these is no secret: UUIDs, paths of plain words, alphabets and sample values.
+#: A candidate that matches one of these is no secret: UUIDs, paths of plain words, the rest of a key from manuals. Groups
+#: that repeat are possessive: otherwise a long path takes a stack frame for each of its parts.
 ALLOWED = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "^[/=]?[A-Za-z]+[0-9]*([-/_=]+([A-Za-z]+[0-9]*|[0-9]+))+[-/_=]*$",
-    "ABCDEFGHIJ|abcdefghij|EXAMPLE|example|0123456789",
+    "^[/=]?[A-Za-z]+[0-9]*(?:[-/_=]+(?:[A-Za-z]+[0-9]*|[0-9]+))++[-/_=]*$",
+    "^wJalrXUtnFEMI/K7MDENG/bPxRfiCY$",
 )
+#: Alphabets and sample words, by length. They part candidates: what is glued to one is measured without it.
+SAMPLES = {10: "ABCDEFGHIJ|abcdefghij|0123456789", 7: "EXAMPLE|example"}
+
+
+def without_samples(text: Column) -> Column:
+    """The text with blanks in place of the sample words; positions stay."""
+    for size, words in SAMPLES.items():
+        text = F.regexp_replace(text, words, " " * size)
+    return text
 
 
 def _running(lengths: Column) -> Column:
@@ -219,7 +231,7 @@ def scan_secrets(
     """Add `base` and `spans`: arrays of struct<kind, start, end>, by start and then kind (a place in `KINDS`).
 
     Positions count code points, ends are exclusive. `base` holds what the fixed patterns find; `spans` holds these and
-    the stretches of high entropy that lie in none of them. NULL counts as the empty text and has no spans; an empty
+    the stretches of high entropy that lie in none of them. Texts and candidates of any length are scanned whole. NULL counts as the empty text and has no spans; an empty
     table gives an empty table; every row is looked at on its own, so ties and repeated rows do not matter. Columns of
     the input named `base` or `spans` are replaced.
     """
@@ -233,7 +245,8 @@ def scan_secrets(
         )
 
     found = df.withColumn(low, base_spans(text))
-    more = F.concat(*[entropy_spans(text, group, allowed) for group in classes])
+    measured = without_samples(text)
+    more = F.concat(*[entropy_spans(measured, group, allowed) for group in classes])
     own = F.filter(more, lambda e: ~F.exists(F.col(low), lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("base", "spans")]
     return found.select(*kept, ordered(F.col(low)).alias("base"), ordered(F.concat(F.col(low), own)).alias("spans"))
