@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ LONGEST = 4
 SCALE = 2_000_000
 _BUCKET = 1000
 _TRIES = 8
+#: Bytes of text of all languages that a task looks at together.
+_BYTES = 1 << 23
 
 
 def _texts(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -23,10 +26,15 @@ def _texts(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
-    langs = batch.column("lang").dictionary_encode()
-    of = langs.indices.to_numpy()
-    for i, lang in enumerate(langs.dictionary.to_pylist()):
-        yield lang, batch.column("text").take(pa.array(np.flatnonzero(of == i)))
+    """The texts of each language, some at a time: not more than a text beyond a number of bytes."""
+    langs, texts = batch.column("lang").dictionary_encode(), batch.column("text")
+    of, sizes = langs.indices.to_numpy(), pa.compute.binary_length(texts).to_numpy()
+    group = np.cumsum(sizes, dtype=np.int64) // _BYTES
+    for n in np.unique(group).tolist():
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            rows = np.flatnonzero((of == i) & (group == n))
+            if len(rows):
+                yield lang, texts.take(pa.array(rows))
 
 
 def _salt(lang: str) -> int:
