@@ -13,11 +13,11 @@ from eventmill.llm.common import saved
 from eventmill.llm.components import connected_components
 from eventmill.llm.shingles import fingerprint, shingle_sets
 
-#: Shingles that look frequent come last in every set's order. Only the order depends on them, never the result, so the
-#: list may be cut; at this size it is 2 MB.
-FREQUENT, LEAST_SEEN, SEEN_TOGETHER = 2**18, 8, 3
-#: Shingles counted at a time when frequent ones are looked for.
-COUNTED = 1_500_000
+#: Shingles that at least this many sets have near their front come last in every set's order. Only the order depends on
+#: them, never the result, so the list of them may be cut: to the most frequent, 8 MB at this size.
+FREQUENT, LEAST_SEEN = 2**20, 8
+#: Shingles counted at a time in a task before they are shuffled.
+COUNTED = 1_000_000
 #: Rounds with one hub per index list, before what is left is compared by blocks. More rounds shuffle the lists again.
 HUB_ROUNDS = 1
 #: Sets in a block of an index list.
@@ -27,52 +27,104 @@ RECENT = 4
 #: Ids sent to all tasks, 16 bytes each; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
+#: Bits of a set's fingerprint in its number; sets that meet there get others, see `_numbered`.
+ID_BITS = 56
 _LOW = (1 << 56) - 1
 
 
-def _surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: a row `doc_id, n, print` per document, and rows `token, seen` of what comes up often."""
+def _first_places(n: int, percent: int) -> int:
+    """So many tokens at the front of a set of n hold one of any set that links with it."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _set_number(print_: bytes, again: bool, bits: int) -> int:
+    """The first bits of a fingerprint, or those that follow them."""
+    return int.from_bytes(print_, "big") >> (128 - bits * (1 + again)) & ((1 << bits) - 1)
+
+
+def _own_sets(docs: DataFrame, width: int) -> DataFrame:
+    """A row `doc_id, n, print, low, low2` per document: size, fingerprint and two numbers of its set."""
+    bits = ID_BITS
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(s), fingerprint(s)) for s in shingle_sets(batch.column("text"), width)]
+            numbers = [pa.array([_set_number(p, again, bits) for _, p in sets], pa.int64()) for again in (False, True)]
+            own = [pa.array([n for n, _ in sets], pa.int32()), pa.array([p for _, p in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), *own, *numbers], names=["doc_id", "n", "print", "low", "low2"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(survey, "doc_id bigint, n int, print binary, low bigint, low2 bigint")
+
+
+def _numbered(sets: DataFrame) -> tuple[DataFrame, frozenset[bytes]]:
+    """`sets` whose `low` tells them apart, and the fingerprints of those that have it from their second number.
+
+    Different sets with one number are rare: about one of 10**7 among 10**10 sets. All of them move.
+    """
+    met = sets.groupBy("low").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("low")
+    moved = frozenset(bytes(r["print"]) for r in sets.join(met, "low", "left_semi").select("print").collect())
+    if not moved:
+        return sets.drop("low2"), moved
+    again = F.col("print").isin([bytearray(p) for p in moved])
+    return sets.withColumn("low", F.when(again, F.col("low2")).otherwise(F.col("low"))).drop("low2"), moved
+
+
+def _counted(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """`token, seen`: in how many texts a token is near the front, for all tokens.
+
+    Counted are twice the first places, in the order that knows no frequent tokens: where the frequent ones of a text are
+    moved behind, the next ones move up.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        names = ["doc_id", "n", "print", "token", "seen"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
-        def often() -> pa.RecordBatch:
+        def together() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            keep = seen >= SEEN_TOGETHER
-            tokens, seen = tokens[keep].view(np.int64), seen[keep]
-            none = [pa.nulls(len(tokens), k) for k in kinds[:3]]
-            return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(seen.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names=["token", "seen"])
 
         for batch in batches:
-            sets = []
             for s in shingle_sets(batch.column("text"), width):
-                sets.append((len(s), fingerprint(s)))
-                held.append(s)
-                size += len(s)
+                if len(s):
+                    held.append(s[: 2 * _first_places(len(s), percent)].copy())
+                    size += len(held[-1])
                 if size >= COUNTED:
-                    yield often()
+                    yield together()
                     held, size = [], 0
-            rest = [pa.nulls(batch.num_rows, k) for k in kinds[3:]]
-            own = [pa.array([n for n, _ in sets], pa.int32()), pa.array([p for _, p in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own, *rest], names=names)
         if held:
-            yield often()
+            yield together()
+
+    return docs.select("text").mapInArrow(count, "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
+
 
-    return docs.select("doc_id", "text").mapInArrow(survey, "doc_id bigint, n int, print binary, token bigint, seen bigint")
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """The tokens seen often, sorted; of more than `FREQUENT`, those above a step of the counts that leaves so many at most."""
+    step = F.floor(F.log2("seen") * 8)
+    often = saved(counts.where(F.col("seen") >= LEAST_SEEN).select("token", step.alias("step")), "frequent")
+    least, total = None, 0
+    for row in sorted(often.groupBy("step").count().collect(), reverse=True):  # 8 * 63 rows at most
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    listed = often.where(F.col("step") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
+    return np.sort(listed.view(np.uint64))
 
 
-def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, moved: frozenset[bytes]) -> DataFrame:
     """Index entries `token, sid, n, pos`: the first places of every set in the common order.
 
-    Two sets that link share a token among these. `sid` is the share of frequent tokens, then 56 bits of the set's
-    fingerprint: of a group of near copies, the one with the fewest changes has the greatest.
+    Two sets that link share a token among these. `sid` is the share of frequent tokens, then the number of
+    the set: of a group of near copies, the one with the fewest changes has the greatest.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent, bits = docs.sparkSession.sparkContext.broadcast((frequent, moved)), ID_BITS
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, again = sent.value
         for batch in batches:
             out, size = [], 0
             for s in shingle_sets(batch.column("text"), width):
@@ -81,8 +133,9 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
                     continue
                 place = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
                 often = known[place] == s if len(known) else np.zeros(n, bool)
-                order = np.concatenate([s[~often], s[often]])[: n - (percent * n + 99) // 100 + 1]
-                sid = int(127 * often.mean()) << 56 | int.from_bytes(fingerprint(s)[:7], "big")
+                order = np.concatenate([s[~often], s[often]])[: _first_places(n, percent)]
+                print_ = fingerprint(s)
+                sid = int(127 * often.mean()) << 56 | _set_number(print_, print_ in again, bits)
                 out.append((order, sid, n))
                 size += len(order)
                 if size > 500_000:
@@ -178,10 +231,35 @@ def _labelled(entries: DataFrame, classes: DataFrame, parts: DataFrame) -> DataF
     return entries.join(of_set, F.col("sid").bitwiseAND(F.lit(_LOW)) == of_set["low"]).drop("low")
 
 
-def _alive(labelled: DataFrame) -> DataFrame:
-    """Entries of lists that hold two components at least."""
-    mixed = labelled.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    return labelled.join(mixed, "token", "left_semi")
+def _step(n: Column, percent: int) -> Column:
+    """Sets that link are in one step of size or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
+
+
+def _late(percent: int) -> Column:
+    """An entry too far back to be that of the smaller set in a pair that links."""
+    return F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent)
+
+
+def _alive(labelled: DataFrame, percent: int) -> DataFrame:
+    """Entries whose list holds a set of another component that is near enough in size and has the token early enough."""
+    step = _step(F.col("n"), percent)
+    early = F.when(~_late(percent), F.col("part"))
+    steps = labelled.groupBy("token", step.alias("step")).agg(
+        F.min("part").alias("x"), F.max("part").alias("y"), F.min(early).alias("early_x"), F.max(early).alias("early_y")
+    )
+    beside = F.explode(F.array([F.struct((F.col("step") + d).alias("step"), F.lit(d).alias("from")) for d in (-1, 0, 1)])).alias("of")
+    # early sets of its own step and the one below meet any entry, all other sets early ones only
+    below = F.col("of.from") >= 0
+    around = steps.select("token", beside, "x", "y", "early_x", "early_y").groupBy("token", F.col("of.step").alias("step")).agg(
+        F.min("x").alias("x"), F.max("y").alias("y"),
+        F.min(F.when(below, F.col("early_x"))).alias("early_x"), F.max(F.when(below, F.col("early_y"))).alias("early_y"),
+    )
+    around = around.where("x <> y").select(F.col("token").alias("of"), F.col("step").alias("of_step"), "x", "y", "early_x", "early_y")
+    met = labelled.join(around, (F.col("token") == F.col("of")) & (step == F.col("of_step")))
+    other = (F.col("x") != F.col("part")) | (F.col("y") != F.col("part"))
+    early_other = (F.col("early_x") != F.col("part")) | (F.col("early_y") != F.col("part"))
+    return met.where(F.when(_late(percent), F.coalesce(early_other, F.lit(False))).otherwise(other)).select(*labelled.columns)
 
 
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -197,8 +275,7 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     # a window holds the first places of one set
     before = Window.partitionBy("sid").orderBy("pos").rowsBetween(-RECENT, -1)
     entries = entries.withColumn("recent", F.collect_list("token").over(before))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
-    late = (F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent)).cast("int")
+    step, late = _step(F.col("n"), percent), _late(percent).cast("int")
     lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.lit(1)).alias("sets"))
     sized = entries.join(lists, entries["token"] == lists["of"])
     lane = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / BLOCK)).alias("lane")
@@ -263,18 +340,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     common are dropped before texts are fetched. The rest is compared in full.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = saved(_surveyed(docs, width), "survey")
-    own = survey.where("print IS NOT NULL").select("doc_id", "n", "print")
-    seen = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_SEEN)
-    listed = seen.orderBy(F.col("seen").desc(), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
-    frequent = np.sort(listed.view(np.uint64))
-
-    low = F.conv(F.substring(F.hex("print"), 1, 14), 16, 10).cast("long")
-    classes = saved(
-        own.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("low", low),
-        "set-classes",
+    own = saved(_own_sets(docs, width), "sets")
+    sets = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("low").alias("low"), F.first("low2").alias("low2")
     )
-    index = _index(docs.where("doc_id IS NOT NULL"), width, percent, frequent)
+    classes, moved = _numbered(saved(sets, "set-classes"))
+    known = docs.where("doc_id IS NOT NULL")
+    index = _index(known, width, percent, _frequent(_counted(known, width, percent)), moved)
     index = saved(_shared_only(index), "index")
 
     prefixes = saved(_prefixes(index), "prefixes")
@@ -292,7 +364,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         tested = found if tested is None else tested.union(found)
         parts = connected_components(links)
         left = with_hub.where("sid <> hub AND sets > 2").select("token", "sid", "n", "pos")
-        entries = saved(_alive(_labelled(left, classes, parts)).select("token", "sid", "n", "pos"), f"left{turn}")
+        entries = saved(_alive(_labelled(left, classes, parts), percent).select("token", "sid", "n", "pos"), f"left{turn}")
         if entries.isEmpty():
             break
     else:

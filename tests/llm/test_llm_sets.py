@@ -75,6 +75,31 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, width, perc
     assert {r["doc_id"]: r["n_shingles"] for r in found}[10_002] == 0
 
 
+def test_sets_that_share_a_number_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ID_BITS", 14)  # a few of some hundred sets meet
+    rng = random.Random(11)
+    rows = _near_copies(rng, documents=60, copies=8)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = ngram_join._own_sets(df, 4).where("n > 0").groupBy("print").agg(F.first("low").alias("low"), F.first("low2").alias("low2")).cache()
+    numbered, moved = ngram_join._numbered(sets)
+    assert moved and sets.select("low").distinct().count() < sets.count() == numbered.select("low").distinct().count()
+    expected = _components(rows, 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in link_components(df, 4, 85).collect()} == expected
+
+
+def test_passages_of_many_documents_count_as_frequent_in_any_number_of_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 200))) + " " + passage) for i in range(60)]
+    made = {}
+    keep = ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", lambda df, label: (out := keep(df, label), made.update({label: out.count()}))[0])
+    for parts in (1, 30):
+        found = link_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), 5, 80).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in found)
+        assert made["index"] == 0  # the places at the front are left to the tokens of one document
+
+
 def test_near_copies_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(200)]
