@@ -141,6 +141,44 @@ def test_page_text_survives_wrappers_named_like_furniture(name):
     assert main_text(f"<body><form><article><p>{text}</p></article>{comment}</form></body>") == text
 
 
+_TEXT = " ".join(["a sentence of the article that one can read"] * 5)
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<html><head><title>T</title><body><p>%s</p></body></html>", "%s"),
+        ("<head><meta charset=x><title>T</title><style>p{}</style><p>%s", "%s"),
+        ("<html><head><title>T</title></head><body><p>%s</p></body></html>", "%s"),
+        ("<body><article><button>Buy<p>%s</p><p>End.</p></article></body>", "%s\n\nEnd."),
+        ("<body><article><button><p>Buy</p></button><p>%s</p></article></body>", "%s"),
+        ("<body><article><p>%s</p><svg><path d='x'><p>End.</p></article></body>", "%s\n\nEnd."),
+        ("<body><select><option>a<option>b<p>%s</p>", "%s"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>%s</p></article>", "Title\n\n%s"),
+        ("<div><div class='post-header'><h1>Title</h1></div><p>%s</p></div>", "Title\n\n%s"),
+        ("<article><h2 class='section-header'>Part</h2><p>%s</p></article>", "Part\n\n%s"),
+        ("<article><h2 class='header'>Part</h2><p>%s</p></article>", "Part\n\n%s"),
+        ("<article><p>%s</p><div class='side-by-side'><p>Left</p><p>Right</p></div></article>", "%s\n\nLeft\n\nRight"),
+        ("<article><p>%s</p><div class='related-work'><p>Others did so too.</p></div></article>", "%s\n\nOthers did so too."),
+        ("<article><p>%s</p><div class='related-posts'><a href='/1'>One more</a> <a href='/2'>Another</a></div></article>", "%s"),
+        ("<article><p>%s</p><div class='post-comments'><p>First!</p></div></article>", "%s"),
+        ("<div class='site-header'>Site</div><article><p>%s</p></article>", "%s"),
+        ("<p>%s if x <y and so on, the rest", "%s if x <y and so on, the rest"),
+        ("<p>%s if a <b and c", "%s if a <b and c"),
+        ("<p>%s a <3 b", "%s a <3 b"),
+        ("<p>%s <a href='x", "%s"),
+        ("<p>%s <div class=x id='a b", "%s"),
+        ("<p>%s <div cla", "%s"),
+        ("<p>%s </di", "%s </di"),
+        ("<p>%s </div", "%s"),
+        ("<p>%s <!-- open", "%s"),
+        ("<article><p>%s</p><p>Then</p><iframe src='x'>", "%s\n\nThen"),
+    ],
+)
+def test_page_text_loses_nothing_of_the_article(page, expected):
+    assert main_text(page % _TEXT) == expected % _TEXT
+
+
 def test_page_text_of_odd_pages(spark):
     long = "<p>" + "word " * 50_000 + "</p>"
     pages = [(1, None), (2, ""), (3, "no tags at all"), (4, "<p>cut <a href='x"), (5, "<" * 200), (6, long), (6, long), (7, "<nav><a>only</a></nav>")]
