@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,13 @@ from eventmill.llm.shingles import fingerprint, shingle_sets
 FREQUENT, LEAST_SEEN = 2**20, 8
 #: Shingles counted at a time in a task before they are shuffled.
 COUNTED = 1_000_000
-#: Rounds with one hub per index list, before what is left is compared by blocks. More rounds shuffle the lists again.
-HUB_ROUNDS = 1
+#: Rounds with one hub per index list at most, before what is left is compared by blocks. A further round shuffles the lists
+#: again, so there is one only while more than `OPEN` pairs per entry of the index are left to compare.
+HUB_ROUNDS, OPEN = 3, 4
 #: Sets in a block of an index list.
-BLOCK = 64
+BLOCK = 256
+#: Bits of a set's sketch, see `_sketches`.
+SKETCH_BITS = 1024
 #: Earlier tokens of its set that an entry carries, so that most pairs come up once and not in each list they share.
 RECENT = 4
 #: Ids sent to all tasks, 16 bytes each; more are joined by a shuffle.
@@ -224,6 +228,18 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(common + to_come >= _needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
+def _crowded(labelled: DataFrame) -> DataFrame:
+    """Entries with `crowd`: how many sets of their list are in their component."""
+    crowds = labelled.groupBy(F.col("token").alias("of"), F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("crowd"))
+    return labelled.join(crowds, (F.col("token") == F.col("of")) & (F.col("part") == F.col("of_part"))).drop("of", "of_part")
+
+
+def _open_pairs(crowded: DataFrame) -> int:
+    """About how many pairs the lists hold whose sets are in different components: those with a set outside the largest."""
+    lists = crowded.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("crowd").alias("most"))
+    return int(lists.agg(F.sum(F.col("sets").cast("double") * (F.col("sets") - F.col("most")))).first()[0] or 0)
+
+
 def _labelled(entries: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     """Entries with `part`, the component of their set so far (by its own number where it has no link)."""
     of_set = classes.join(parts, classes["rep"] == parts["id"], "left").select("low", F.coalesce("component", "rep").alias("part"))
@@ -265,23 +281,26 @@ def _alive(labelled: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of the lists' sets in different components, by blocks.
 
-    A list is cut by size steps (linked sets are in one step or in neighbours), by position, and by hash into blocks of
-    about `BLOCK` sets. In a pair, the token stands early in the smaller set: blocks of later positions meet only early
+    A list is cut by size steps (linked sets are in one step or in neighbours), by position, by component where one has
+    many sets in the list, and by hash into blocks of about `BLOCK` sets: those of one component never meet. In a pair, the token stands early in the smaller set: blocks of later positions meet only early
     ones, never each other. Two blocks are skipped as a whole if their sizes are too far apart or the places of the token
-    leave too few tokens for the overlap; what remains is compared set by set with the same tests. A pair that is skipped
-    here by position has an earlier common token. Two sets with a common token among the last few before this one have
+    leave too few tokens for the overlap; what remains is compared set by set with the same tests and by sketch, in arrays:
+    only pairs that pass become rows. A pair that is skipped here by position has an earlier common token. Two sets with a common token among the last few before this one have
     met in its list already, as both stand earlier there.
     """
     # a window holds the first places of one set
-    before = Window.partitionBy("sid").orderBy("pos").rowsBetween(-RECENT, -1)
-    entries = entries.withColumn("recent", F.collect_list("token").over(before))
+    before = Window.partitionBy("sid").orderBy("pos")
+    entries = entries.withColumns({f"r{k}": F.lag("token", k + 1).over(before) for k in range(RECENT)})
     step, late = _step(F.col("n"), percent), _late(percent).cast("int")
-    lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.lit(1)).alias("sets"))
+    large = F.col("crowd") >= BLOCK
+    lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.when(~large, 1)).alias("others"))
     sized = entries.join(lists, entries["token"] == lists["of"])
-    lane = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / BLOCK)).alias("lane")
+    lane = F.pmod(F.xxhash64("sid"), F.ceil(F.when(large, F.col("crowd")).otherwise(F.col("others")) / BLOCK))
+    lane = F.struct(large.alias("large"), F.when(large, F.col("part")).otherwise(0).alias("of"), lane.alias("at")).alias("lane")
+    members = F.struct(*_CARRIED, "pos", "part", "sketch", *[f"r{k}" for k in range(RECENT)])
     blocks = sized.groupBy("token", step.alias("step"), late.alias("late"), lane).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"), F.min("part").alias("p"), F.max("part").alias("q"),
-        F.collect_list(F.struct("sid", "n", "pos", "part", "recent", "hub", "shared", "hub_n")).alias("sets"),
+        F.collect_list(members).alias("sets"),
     ).withColumn("key", F.struct("step", "lane"))
     near = F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("near")
     left = blocks.where("late = 0").select("token", near, *[F.col(c).alias(f"l_{c}") for c in ("key", "least", "most", "first", "p", "q", "sets")])
@@ -293,19 +312,79 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
         & ~((F.col("l_p") == F.col("q")) & (F.col("l_q") == F.col("p")) & (F.col("p") == F.col("q")))
     )
     both = left.join(blocks, (left["token"] == blocks["token"]) & (F.col("near") == F.col("step")) & useful)
-    one = both.select(F.explode("l_sets").alias("s"), "sets")
-    two = one.select("s", F.explode(F.filter("sets", lambda t: _may_link(F.col("s"), t, percent))).alias("t"))
-    return two.select(
-        F.when(F.col("s.sid") < F.col("t.sid"), F.struct(F.col("s").alias("x"), F.col("t").alias("y")))
-        .otherwise(F.struct(F.col("t").alias("x"), F.col("s").alias("y")))
-        .alias("p")
-    ).select(*[F.col(f"p.{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("sid", "n", "hub", "shared", "hub_n")])
+    schema = ", ".join(f"{side}_{c} {kind}" for side in "xy" for c, kind in _CARRIED.items())
+    return both.select("l_sets", "sets").mapInArrow(_block_comparer(percent), schema)
+
+
+#: What a pair carries of each of its sets.
+_CARRIED = {"sid": "bigint", "n": "int", "hub": "bigint", "shared": "int", "hub_n": "int"}
+
+
+def _block_comparer(percent: int):
+    """Compares two blocks at a time, all sets of one with all of the other, and gives the pairs that still may link."""
+
+    def numbers(sets: pa.StructArray, name: str, missing: int = 0) -> np.ndarray:
+        return sets.field(name).fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def open_pairs(a: pa.StructArray, b: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        a_n, b_n = numbers(a, "n")[:, None], numbers(b, "n")[None]
+        need = -((-percent * (a_n + b_n)) // (100 + percent))
+        reach = np.minimum(a_n - numbers(a, "pos")[:, None], b_n - numbers(b, "pos")[None])
+        open_ = (numbers(a, "part")[:, None] != numbers(b, "part")[None]) & (reach >= need)
+        open_ &= np.minimum(a_n, b_n) * 100 >= np.maximum(a_n, b_n) * percent
+        i, j = np.nonzero(open_)
+        words = [np.frombuffer(b"".join(x.field("sketch").to_pylist()), "<u8").reshape(len(x), -1) for x in (a, b)]
+        apart = np.zeros(len(i), np.int64)
+        for x, y in zip(words[0].T, words[1].T, strict=True):
+            apart += np.bitwise_count(x[i] ^ y[j])
+        keep = a_n[i, 0] + b_n[0, j] - apart >= 2 * need[i, j]
+        i, j = i[keep], j[keep]
+        met = np.zeros(len(i), bool)
+        for k in range(RECENT):
+            x = numbers(a, f"r{k}", 0)[i]
+            for m in range(RECENT):
+                met |= x == numbers(b, f"r{m}", 1)[j]
+        return i[~met], j[~met]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = batch.column("l_sets")[row].values, batch.column("sets")[row].values
+                i, j = open_pairs(a, b)
+                if not len(i):
+                    continue
+                turned = pa.array(numbers(a, "sid")[i] > numbers(b, "sid")[j])
+                ends = {c: (a.field(c).take(pa.array(i)), b.field(c).take(pa.array(j))) for c in _CARRIED}
+                x = [pc.if_else(turned, ends[c][1], ends[c][0]) for c in _CARRIED]
+                y = [pc.if_else(turned, ends[c][0], ends[c][1]) for c in _CARRIED]
+                yield pa.RecordBatch.from_arrays([*x, *y], names=[f"{side}_{c}" for side in "xy" for c in _CARRIED])
+
+    return compare
+
+
+def _sketches(docs: DataFrame, entries: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """`low, sketch` of the sets that have entries: a bit per bucket, whether an odd number of the set's tokens is in it.
 
+    Where the bits of two sets differ, a token of one is not in the other. So sets of sizes a and b whose sketches differ in
+    d bits share (a + b - d) / 2 tokens at most, wherever in the sets the different tokens stand.
+    """
+    met = entries.select(F.col("sid").bitwiseAND(F.lit(_LOW)).alias("of")).distinct()
+    wanted = saved(classes.join(met, F.col("low") == F.col("of"), "left_semi").select("low", "print", F.col("rep").alias("doc_id")), "sketch-ids")
+    few = wanted.count() <= SENT_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("low", "print", "text")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, bits = [], []
+            rows = zip(batch.column("low").to_pylist(), batch.column("print").to_pylist(), shingle_sets(batch.column("text"), width), strict=True)
+            for low, print_, s in rows:
+                if fingerprint(s) == print_:  # rows of one doc_id may have several texts
+                    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    lows.append(low)
+                    bits.append(np.packbits(odd.astype(bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(bits, pa.binary())], names=["low", "sketch"])
 
-def _may_link(s: Column, t: Column, percent: int) -> Column:
-    reach = F.least(s["n"] - s["pos"], t["n"] - t["pos"])
-    fits = _sizes_fit(s["n"], t["n"], percent) & (reach >= _needed(s["n"], t["n"], percent))
-    return (s["part"] != t["part"]) & fits & ~F.arrays_overlap(s["recent"], t["recent"])
+    return saved(texts.mapInArrow(sketch, "low bigint, sketch binary").dropDuplicates(["low"]), "sketches")
 
 
 def _decided(pairs: DataFrame, percent: int) -> DataFrame:
@@ -334,8 +413,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     How: equal sets become one. Every set enters an index with its first tokens in an order that puts frequent tokens
     last. In each index list one hub, the set with the most common tokens, is compared with the others; lists whose sets
-    are in one component after that are done, so a group of near copies costs its size, not its square. For what is
-    left the hub's answers are used again: pairs that overlaps with a common hub decide are not compared, and blocks of
+    are in one component after that are done, so a group of near copies costs its size, not its square. While many pairs
+    are left, each list gets another hub, any set of its largest component: a family whose members link with some of the
+    others only, and not with the first hub, grows together that way. For what is left the first hub's answers are used again: pairs that overlaps with a common hub decide are not compared, and blocks of
     a list that cannot reach the overlap by size or position are skipped. Pairs whose first places have too few tokens in
     common are dropped before texts are fetched. The rest is compared in full.
     """
@@ -352,25 +432,30 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prefixes = saved(_prefixes(index), "prefixes")
 
     links, tested, parts = None, None, None
-    entries = index
+    entries, size, before = index, index.count(), float("inf")
     for turn in range(HUB_ROUNDS):
-        hubs = entries.groupBy("token").agg(F.max("sid").alias("hub"), F.count(F.lit(1)).alias("sets"))
-        with_hub = entries.join(hubs.where("sets > 1"), "token")
+        first = F.col("sid") if tested is None else F.struct("crowd", F.xxhash64("token", "sid"), "sid")
+        hubs = entries.groupBy("token").agg(F.max_by("sid", first).alias("hub"), F.count(F.lit(1)).alias("sets"))
+        with_hub = entries.select("token", "sid", "n", "pos").join(hubs.where("sets > 1"), "token")
         pairs = with_hub.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         fitting = _promising(_fitting(pairs, classes, parts, percent), prefixes, percent)
         found = _overlaps(docs, classes, fitting, width, f"hub{turn}")
         new = _links(found, percent)
         links = new if links is None else links.union(new)
-        tested = found if tested is None else tested.union(found)
+        tested = found if tested is None else tested
         parts = connected_components(links)
         left = with_hub.where("sid <> hub AND sets > 2").select("token", "sid", "n", "pos")
-        entries = saved(_alive(_labelled(left, classes, parts), percent).select("token", "sid", "n", "pos"), f"left{turn}")
-        if entries.isEmpty():
+        entries = saved(_crowded(_alive(_labelled(left, classes, parts), percent)), f"left{turn}")
+        now = _open_pairs(entries)
+        if now <= OPEN * size or now > before / 2:
             break
-    else:
+        before = now
+    if not entries.isEmpty():
         best = tested.groupBy(F.col("b").alias("of")).agg(F.max(F.struct("overlap", "a", "a_n")).alias("best"))
-        labelled = _labelled(entries, classes, parts).join(best, F.col("sid") == F.col("of"), "left").select(
-            "token", "sid", "n", "pos", "part", F.col("best.a").alias("hub"), F.col("best.overlap").alias("shared"), F.col("best.a_n").alias("hub_n")
+        sketches = _sketches(known, entries, classes, width)
+        sketched = entries.join(sketches, F.col("sid").bitwiseAND(F.lit(_LOW)) == F.col("low")).drop("low")
+        labelled = sketched.join(best, F.col("sid") == F.col("of"), "left").select(
+            "token", "sid", "n", "pos", "part", "crowd", "sketch", F.col("best.a").alias("hub"), F.col("best.overlap").alias("shared"), F.col("best.a_n").alias("hub_n")
         )
         decided = saved(_decided(_block_pairs(labelled, percent), percent), "decided")
         open_ = _promising(decided.where("state IS NULL").select("a", "b"), prefixes, percent)

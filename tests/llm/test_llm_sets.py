@@ -116,6 +116,23 @@ def test_near_copies_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
     assert sum(n for label, n in made.items() if label.endswith("pairs") or label == "decided") < 5 * len(rows)
 
 
+def test_copies_that_lie_apart_from_each_other_are_told_by_sketch(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(300):  # two words changed in each, and no copy without changes
+        own = list(base)
+        for at in rng.sample(range(0, 150, 10), 2):
+            own[at + rng.randrange(3)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    made = Counter()
+    keep = ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", lambda df, label: (out := keep(df, label), made.update({label: out.count()}))[0])
+    found = link_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == _components(rows, 4, 85)
+    assert sum(n for label, n in made.items() if label.endswith("pairs") or label == "decided") < 40 * len(rows)
+
+
 def test_empty_and_linkless_tables_join(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert link_components(empty).count() == 0
