@@ -151,8 +151,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
 
     `labels` has `doc_id, quality` (0 or 1). At most `rows` labelled documents are fetched to fit the eleven weights. The
     expected good documents of every host and of every path of it are summed over all documents; a host shrinks to the
-    global rate, a path to its host, as many documents' worth as the spread of the sites says. NULL hosts and paths are a
-    site each. Labels that are NULL, or repeat with different values, do not count.
+    global rate, a path to its host, as many documents' worth as the spread of the sites says. A NULL host
+    or path is the same site as an empty one. Labels that are NULL, or repeat with different values, do not count.
     """
     narrow = docs.select("doc_id", F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path}`"), F.lit("")).alias("path"), "text")
     known = saved(with_features(narrow, "f").drop("text"), "quality-features")
