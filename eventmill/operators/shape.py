@@ -9,45 +9,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions.json_text import as_object, record_text
-from eventmill.functions.once import let
+from eventmill.functions.once import computed, let
 from eventmill.operators.clean import decode_event_payload
+from eventmill.session import ensure_checkpoints
 
 # Paths left out of a schema profile, since they hold answers rather than structure.
 UNPROFILED = ["correct_map.", "submission", "answers", "POST"]
 
 
 _ENTRIES = "array<struct<path:string,value:variant>>"
+_STATE = f"struct<found:{_ENTRIES},open:{_ENTRIES}>"
+
+
+#: Steps of the walk that are written out; what is open after them is counted and walked in a loop.
+_PLAIN_STEPS = 2
 
 
 def _step(state: Column, separator: str) -> Column:
     """One level further down: what is open and no object is found, the entries of objects are open next."""
-    opened = F.transform(state["open"], lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"), as_object(e["value"]).alias("inner")))
-
-    def split(entries: Column) -> Column:
-        closed = F.transform(F.filter(entries, lambda e: e["inner"].isNull()), lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value")))
-        below = F.transform(
-            F.filter(entries, lambda e: e["inner"].isNotNull()),
-            lambda e: F.transform(
-                F.map_entries(e["inner"]),
-                lambda x: F.struct(F.concat(e["path"], F.lit(separator), x["key"]).alias("path"), x["value"].alias("value")),
-            ),
-        )
-        return F.struct(F.concat(state["found"], closed).cast(_ENTRIES).alias("found"), F.flatten(below).cast(_ENTRIES).alias("open"))
 
-    return F.when(F.size(state["open"]) == 0, state).otherwise(let(opened, split))
+    def split(inner: Column) -> Column:
+        def entries(entry: Column, i: Column) -> Column:
+            return F.transform(
+                F.map_entries(F.get(inner, i)),
+                lambda x: F.struct(F.concat(entry["path"], F.lit(separator), x["key"]).alias("path"), x["value"].alias("value")),
+            )
+
+        closed = F.filter(state["open"], lambda entry, i: F.get(inner, i).isNull())
+        below = F.filter(F.transform(state["open"], entries), lambda found: found.isNotNull())
+        return F.struct(F.concat(state["found"], closed).alias("found"), F.flatten(below).alias("open"))
+
+    inner = F.transform(state["open"], lambda entry: as_object(entry["value"]))
+    return F.when(F.size(state["open"]) == 0, state).otherwise(let(inner, split).cast(_STATE))
 
 
 def leaves(df: DataFrame, separator: str = ".", levels: int | None = None) -> DataFrame:
     """Add `leaves`, the array of `(path, value)` below the record; lists and nulls are leaves, `{}` vanishes.
 
-    The walk is a loop inside the row: level by level until nothing is open, for at most as many levels as the record has
-    opening braces. Nothing has to be known beforehand and records are parsed once. With `levels` a deeper record is an
-    error.
+    The walk goes on inside the row, level by level until nothing is open: for two levels as it is, then in a loop, for at
+    most as many levels as what is left has opening braces. Nothing has to be known beforehand and records are parsed once.
+    With `levels` a deeper record is an error.
     """
-    entries = F.transform(F.map_entries("rec"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))).cast(_ENTRIES)
-    start = F.struct(F.array().cast(_ENTRIES).alias("found"), entries.alias("open"))
-    braces = let(record_text(F.col("rec")), lambda text: F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))
-    rounds = F.lit(levels) if levels else F.greatest(braces, F.lit(1))
+    entries = F.transform(F.map_entries("rec"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    start = F.struct(F.array().cast(_ENTRIES).alias("found"), entries.alias("open")).cast(_STATE)
+    plain = min(levels, _PLAIN_STEPS) if levels else _PLAIN_STEPS
 
     def end(state: Column) -> Column:
         # fails on the first entry that is still open, and only there
@@ -58,9 +63,22 @@ def leaves(df: DataFrame, separator: str = ".", levels: int | None = None) -> Da
                 e["value"].alias("value"),
             ),
         )
-        return F.concat(state["found"], too_deep) if levels else state["found"]
-
-    walked = F.aggregate(F.sequence(F.lit(1), rounds), start, lambda state, _: _step(state, separator), end)
+        return F.concat(state["found"], too_deep).cast(_ENTRIES) if levels else state["found"]
+
+    def loop(state: Column) -> Column:
+        if levels:
+            rounds = F.lit(levels - plain)
+        else:
+            text = record_text(F.transform(state["open"], lambda e: e["value"]))
+            rounds = let(text, lambda t: F.length(t) - F.length(F.replace(t, F.lit("{"), F.lit("")))) + 1
+        return F.aggregate(F.sequence(F.lit(1), rounds), state, lambda now, _: _step(now, separator), end)
+
+    def walk(state: Column, steps: int) -> Column:
+        if steps:
+            return let(_step(state, separator), lambda now: walk(now, steps - 1))
+        return F.when(F.size(state["open"]) == 0, state["found"]).otherwise(end(state) if levels == plain else loop(state))
+
+    walked = let(start, lambda state: walk(state, plain))
     return df.withColumn("leaves", F.when(F.col("rec").isNotNull(), walked))
 
 
@@ -73,7 +91,8 @@ def field_names(df: DataFrame, separator: str = ".", levels: int | None = None)
 
 def flatten(df: DataFrame, separator: str = ".", levels: int | None = None) -> DataFrame:
     """Replace `rec` by a map of one level whose keys are the leaf paths."""
-    return leaves(df, separator, levels).withColumn("rec", F.map_from_entries("leaves")).drop("leaves")
+    # computed once: a later explode of the record filters on it, which would walk every record again
+    return computed(leaves(df, separator, levels), "rec", F.map_from_entries("leaves")).drop("leaves")
 
 
 def _kind(schema: Column) -> Column:
@@ -86,21 +105,34 @@ def schema_profile(df: DataFrame, ordinal: str, levels: int | None = None) -> Da
 
     `types` names the kinds of values that occur (array, boolean, null, number, string), `schema` the narrowest type that
     holds them all.
+
+    Two passes: the first counts paths and narrow types in numbers only, so a task holds one small row per path and type
+    instead of sorting the leaves for their text; the second parses and walks again just the records that come last. Rows
+    must have the same ordinal both times.
     """
     def profiled(leaf):
         return ~reduce(or_, [leaf["path"].contains(part) for part in UNPROFILED])
 
-    rows = leaves(decode_event_payload(df), ".", levels).select(
-        F.col(ordinal).alias("ordinal"), F.explode(F.filter("leaves", profiled)).alias("leaf")
+    def walked(records: DataFrame) -> DataFrame:
+        return leaves(decode_event_payload(records), ".", levels).select(
+            F.col(ordinal).alias("ordinal"), F.explode(F.filter("leaves", profiled)).alias("leaf")
+        ).select("ordinal", "leaf.path", "leaf.value")
+
+    ensure_checkpoints(df.sparkSession)
+    counted = (
+        walked(df).groupBy("path", F.schema_of_variant("value").alias("kind"))
+        .agg(F.count(F.lit(1)).alias("records"), F.max("ordinal").alias("last")).checkpoint()
     )
-    return (
-        rows.select("leaf.path", "leaf.value", record_text(F.col("leaf.value")).alias("text"), "ordinal")
+    last = counted.select("last").distinct()
+    chosen = df.join(F.broadcast(last), F.col(ordinal).eqNullSafe(F.col("last")), "left_semi")
+    examples = (
+        walked(chosen).withColumns({"text": record_text(F.col("value")), "kind": _kind(F.schema_of_variant("value"))})
         .groupBy("path")
         .agg(
-            F.count(F.lit(1)).alias("records"),
             F.max_by("text", "ordinal").alias("example"),
-            F.array_join(F.sort_array(F.collect_set(_kind(F.schema_of_variant("value")))), ",").alias("types"),
+            F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("types"),
             F.schema_of_variant_agg("value").alias("schema"),
         )
-        .orderBy("path")
     )
+    records = counted.groupBy("path").agg(F.sum("records").alias("records"))
+    return records.join(examples, "path").orderBy("path")

@@ -167,6 +167,48 @@ def test_the_walk_is_one_pass(records, spark):
     assert ".".join(["deep"] * 40) in {row.path for row in walked.collect()}
 
 
+def test_schema_profile_sorts_no_leaves(spark, records):
+    rows = [f'{{"a":{i},"deep":{{"b":{{"c":{{"d":"{i}"}}}}}},"n":null}}' for i in range(50)]
+    profile = schema_profile(records(*rows), "id").select("path", "records", "example")
+    assert [tuple(row) for row in profile.collect()] == [("a", 50, "49"), ("deep.b.c.d", 50, '"49"'), ("n", 50, "null")]
+    # leaves are counted in numbers, and only records that come last are walked for their text
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Generate explode(filter(leaves")
+
+
+def test_schema_profile_of_missing_and_repeated_ordinals(spark, lines):
+    made = lines('{"a":1}', '{"a":"x","b":[1]}').select(F.when(F.col("id") < 0, 1).alias("id"), "value")
+    made = made.union(spark.createDataFrame([(3, '{"c":1.5}'), (3, '{"c":2}')], "id int, value string"))
+    found = schema_profile(parse_events(made), "id").collect()
+    assert [(r.path, r.records, r.types) for r in found] == [("a", 2, "number,string"), ("b", 1, "array"), ("c", 2, "number")]
+    assert [r.example for r in found][:2] == [None, None] and found[2].example in ("1.5", "2")
+
+
+def test_a_flat_record_that_is_exploded_is_walked_once(records):
+    plan = flatten(records(NESTED)).select(F.explode("rec"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries(leaves") == 1 and plan.count("AS leaves") == 1
+
+
+def test_an_open_record_is_walked_to_its_end_whatever_its_depth(records, texts):
+    made = [{"a": {}}, {"a": {"b": {"c": {"d": {}, "e": "{{"}}, "f": [{"g": {}}]}}, {"x": "{{{{", "y": {"z": {"v": {"w": None}}}}]
+    wanted = [{}, {"a.b.c.e": "{{", "a.f": [{"g": {}}]}, {"x": "{{{{", "y.z.v.w": None}]
+    assert texts(flatten(records(*map(json.dumps, made)))) == wanted
+    assert texts(flatten(records(*map(json.dumps, made)), levels=5)) == wanted
+
+
+def test_payloads_encoded_many_times_are_decoded(records, texts):
+    from eventmill.operators.clean import decode_event_payload
+
+    made = []
+    for times in range(9):
+        for payload in ('""', '{"k":1}', "7", '"x'):
+            for _ in range(times):
+                payload = json.dumps(payload)
+            made.append({"event": payload})
+    decoded = [row["event"] for row in texts(decode_event_payload(records(*map(json.dumps, made))))]
+    assert decoded == ["Truncated", {"k": 1}, 7, "Truncated"] * 9
+
+
 def test_empty_records_are_empty_lines(lines):
     shown = json_select_lines(lines('{"a":1}', "{}", "[]", "x", '{"b":2}', '{"a":"t"} '), ["a"])
     assert [row.value for row in shown.orderBy("id").collect()] == ["1", "", "", "t"]
