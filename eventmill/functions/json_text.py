@@ -59,7 +59,7 @@ def record_text(record: Column) -> Column:
 def sorted_record_text(record: Column) -> Column:
     """Record as JSON text with its keys in order; nested objects are printed in key order anyway."""
     return let(
-        F.array_sort(F.map_keys(record)),
+        F.sort_array(F.map_keys(record)),
         lambda keys: F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda key: record[key]))),
     )
 

@@ -35,7 +35,9 @@ def decode_event_payload(df: DataFrame) -> DataFrame:
         return F.when(now["still_text"], decoded).otherwise(now)
 
     def change(value: Column) -> Column:
-        rounds = F.sequence(F.lit(1), F.lit(MOST_ENCODINGS))
+        # twice as long at least per encoding: the binary digits of the length bound how often there is something to decode
+        digits = F.length(F.bin(F.length(F.try_variant_get(value, "$", "string"))))
+        rounds = F.sequence(F.lit(1), F.least(digits + 1, F.lit(MOST_ENCODINGS)))
         decoded = F.aggregate(rounds, state(value, F.lit(True)), step, lambda last: last["value"])
         return F.when(is_text(value), decoded).otherwise(value)
 
@@ -81,16 +83,17 @@ def truncate_strings(df: DataFrame, most: int) -> DataFrame:
     null = F.parse_json(F.lit("null"))
 
     def shorten(value: Column) -> Column:
-        single = F.when(F.length(F.try_variant_get(value, "$", "string")) > most, null).otherwise(value)
         # objects and lists are taken apart only when they have room for a long string
         nested = let(
             record_text(value),
             lambda json: F.when(F.length(json) > most + 2, F.parse_json(_shortened(json, most))).otherwise(value),
         )
-        return let(
+        changed = let(
             F.schema_of_variant(value),
-            lambda kind: F.when(kind == "STRING", single).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(value),
+            lambda kind: F.when(kind == "STRING", null).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(value),
         )
+        # a value whose whole text is no longer holds no long string: most values need no second look
+        return F.when(F.length(F.try_variant_get(value, "$", "string")) > most, changed).otherwise(value)
 
     return computed(df, "rec", F.transform_values("rec", lambda key, value: shorten(value)))
 

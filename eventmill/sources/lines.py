@@ -35,13 +35,17 @@ def read_lines(
     return lines.withColumn("value", ascii_only(F.col("value"))) if ascii else lines
 
 
+#: Pieces a core gets of rows that are spread: tasks stay short, and a slow one holds up little.
+PIECES = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle rows evenly when they come in fewer pieces than there are cores, as from a few large gzip files.
+    """Shuffle rows evenly when they come in fewer pieces than there is work for, as from a few large gzip files.
 
     Meant for plain lines, in front of costly work; input in many pieces stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = PIECES * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 
 def read_json_events(spark: SparkSession, path: str, **options) -> DataFrame:
