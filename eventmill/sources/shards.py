@@ -45,8 +45,23 @@ def read_shards(spark: SparkSession, runs: list[str], column: str = "shard") ->
 
 
 def read_shard(spark: SparkSession, name: str, runs: list[str]) -> DataFrame:
-    """Lines of one shard in all runs; only that shard's folders are read, runs without it add nothing."""
-    return read_shards(spark, runs).where(F.col("shard") == name).select("value")
+    """Lines of one shard in all runs; only that shard's folders are listed and read, runs without it add nothing."""
+    if not name.isalnum():
+        # the name of its folder is written in another way
+        return read_shards(spark, runs).where(F.col("shard") == name).select("value")
+    reader = spark.read.schema("value string, shard string")
+    found = [folder for run in runs for folder in _folders(spark, f"{run}/shard={name}")]
+    frames = [reader.option("basePath", folder.rsplit("/", 1)[0]).text(folder) for folder in found]
+    if not frames:
+        frames = [spark.createDataFrame([], "value string, shard string")]
+    return reduce(DataFrame.unionByName, frames).where(F.col("shard") == name).select("value")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of that name, which may be a pattern; none if there is no such folder."""
+    sought = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = sought.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(sought)
+    return [status.getPath().toString() for status in found or []]
 
 
 def id_chunks(df: DataFrame, id_column: str, condition: Column, columns: list[str], size: int = 100_000) -> DataFrame:

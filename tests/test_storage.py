@@ -101,6 +101,25 @@ def test_parts_hold_a_limited_number_of_lines(spark, tmp_path):
     assert [len(gzip.open(part, "rt").readlines()) for part in parts] == [1000, 1000, 500]
 
 
+def test_a_shard_is_found_without_listing_the_others(spark, tmp_path):
+    for run, names in (("one", ["abc", "ab1"]), ("two", ["ab1"])):
+        for name in names:
+            spark.createDataFrame([(f"{run}-{name}",)], "value string").write.text(str(tmp_path / run / f"shard={name}"))
+    runs = [str(tmp_path / "one"), str(tmp_path / "two")]
+    found = shards.read_shard(spark, "abc", runs)
+    assert [row.value for row in found.collect()] == ["one-abc"] and found.columns == ["value"]
+    assert sorted(row.value for row in shards.read_shard(spark, "ab1", runs).collect()) == ["one-ab1", "two-ab1"]
+    assert shards.read_shard(spark, "fff", runs).count() == 0
+    # folders of other shards are not listed
+    assert found.inputFiles() and all("/shard=abc/" in file for file in found.inputFiles())
+
+
+def test_few_pieces_are_spread_over_more_tasks_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    made = line_files.spread(spark.range(0, 1000, 1, 1).selectExpr("string(id) AS value"))
+    assert made.rdd.getNumPartitions() > cores and made.count() == 1000
+
+
 def test_shards_with_names_like_numbers(spark, tmp_path):
     users = [f"user{i}" for i in range(4000)]
     frame = spark.createDataFrame([(u,) for u in users], "user string")
