@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,22 +50,18 @@ def features(text: str) -> list[float]:
 
 
 def with_features(df: DataFrame, name: str, column: str = "text") -> DataFrame:
-    """Add an array column of `FEATURES`; NULL counts as the empty text."""
-    from pyspark.sql import types as T
+    """Add an array column of `FEATURES`; NULL counts as the empty text.
 
-    from eventmill.llm.common import with_fields
-
-    schema = with_fields(df.schema, T.StructField(name, T.ArrayType(T.DoubleType())))
-    names = [f.name for f in schema.fields]
+    Texts go to Python alone and only numbers come back, so no task holds whole rows there or gets the texts back.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                made = pa.array([features(t or "") for t in batch.column(column).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([made if n == name else batch.column(n) for n in names], names=names)
+    @F.arrow_udf("array<double>")
+    def found(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.float64())
+        parts = (texts.slice(at, 500) for at in range(0, len(texts), 500))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([features(t or "") for t in part.to_pylist()], kind) for part in parts)])
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn(name, found(F.col(f"`{column}`")))
 
 
 @dataclass(frozen=True)
