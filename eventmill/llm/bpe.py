@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from eventmill.llm.common import with_fields
+from eventmill.session import bound_batches
 
 #: Pre-tokens kept with their ids in each worker; longer ones than LONG_TOKEN are not kept. More are encoded anew.
 KEPT_TOKENS, LONG_TOKEN = 400_000, 64
@@ -167,6 +168,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 def _mapped(df: DataFrame, kinds: dict[str, T.DataType], source: str, function: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Add columns made from another in Arrow batches."""
+    bound_batches(df.sparkSession)
     schema = with_fields(df.schema, *[T.StructField(name, kind) for name, kind in kinds.items()])
     names = [f.name for f in schema.fields]
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventmill.llm.common import saved
 from eventmill.llm.components import connected_components
 from eventmill.llm.shingles import fingerprint, shingle_sets
+from eventmill.session import bound_batches
 
 #: Shingles that at least this many sets have near their front come last in every set's order. Only the order depends on
 #: them, never the result, so the list of them may be cut: to the most frequent, 8 MB at this size.
@@ -419,6 +420,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a list that cannot reach the overlap by size or position are skipped. Pairs whose first places have too few tokens in
     common are dropped before texts are fetched. The rest is compared in full.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = saved(_own_sets(docs, width), "sets")
     sets = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.llm.common import fresh, saved
+from eventmill.session import bound_batches
 
 #: Labelled rows the classifier is fitted on at most, by hash of the id; scores and site statistics use all rows.
 FITTED_ROWS = 20_000
@@ -61,6 +62,7 @@ def with_features(df: DataFrame, name: str, column: str = "text") -> DataFrame:
         parts = (texts.slice(at, 500) for at in range(0, len(texts), 500))
         return pa.concat_arrays([pa.array([], kind), *(pa.array([features(t or "") for t in part.to_pylist()], kind) for part in parts)])
 
+    bound_batches(df.sparkSession)
     return df.withColumn(name, found(F.col(f"`{column}`")))
 
 

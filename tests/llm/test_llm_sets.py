@@ -7,15 +7,19 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventmill.llm import ngram_join
+from eventmill.llm.bpe import encode_texts
 from eventmill.llm.components import connected_components
 from eventmill.llm.mixing import mix_sources, mixed_rows
 from eventmill.llm.neighbours import nearest_neighbours
 from eventmill.llm.ngram_join import link_components
+from eventmill.llm.quality import with_features
 from eventmill.llm.sharding import hilbert_index, shard_by_curve, write_shards
 from eventmill.llm.topk import top_products
 
@@ -133,6 +137,30 @@ def test_copies_that_lie_apart_from_each_other_are_told_by_sketch(spark, monkeyp
     assert sum(n for label, n in made.items() if label.endswith("pairs") or label == "decided") < 40 * len(rows)
 
 
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda docs: link_components(docs),
+        lambda docs: with_features(docs, "f"),
+        lambda docs: encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    ],
+    ids=["join", "features", "encoding"],
+)
+def test_whole_texts_go_to_python_a_few_mb_at_a_time(spark, operator):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    own = spark.newSession()  # has settings of its own
+    operator(own.createDataFrame([(1, "a b c d e f"), (2, "")], "doc_id bigint, text string"))
+    texts = own.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    found = [r["bytes"] for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+    assert sum(found) >= 24_000_000 and max(found) < 6_000_000
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    operator(own.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string"))
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+
 def test_empty_and_linkless_tables_join(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert link_components(empty).count() == 0
