@@ -19,7 +19,9 @@ from eventmill.session import bound_batches
 #: them, never the result, so the list of them may be cut: to the most frequent, 8 MB at this size.
 FREQUENT, LEAST_SEEN = 2**20, 8
 #: Shingles counted at a time in a task before they are shuffled.
-COUNTED = 1_000_000
+COUNTED = 250_000
+#: Index entries in a batch, about.
+ENTRIES = 100_000
 #: Rounds with one hub per index list at most, before what is left is compared by blocks. A further round shuffles the lists
 #: again, so there is one only while more than `OPEN` pairs per entry of the index are left to compare.
 HUB_ROUNDS, OPEN = 3, 4
@@ -143,7 +145,7 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, move
                 sid = int(127 * often.mean()) << 56 | _set_number(print_, print_ in again, bits)
                 out.append((order, sid, n))
                 size += len(order)
-                if size > 500_000:
+                if size > ENTRIES:
                     yield _entry_batch(out)
                     out, size = [], 0
             if out:

@@ -13,7 +13,7 @@ _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text hashed at a time; a longer text is hashed by itself.
-AT_ONCE = 500_000
+AT_ONCE = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from eventmill.llm import ngram_join
 from eventmill.llm.bpe import encode_texts
+from eventmill.llm.common import saved
 from eventmill.llm.components import connected_components
 from eventmill.llm.mixing import mix_sources, mixed_rows
 from eventmill.llm.neighbours import nearest_neighbours
 from eventmill.llm.ngram_join import link_components
 from eventmill.llm.quality import with_features
 from eventmill.llm.sharding import hilbert_index, shard_by_curve, write_shards
+from eventmill.llm.shingles import shingle_sets
 from eventmill.llm.topk import top_products
+from eventmill.session import bound_batches
 
 
 def _components(rows, width, percent):
@@ -161,6 +165,51 @@ def test_whole_texts_go_to_python_a_few_mb_at_a_time(spark, operator):
     assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
 
 
+def test_batches_of_whole_texts_are_a_mb_at_most(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    own = spark.newSession()
+    bound_batches(own)
+    texts = own.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    found = [r["bytes"] for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+    assert sum(found) >= 12_000_000 and max(found) < 1_200_000
+
+
+def test_reading_long_texts_keeps_no_buffers_outside_the_heap(spark, tmp_path):
+    jvm = spark.sparkContext._jvm.java.lang
+
+    def held():
+        pools = jvm.management.ManagementFactory.getPlatformMXBeans(jvm.Class.forName("java.lang.management.BufferPoolMXBean"))
+        return sum(p.getMemoryUsed() for p in pools if p.getName() == "direct")
+
+    own = spark.newSession()
+    text = F.expr("concat_ws('', transform(sequence(1, 400), k -> sha2(concat(id, ' ', k), 512)))")
+    texts = saved(own.range(0, 800, 1, 2).select(text.alias("text")), "long-texts")
+    before = held()
+    assert texts.agg(F.sum(F.length("text"))).first()[0] == 800 * 400 * 128
+    assert held() - before < 35_000_000  # what unpacks pages stays, for each core
+    assert own.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
+def test_a_deployment_may_set_how_parquet_is_read(spark):
+    own = spark.newSession()
+    own.conf.set("parquet.hadoop.vectored.io.enabled", "true")
+    saved(own.range(3), "three")
+    assert own.conf.get("parquet.hadoop.vectored.io.enabled") == "true"
+
+
+def test_shingles_of_many_texts_need_little_at_a_time():
+    texts = pa.array([" ".join(f"w{k}x{i}" for i in range(300)) for k in range(1000)])
+    count = sum(len(s) for s in shingle_sets(texts.slice(0, 1), 5))
+    tracemalloc.start()
+    assert sum(len(s) for s in shingle_sets(texts, 5)) == 1000 * count == 296_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+
+
 def test_empty_and_linkless_tables_join(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert link_components(empty).count() == 0
