@@ -19,7 +19,7 @@ from eventmill.llm.quality import score_quality
 from eventmill.llm.secrets import redact_secrets
 from eventmill.plans.registry import query
 from eventmill.plans.workload import table
-from eventmill.session import plain_reads, scratch_path
+from eventmill.session import bound_buffers, scratch_path
 
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked; `n_chars` follows."""
-    plain_reads(spark)
+    bound_buffers(spark)
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
@@ -53,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id, source, lang, n_tokens, token_ids`."""
-    plain_reads(spark)
+    bound_buffers(spark)
     ids = encode_texts(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "source", "lang", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 

@@ -177,27 +177,40 @@ def test_batches_of_whole_texts_are_a_mb_at_most(spark):
     assert sum(found) >= 12_000_000 and max(found) < 1_200_000
 
 
-def test_reading_long_texts_keeps_no_buffers_outside_the_heap(spark, tmp_path):
+def _direct_bytes(spark):
     jvm = spark.sparkContext._jvm.java.lang
+    pools = jvm.management.ManagementFactory.getPlatformMXBeans(jvm.Class.forName("java.lang.management.BufferPoolMXBean"))
+    return sum(p.getMemoryUsed() for p in pools if p.getName() == "direct")
 
-    def held():
-        pools = jvm.management.ManagementFactory.getPlatformMXBeans(jvm.Class.forName("java.lang.management.BufferPoolMXBean"))
-        return sum(p.getMemoryUsed() for p in pools if p.getName() == "direct")
 
-    own = spark.newSession()
-    text = F.expr("concat_ws('', transform(sequence(1, 400), k -> sha2(concat(id, ' ', k), 512)))")
-    texts = saved(own.range(0, 800, 1, 2).select(text.alias("text")), "long-texts")
-    before = held()
+def _texts(spark, rows, blocks):
+    """Texts of `blocks` times 128 letters that do not pack well, in two parts."""
+    text = F.expr(f"concat_ws('', transform(sequence(1, {blocks}), k -> sha2(concat(id, ' ', k), 512)))")
+    return spark.range(0, rows, 1, 2).select(text.alias("text"))
+
+
+def test_reading_long_texts_keeps_no_columns_outside_the_heap(spark):
+    own, before = spark.newSession(), _direct_bytes(spark)
+    texts = saved(_texts(own, 800, 400), "long-texts")
     assert texts.agg(F.sum(F.length("text"))).first()[0] == 800 * 400 * 128
-    assert held() - before < 35_000_000  # what unpacks pages stays, for each core
-    assert own.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+    assert _direct_bytes(spark) - before < 15_000_000
+
+
+def test_texts_that_become_longer_keep_no_large_pages(spark):
+    own, before = spark.newSession(), _direct_bytes(spark)
+    texts = saved(_texts(own, 4000, "if(id % 2000 < 1000, 1, 200)"), "longer-texts")
+    assert texts.agg(F.sum(F.length("text"))).first()[0] == 2000 * 201 * 128
+    assert _direct_bytes(spark) - before < 15_000_000
 
 
-def test_a_deployment_may_set_how_parquet_is_read(spark):
+def test_a_deployment_may_set_how_parquet_is_read_and_written(spark):
     own = spark.newSession()
     own.conf.set("parquet.hadoop.vectored.io.enabled", "true")
+    own.conf.set("spark.hadoop.parquet.page.size.row.check.min", "5")
     saved(own.range(3), "three")
     assert own.conf.get("parquet.hadoop.vectored.io.enabled") == "true"
+    assert own.conf.get("parquet.page.size.row.check.min", None) is None
+    assert own.conf.get("parquet.page.size.check.estimate") == "false"
 
 
 def test_shingles_of_many_texts_need_little_at_a_time():
