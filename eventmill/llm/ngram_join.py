@@ -27,6 +27,8 @@ ENTRIES = 100_000
 HUB_ROUNDS, OPEN = 3, 4
 #: Sets in a block of an index list.
 BLOCK = 256
+#: So many blocks of a list are made in one place; those of a longer list in several, so that a join can be split there.
+LANES = 16
 #: Bits of a set's sketch, see `_sketches`.
 SKETCH_BITS = 1024
 #: Earlier tokens of its set that an entry carries, so that most pairs come up once and not in each list they share.
@@ -123,7 +125,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, moved: frozenset[bytes]) -> DataFrame:
-    """Index entries `token, sid, n, pos`: the first places of every set in the common order.
+    """Index entries `token, sid, n, pos, rep`: the first places of every set in the common order, `rep` being its document.
 
     Two sets that link share a token among these. `sid` is the share of frequent tokens, then the number of
     the set: of a group of near copies, the one with the fewest changes has the greatest.
@@ -134,7 +136,7 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, move
         known, again = sent.value
         for batch in batches:
             out, size = [], 0
-            for s in shingle_sets(batch.column("text"), width):
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
                 n = len(s)
                 if not n:
                     continue
@@ -143,7 +145,7 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, move
                 order = np.concatenate([s[~often], s[often]])[: _first_places(n, percent)]
                 print_ = fingerprint(s)
                 sid = int(127 * often.mean()) << 56 | _set_number(print_, print_ in again, bits)
-                out.append((order, sid, n))
+                out.append((order, sid, n, doc_id))
                 size += len(order)
                 if size > ENTRIES:
                     yield _entry_batch(out)
@@ -151,17 +153,17 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, move
             if out:
                 yield _entry_batch(out)
 
-    return docs.select("text").mapInArrow(entries, "token bigint, sid bigint, n int, pos int")
+    return docs.select("doc_id", "text").mapInArrow(entries, "token bigint, sid bigint, n int, pos int, rep bigint")
 
 
-def _entry_batch(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-    lengths = np.array([len(o) for o, _, _ in rows])
-    tokens = np.concatenate([o for o, _, _ in rows]).view(np.int64)
-    sids = np.repeat(np.array([s for _, s, _ in rows], np.int64), lengths)
-    sizes = np.repeat(np.array([n for _, _, n in rows], np.int32), lengths)
+def _entry_batch(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+    lengths = np.array([len(o) for o, _, _, _ in rows])
+    tokens = np.concatenate([o for o, _, _, _ in rows]).view(np.int64)
+    sids, sizes, reps = (np.repeat(np.array([r[k] for r in rows], kind), lengths) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int64)))
     places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return pa.RecordBatch.from_arrays(
-        [pa.array(tokens), pa.array(sids), pa.array(sizes), pa.array(places.astype(np.int32))], names=["token", "sid", "n", "pos"]
+        [pa.array(tokens), pa.array(sids), pa.array(sizes), pa.array(places.astype(np.int32)), pa.array(reps)],
+        names=["token", "sid", "n", "pos", "rep"],
     )
 
 
@@ -174,23 +176,16 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, label: str) -> DataFrame:
-    """`a, b, a_rep, b_rep, a_n, b_n, overlap` of the pairs `a, b` of sids whose sizes are close enough, from whole texts."""
-    own = classes.select("low", "rep", "n")
-    a = own.select(F.col("low").alias("a_low"), F.col("rep").alias("a_rep"), F.col("n").alias("a_n"))
-    b = own.select(F.col("low").alias("b_low"), F.col("rep").alias("b_rep"), F.col("n").alias("b_n"))
-    placed = (
-        pairs.withColumn("a_low", F.col("a").bitwiseAND(F.lit(_LOW)))
-        .withColumn("b_low", F.col("b").bitwiseAND(F.lit(_LOW)))
-        .join(a, "a_low")
-        .join(b, "b_low")
-        .drop("a_low", "b_low")
-    )
-    placed = saved(placed, f"{label}-pairs")
-    ids = saved(placed.select(F.col("a_rep").alias("doc_id")).union(placed.select("b_rep")).distinct(), f"{label}-ids")
-    few = ids.count() <= SENT_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = saved(texts, f"{label}-texts")
+def _few(rows: DataFrame) -> bool:
+    """Whether a saved table is small enough to be sent to all tasks."""
+    return rows.count() <= SENT_IDS
+
+
+def _overlaps(docs: DataFrame, placed: DataFrame, width: int, label: str) -> DataFrame:
+    """`a, b, a_rep, b_rep, a_n, b_n, overlap` of pairs, a saved table without `overlap`, from whole texts."""
+    ids = placed.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id"))
+    ids = F.broadcast(ids) if 2 * placed.count() <= SENT_IDS else ids.distinct()
+    texts = saved(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), f"{label}-texts")
     joined = placed.join(texts.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("a_text")), "a_rep").join(
         texts.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("b_text")), "b_rep"
     )
@@ -214,40 +209,33 @@ def _links(overlaps: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(index: DataFrame) -> DataFrame:
-    """`sid, n, tokens`: the shared tokens among the first places of every set."""
-    return index.groupBy("sid").agg(F.min("n").alias("n"), F.collect_list("token").alias("tokens"))
+    """`sid, n, rep, tokens`: the shared tokens among the first places of every set."""
+    return index.groupBy("sid").agg(F.min("n").alias("n"), F.min("rep").alias("rep"), F.collect_list("token").alias("tokens"))
 
 
 def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs `a, b` of sids that the tokens common to their first places leave a chance to link.
+    """`a, b, a_rep, b_rep, a_n, b_n` of the pairs `a, b` of sids that the tokens common to their first places leave a chance to link.
 
     A common token that is not among the first places of both comes after the last of them in one of the two sets, so
     at most as many as that set has places left are still to come.
     """
-    a = prefixes.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    b = prefixes.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    a, b = (prefixes.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "rep", "tokens")]) for x in "ab")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     to_come = F.floor((F.greatest("a_n", "b_n") * percent + 99) / 100) - 1
-    return pairs.join(a, "a").join(b, "b").where(common + to_come >= _needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+    hopeful = common + to_come >= _needed(F.col("a_n"), F.col("b_n"), percent)
+    return pairs.join(b, "b").join(a, "a").where(hopeful).select("a", "b", "a_rep", "b_rep", "a_n", "b_n")
 
 
-def _crowded(labelled: DataFrame) -> DataFrame:
-    """Entries with `crowd`: how many sets of their list are in their component."""
-    crowds = labelled.groupBy(F.col("token").alias("of"), F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("crowd"))
-    return labelled.join(crowds, (F.col("token") == F.col("of")) & (F.col("part") == F.col("of_part"))).drop("of", "of_part")
+def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a, b` of the hubs and the other sets of their lists whose sizes fit and that are not in one component yet."""
+    fit = _sizes_fit(F.col("n"), F.col("hub.n"), percent) & (F.col("part") != F.col("hub.part")) & (F.col("sid") != F.col("hub.sid"))
+    # dealt by the set that is not the hub, as the next join wants it: no set has more pairs than first places
+    return entries.where(fit).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).repartition("b").distinct()
 
 
-def _open_pairs(crowded: DataFrame) -> int:
+def _open_pairs(entries: DataFrame) -> int:
     """About how many pairs the lists hold whose sets are in different components: those with a set outside the largest."""
-    lists = crowded.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("crowd").alias("most"))
-    return int(lists.agg(F.sum(F.col("sets").cast("double") * (F.col("sets") - F.col("most")))).first()[0] or 0)
-
-
-def _labelled(entries: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Entries with `part`, the component of their set so far (by its own number where it has no link)."""
-    of_set = classes.join(parts, classes["rep"] == parts["id"], "left").select("low", F.coalesce("component", "rep").alias("part"))
-    of_set = of_set.groupBy("low").agg(F.min("part").alias("part"))
-    return entries.join(of_set, F.col("sid").bitwiseAND(F.lit(_LOW)) == of_set["low"]).drop("low")
+    return int(entries.agg(F.sum(F.col("sets").cast("double") - F.col("most"))).first()[0] or 0)
 
 
 def _step(n: Column, percent: int) -> Column:
@@ -260,11 +248,33 @@ def _late(percent: int) -> Column:
     return F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent)
 
 
+def _left(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """What is open after a round: entries, except those of hubs, that may meet a set of another component in their list.
+
+    `part` is the component of the set so far, by its own document where it has no link; `crowd` counts the list's sets in it,
+    `most` the largest crowd, `others` the sets in crowds of less than a block. `hub` is a set of the largest crowd. All of
+    that is found where the list's entries are: they are dealt once, by token.
+    """
+    rest = entries.where("sid <> hub.sid AND sets > 2").select("token", "sid", "n", "pos", "rep")
+    known = parts.select(F.col("id").alias("rep"), "component")
+    labelled = rest.join(F.broadcast(known) if _few(known) else known, "rep", "left").select(*rest.columns, F.coalesce("component", "rep").alias("part"))
+    by_list, by_part = Window.partitionBy("token"), Window.partitionBy("token", "part")
+    counted = _alive(labelled, percent).withColumn("crowd", F.count(F.lit(1)).over(by_part))
+    hub = F.max(F.struct("crowd", F.xxhash64("token", "sid").alias("any"), "sid", "n", "part")).over(by_list)
+    return counted.withColumns({
+        "sets": F.count(F.lit(1)).over(by_list),
+        "most": F.max("crowd").over(by_list),
+        "others": F.count(F.when(F.col("crowd") < BLOCK, 1)).over(by_list),
+        "hub": hub,
+    }).withColumn("hub", F.struct("hub.sid", "hub.n", "hub.part"))
+
+
 def _alive(labelled: DataFrame, percent: int) -> DataFrame:
     """Entries whose list holds a set of another component that is near enough in size and has the token early enough."""
     step = _step(F.col("n"), percent)
     early = F.when(~_late(percent), F.col("part"))
-    steps = labelled.groupBy("token", step.alias("step")).agg(
+    dealt = labelled.select("token", "n", "pos", "part").repartition("token")
+    steps = dealt.groupBy("token", step.alias("step")).agg(
         F.min("part").alias("x"), F.max("part").alias("y"), F.min(early).alias("early_x"), F.max(early).alias("early_y")
     )
     beside = F.explode(F.array([F.struct((F.col("step") + d).alias("step"), F.lit(d).alias("from")) for d in (-1, 0, 1)])).alias("of")
@@ -275,7 +285,8 @@ def _alive(labelled: DataFrame, percent: int) -> DataFrame:
         F.min(F.when(below, F.col("early_x"))).alias("early_x"), F.max(F.when(below, F.col("early_y"))).alias("early_y"),
     )
     around = around.where("x <> y").select(F.col("token").alias("of"), F.col("step").alias("of_step"), "x", "y", "early_x", "early_y")
-    met = labelled.join(around, (F.col("token") == F.col("of")) & (step == F.col("of_step")))
+    # equal steps, said so that the join is by token alone and nothing is dealt again; a list has few steps
+    met = labelled.join(around, (F.col("token") == F.col("of")) & (step >= F.col("of_step")) & (step <= F.col("of_step")))
     other = (F.col("x") != F.col("part")) | (F.col("y") != F.col("part"))
     early_other = (F.col("early_x") != F.col("part")) | (F.col("early_y") != F.col("part"))
     return met.where(F.when(_late(percent), F.coalesce(early_other, F.lit(False))).otherwise(other)).select(*labelled.columns)
@@ -294,14 +305,13 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     # a window holds the first places of one set
     before = Window.partitionBy("sid").orderBy("pos")
     entries = entries.withColumns({f"r{k}": F.lag("token", k + 1).over(before) for k in range(RECENT)})
-    step, late = _step(F.col("n"), percent), _late(percent).cast("int")
     large = F.col("crowd") >= BLOCK
-    lists = entries.groupBy(F.col("token").alias("of")).agg(F.count(F.when(~large, 1)).alias("others"))
-    sized = entries.join(lists, entries["token"] == lists["of"])
     lane = F.pmod(F.xxhash64("sid"), F.ceil(F.when(large, F.col("crowd")).otherwise(F.col("others")) / BLOCK))
-    lane = F.struct(large.alias("large"), F.when(large, F.col("part")).otherwise(0).alias("of"), lane.alias("at")).alias("lane")
+    lane = F.struct(large.alias("large"), F.when(large, F.col("part")).otherwise(0).alias("of"), lane.alias("at"))
     members = F.struct(*_CARRIED, "pos", "part", "sketch", *[f"r{k}" for k in range(RECENT)])
-    blocks = sized.groupBy("token", step.alias("step"), late.alias("late"), lane).agg(
+    placed = entries.withColumns({"step": _step(F.col("n"), percent), "late": _late(percent).cast("int"), "lane": lane})
+    placed = placed.withColumn("far", F.floor(F.col("lane.at") / LANES)).repartition("token", "far")
+    blocks = placed.groupBy("token", "far", "step", "late", "lane").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"), F.min("part").alias("p"), F.max("part").alias("q"),
         F.collect_list(members).alias("sets"),
     ).withColumn("key", F.struct("step", "lane"))
@@ -320,7 +330,7 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 #: What a pair carries of each of its sets.
-_CARRIED = {"sid": "bigint", "n": "int", "hub": "bigint", "shared": "int", "hub_n": "int"}
+_CARRIED = {"sid": "bigint", "n": "int", "rep": "bigint", "hub": "bigint", "shared": "int", "hub_n": "int"}
 
 
 def _block_comparer(percent: int):
@@ -365,33 +375,33 @@ def _block_comparer(percent: int):
     return compare
 
 
-def _sketches(docs: DataFrame, entries: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """`low, sketch` of the sets that have entries: a bit per bucket, whether an odd number of the set's tokens is in it.
+def _sketches(docs: DataFrame, entries: DataFrame, moved: frozenset[bytes], width: int) -> DataFrame:
+    """`sid, sketch` of the sets that have entries: a bit per bucket, whether an odd number of the set's tokens is in it.
 
     Where the bits of two sets differ, a token of one is not in the other. So sets of sizes a and b whose sketches differ in
     d bits share (a + b - d) / 2 tokens at most, wherever in the sets the different tokens stand.
     """
-    met = entries.select(F.col("sid").bitwiseAND(F.lit(_LOW)).alias("of")).distinct()
-    wanted = saved(classes.join(met, F.col("low") == F.col("of"), "left_semi").select("low", "print", F.col("rep").alias("doc_id")), "sketch-ids")
-    few = wanted.count() <= SENT_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("low", "print", "text")
+    wanted = saved(entries.groupBy("sid").agg(F.min("rep").alias("doc_id")), "sketch-ids")
+    texts = docs.join(F.broadcast(wanted) if _few(wanted) else wanted, "doc_id").select("sid", "text")
+    sent, bits_ = docs.sparkSession.sparkContext.broadcast(moved), ID_BITS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = sent.value
         for batch in batches:
-            lows, bits = [], []
-            rows = zip(batch.column("low").to_pylist(), batch.column("print").to_pylist(), shingle_sets(batch.column("text"), width), strict=True)
-            for low, print_, s in rows:
-                if fingerprint(s) == print_:  # rows of one doc_id may have several texts
+            sids, bits = [], []
+            for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
+                print_ = fingerprint(s)
+                if _set_number(print_, print_ in again, bits_) == sid & _LOW:  # rows of one doc_id may have several texts
                     odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    lows.append(low)
+                    sids.append(sid)
                     bits.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(bits, pa.binary())], names=["low", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(bits, pa.binary())], names=["sid", "sketch"])
 
-    return saved(texts.mapInArrow(sketch, "low bigint, sketch binary").dropDuplicates(["low"]), "sketches")
+    return saved(texts.mapInArrow(sketch, "sid bigint, sketch binary").dropDuplicates(["sid"]), "sketches")
 
 
 def _decided(pairs: DataFrame, percent: int) -> DataFrame:
-    """`a, b, state` of pairs: what the overlaps of both with a common hub already say; 1 linked, 0 not, NULL open.
+    """`a, b, state, a_rep, b_rep` of pairs: what the overlaps of both with a common hub already say; 1 linked, 0 not, NULL open.
 
     With hub h and known overlaps of both sets with it, they share at least o(x) + o(y) - |h| tokens, and at most
     min(o(x), o(y)) inside h and min(|x| - o(x), |y| - o(y)) outside.
@@ -401,7 +411,9 @@ def _decided(pairs: DataFrame, percent: int) -> DataFrame:
     least = F.col("x_shared") + F.col("y_shared") - F.col("x_hub_n")
     most = F.least("x_shared", "y_shared") + F.least(F.col("x_n") - F.col("x_shared"), F.col("y_n") - F.col("y_shared"))
     state = F.when(same & (least >= need), 1).when(same & (most < need), 0)
-    return pairs.groupBy(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).agg(F.max(state).alias("state"))
+    return pairs.groupBy(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).agg(
+        F.max(state).alias("state"), F.min("x_rep").alias("a_rep"), F.min("y_rep").alias("b_rep")
+    )
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -432,45 +444,30 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = docs.where("doc_id IS NOT NULL")
     index = _index(known, width, percent, _frequent(_counted(known, width, percent)), moved)
     index = saved(_shared_only(index), "index")
-
     prefixes = saved(_prefixes(index), "prefixes")
 
-    links, tested, parts = None, None, None
+    tested, parts = None, None
     entries, size, before = index, index.count(), float("inf")
     for turn in range(HUB_ROUNDS):
-        first = F.col("sid") if tested is None else F.struct("crowd", F.xxhash64("token", "sid"), "sid")
-        hubs = entries.groupBy("token").agg(F.max_by("sid", first).alias("hub"), F.count(F.lit(1)).alias("sets"))
-        with_hub = entries.select("token", "sid", "n", "pos").join(hubs.where("sets > 1"), "token")
-        pairs = with_hub.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-        fitting = _promising(_fitting(pairs, classes, parts, percent), prefixes, percent)
-        found = _overlaps(docs, classes, fitting, width, f"hub{turn}")
-        new = _links(found, percent)
-        links = new if links is None else links.union(new)
+        pairs = saved(_promising(_hub_pairs(entries, percent), prefixes, percent), f"hub{turn}-pairs")
+        found = _overlaps(docs, pairs, width, f"hub{turn}")
         tested = found if tested is None else tested
-        parts = connected_components(links)
-        left = with_hub.where("sid <> hub AND sets > 2").select("token", "sid", "n", "pos")
-        entries = saved(_crowded(_alive(_labelled(left, classes, parts), percent)), f"left{turn}")
+        parts = _joined(parts, _links(found, percent))
+        entries = saved(_left(entries, parts, percent), f"left{turn}")
         now = _open_pairs(entries)
         if now <= OPEN * size or now > before / 2:
             break
         before = now
     if not entries.isEmpty():
-        best = tested.groupBy(F.col("b").alias("of")).agg(F.max(F.struct("overlap", "a", "a_n")).alias("best"))
-        sketches = _sketches(known, entries, classes, width)
-        sketched = entries.join(sketches, F.col("sid").bitwiseAND(F.lit(_LOW)) == F.col("low")).drop("low")
-        labelled = sketched.join(best, F.col("sid") == F.col("of"), "left").select(
-            "token", "sid", "n", "pos", "part", "crowd", "sketch", F.col("best.a").alias("hub"), F.col("best.overlap").alias("shared"), F.col("best.a_n").alias("hub_n")
-        )
-        decided = saved(_decided(_block_pairs(labelled, percent), percent), "decided")
-        open_ = _promising(decided.where("state IS NULL").select("a", "b"), prefixes, percent)
-        sure = decided.where("state = 1").select(F.col("a").bitwiseAND(F.lit(_LOW)).alias("a"), F.col("b").bitwiseAND(F.lit(_LOW)).alias("b"))
-        rep = classes.select("low", "rep")
-        sure = (
-            sure.join(rep.withColumnRenamed("rep", "x"), F.col("a") == F.col("low")).drop("low")
-            .join(rep.withColumnRenamed("rep", "y"), F.col("b") == F.col("low")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        best = tested.groupBy(F.col("b").alias("sid")).agg(F.max(F.struct("overlap", "a", "a_n")).alias("best"))
+        sketched = entries.drop("hub").join(_sketches(known, entries, moved, width), "sid").join(best, "sid", "left").select(
+            "token", "sid", "n", "pos", "rep", "part", "crowd", "others", "sketch",
+            F.col("best.a").alias("hub"), F.col("best.overlap").alias("shared"), F.col("best.a_n").alias("hub_n"),
         )
-        links = links.union(_links(_overlaps(docs, classes, open_, width, "rest"), percent)).union(sure)
-        parts = connected_components(links)
+        decided = saved(_decided(_block_pairs(sketched, percent), percent), "decided")
+        open_ = saved(_promising(decided.where("state IS NULL").select("a", "b"), prefixes, percent), "rest-pairs")
+        sure = decided.where("state = 1").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        parts = _joined(parts, _links(_overlaps(docs, open_, width, "rest"), percent).union(sure))
     of_print = classes.join(parts, classes["rep"] == parts["id"], "left").select(
         F.col("print").alias("of"), F.coalesce("component", "rep").alias("of_component")
     )
@@ -479,19 +476,17 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of further links between sets that are in components already."""
+    return connected_components(links if parts is None else links.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
 def _shared_only(index: DataFrame) -> DataFrame:
-    """Entries of tokens that two different sets have; equal sets count as one."""
-    repeated = index.select("token").groupBy("token").count().where("count > 1").select("token")
-    once = index.join(repeated, "token", "left_semi").groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    return once
-
-
-def _fitting(pairs: DataFrame, classes: DataFrame, parts: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs whose sizes fit and whose sets are not in one component yet."""
-    known = classes.select("low", "n", F.col("rep").alias("part"))
-    if parts is not None:
-        known = classes.join(parts, classes["rep"] == parts["id"], "left").select("low", "n", F.coalesce("component", "rep").alias("part"))
-    a = known.select(F.col("low").alias("a_low"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
-    b = known.select(F.col("low").alias("b_low"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
-    joined = pairs.join(a, F.col("a").bitwiseAND(F.lit(_LOW)) == F.col("a_low")).join(b, F.col("b").bitwiseAND(F.lit(_LOW)) == F.col("b_low"))
-    return joined.where(_sizes_fit(F.col("a_n"), F.col("b_n"), percent) & (F.col("a_part") != F.col("b_part"))).select("a", "b").distinct()
+    """Entries of tokens that two different sets have; equal sets count as one, and the first of their documents stands for them.
+
+    `part` is that document, as no links are known; `sets` counts the list's sets and `hub` is the one that comes last.
+    """
+    by_list = Window.partitionBy("token")
+    shared = index.withColumns({"first": F.min("sid").over(by_list), "last": F.max("sid").over(by_list)}).where("first <> last")
+    once = shared.groupBy("token", "sid").agg(*[F.min(c).alias(c) for c in ("n", "pos", "rep")]).withColumn("part", F.col("rep"))
+    return once.withColumns({"sets": F.count(F.lit(1)).over(by_list), "hub": F.max(F.struct("sid", "n", "part")).over(by_list)})

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventmill.llm import ngram_join
+from eventmill.llm import components, ngram_join
 from eventmill.llm.bpe import encode_texts
 from eventmill.llm.common import saved
 from eventmill.llm.components import connected_components
@@ -141,6 +141,32 @@ def test_copies_that_lie_apart_from_each_other_are_told_by_sketch(spark, monkeyp
     assert sum(n for label, n in made.items() if label.endswith("pairs") or label == "decided") < 40 * len(rows)
 
 
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_rounds_of_the_join_deal_their_rows_out_a_few_times_only(spark, monkeypatch, sent):
+    for name, value in (("BLOCK", 3), ("LANES", 2), ("OPEN", 0), ("SENT_IDS", sent)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    dealt, keep = defaultdict(list), saved
+
+    def counting(df, label):
+        dealt[label].append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return keep(df, label)
+
+    monkeypatch.setattr(ngram_join, "saved", counting)
+    monkeypatch.setattr(components, "saved", counting)
+    rows = _near_copies(random.Random(13)) + [(20_000 + i, f"one two three four five six seven eight nine ten x{i}") for i in range(40)]
+    found = link_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == _components(rows, 4, 85)
+    assert max(dealt["left0"] + dealt["left1"]) <= 4  # 13 before
+
+
+def test_labels_of_a_star_are_done_after_one_round(spark, monkeypatch):
+    made, keep = [], saved
+    monkeypatch.setattr(components, "saved", lambda df, label: (made.append(label), keep(df, label))[1])
+    links = spark.createDataFrame([(50, i) for i in range(50)] + [(50, 50), (None, 3), (7, None)], "a bigint, b bigint")
+    assert {(r["id"], r["component"]) for r in connected_components(links).collect()} == {(i, 0) for i in range(51)}
+    assert made == ["labels", "labels"]
+
+
 @pytest.mark.parametrize(
     "operator",
     [
